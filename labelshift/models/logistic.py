@@ -43,6 +43,7 @@ class LogisticModel:
     n_iter: int = 0
     converged: bool = True
     n_training: int = 0
+    raw_intercept: float = 0.0
     year_effects: tuple[float, ...] = ()
     mean_ratio_first: float | None = None
     mean_inverse_ratio_second: float | None = None
@@ -168,6 +169,7 @@ def _model(fit: RidgeFit, variant, spec, fold: Fold, parameters, names) -> Logis
         n_iter=fit.n_iter,
         converged=fit.converged,
         n_training=fit.n_training,
+        raw_intercept=fit.intercept,
         year_effects=tuple(float(v) * YEAR_EFFECT_SCALE for v in fit.coefficients[n:]),
     )
 

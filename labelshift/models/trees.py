@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, Domain
@@ -47,7 +47,7 @@ class TreeModel:
         assembled = assemble(frame, self.family, self.feature_set)
         scored = self.fitted.transform(assembled)
         # The label is coded 0/1 before the fit, so place 1 is the positive class.
-        positive = vector_to_array("probability").getItem(1)
+        positive = class_probability(vector_to_array("probability"), (0, 1), 1)
         return scored.select(*frame.columns, positive.alias(name))
 
     def log_ratio(self, frame: DataFrame, name: str = "log_ratio") -> DataFrame:
@@ -134,3 +134,11 @@ def fit_forest(
     fitted = classifier.fit(assemble(frame, "random_forest", domain=domain).select(*columns))
     identifier = f"random_forest__rf_{FOREST_TREES}_depth_{FOREST_DEPTH}"
     return TreeModel("random_forest", identifier, years, fitted)
+
+
+def class_probability(listed: Column, classes: Sequence[int], target: int) -> Column:
+    """The probability of a class by its label, not by an assumed place."""
+    places = [place for place, code in enumerate(classes) if code == target]
+    if len(places) != 1:
+        raise ValueError(f"Classifier does not contain unique class {target!r}")
+    return F.get(listed, F.lit(places[0]))

@@ -175,7 +175,13 @@ def index_comparability(index: DataFrame, years: Sequence[int]) -> DataFrame:
         F.min("hpi_1990_base").alias("base_1990_hpi_min"),
         F.median("hpi_1990_base").alias("base_1990_hpi_median"),
         F.max("hpi_1990_base").alias("base_1990_hpi_max"),
-        F.when(~constant, F.corr("hpi", "hpi_1990_base")).alias("native_base_1990_correlation"),
+        F.when(
+            ~constant,
+            F.try_divide(
+                F.covar_pop("hpi", "hpi_1990_base"),
+                F.stddev_pop("hpi") * F.stddev_pop("hpi_1990_base"),
+            ),
+        ).alias("native_base_1990_correlation"),
     )
     quantiles = (0.0, 0.1, 0.5, 0.9, 1.0)
     first_scale = rows.groupBy("fips").agg(

@@ -1,6 +1,6 @@
 """Queries over the driver tables, one or more per operator."""
 
-from . import panelqueries, scans  # noqa: F401
+from . import cellqueries, modelqueries, panelqueries, scans  # noqa: F401
 from .book import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -32,7 +32,7 @@ def round_doubles(frame: DataFrame, digits: int = 6) -> DataFrame:
     """Summation order differs between engines, so doubles are compared rounded."""
     return frame.select(
         *[
-            F.round(F.col(name), digits).alias(name) if kind == "double" else F.col(name)
+            (F.round(F.col(name), digits) + 0.0).alias(name) if kind == "double" else F.col(name)
             for name, kind in frame.dtypes
         ]
     )
@@ -40,7 +40,7 @@ def round_doubles(frame: DataFrame, digits: int = 6) -> DataFrame:
 
 def r(*names: str) -> str:
     """SQL list of rounded columns."""
-    return ", ".join(f"round(CAST({name} AS DOUBLE), 6) AS {name}" for name in names)
+    return ", ".join(f"round(CAST({name} AS DOUBLE), 6) + 0.0 AS {name}" for name in names)
 
 
 def workspace(spark: SparkSession) -> str:
