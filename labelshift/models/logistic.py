@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
+from ..functions.local import small_table
 from ..operators.features import (
     YEAR_EFFECT_SCALE,
+    category_column,
+    category_levels,
     column_parameters,
+    factor_columns,
     feature_columns,
+    feature_terms,
     fit_feature_parameters,
     join_parameters,
     literal_parameters,
     require_inputs,
-    year_indicators,
+    year_terms,
 )
 from ..operators.mixture import log_mean_exp, ratio_normalisation
 from ..operators.weights import equal_prior_weights, is_positive
 from ..plans.folds import Fold, fold_table, join_sources
 from ..plans.specifications import FeatureSpec, label_number
-from .newton import RidgeFit, fit_ridge_grid
+from .newton import Design, RidgeFit, fit_ridge_grid
 
 
 @dataclass(frozen=True)
@@ -109,8 +114,8 @@ def fit_grid(
     c_values: Sequence[float] | Mapping[str, Sequence[float]],
     *,
     variant: str = "raw",
+    parameters: Mapping[str, Mapping[str, float]] | None = None,
     domain: Domain = DEFAULT,
-    validate: bool = True,
 ) -> list[LogisticModel]:
     """Fit one specification on all folds and penalties together.
 
@@ -118,6 +123,7 @@ def fit_grid(
     classes weigh one half of every source year; the log odds are the log
     density ratio), ``pooled`` (raw slope, normalised ratio) or
     ``year_fixed_effect`` (source-year block in the fit, dropped in the ratio).
+    Feature ``parameters`` of an earlier fit on the same folds can be reused.
     """
     if variant not in ("raw", "known_source_prior", "pooled", "year_fixed_effect"):
         raise ValueError(f"Unknown logistic variant {variant!r}")
@@ -125,24 +131,23 @@ def fit_grid(
     penalties = _penalties(folds, c_values)
     by_id = {fold.fold_id: fold for fold in folds if fold.fold_id in penalties}
     train = training_rows(records, list(by_id.values()), equal_prior=equal_prior, domain=domain)
-    if validate:
+    if parameters is None:
         require_inputs(train, spec.inputs(domain), geography=spec.geography, domain=domain)
-    parameters = fit_feature_parameters(train, spec, domain=domain)
-    joined = join_parameters(train, parameters)
-    features = feature_columns(spec, column_parameters(), domain)
-    block = {}
+        parameters = fit_feature_parameters(train, spec, domain=domain)
+    terms = feature_terms(spec, domain)
+    blocks, levels, scales = list(terms), category_levels(domain), {}
     if variant == "year_fixed_effect":
         windows = {len(fold.train_years) for fold in by_id.values()}
         if len(windows) != 1 or min(windows) < 2:
             raise ValueError("Year effects need folds of one window of at least two years")
-        block = year_indicators(windows.pop())
-    rows = joined.select(
-        "fold_id",
-        indicator(is_positive(domain)).alias("y"),
-        F.col("source_weight").alias("w"),
-        F.array(*features.values(), *block.values()).alias("features"),
-    )
-    fits = fit_ridge_grid(rows, penalties, len(features) + len(block))
+        window = windows.pop()
+        blocks += year_terms(window)
+        levels["year_position"] = tuple(range(window))
+        scales["year_position"] = YEAR_EFFECT_SCALE
+    design = Design(blocks, levels, scales)
+    rows = design_rows(join_parameters(train, parameters), spec, design, domain)
+    fits = fit_ridge_grid(rows, design, penalties)
+    features = [term.name for term in terms]
     models = [
         _model(fit, variant, spec, by_id[fit.fold_id], parameters[fit.fold_id], tuple(features))
         for fit in fits
@@ -154,6 +159,21 @@ def fit_grid(
     return models
 
 
+def design_rows(
+    frame: DataFrame, spec: FeatureSpec, design: Design, domain: Domain = DEFAULT
+) -> DataFrame:
+    """Label, weight, factors and level places of every training record."""
+    factors = factor_columns(spec, column_parameters(), domain)
+    places = {c: design.level_index(c, category_column(c, domain)) for c in design.categories}
+    return frame.select(
+        "fold_id",
+        indicator(is_positive(domain)).alias("y"),
+        F.col("source_weight").alias("w"),
+        *[factors[name].alias(f"_f_{k}") for k, name in enumerate(design.factors, start=1)],
+        *[place.alias(f"_i_{c}") for c, place in places.items()],
+    )
+
+
 def _model(fit: RidgeFit, variant, spec, fold: Fold, parameters, names) -> LogisticModel:
     n = len(names)
     return LogisticModel(
@@ -201,7 +221,7 @@ def score_grid(
         ["fold_id string", "model_id string", "regularization_c double", "_b double"]
         + [f"{weight} double" for weight in weights]
     )
-    table = frame.sparkSession.createDataFrame(coefficient_rows(models), schema)
+    table = small_table(frame.sparkSession, coefficient_rows(models), schema)
     joined = join_parameters(frame, {m.fold_id: m.parameters for m in models})
     joined = joined.join(F.broadcast(table), "fold_id")
     total = F.col("_b")
@@ -240,6 +260,11 @@ def normalise_ratios(models, train: DataFrame, domain: Domain = DEFAULT) -> list
     return attach_ratio_means(shifted, train, domain)
 
 
+def parameters_of(models: Sequence[LogisticModel]) -> dict[str, Mapping[str, float]]:
+    """Feature parameters of fitted folds, for another fit on the same folds."""
+    return {m.fold_id: m.parameters for m in models}
+
+
 def fit_model(
     records: DataFrame,
     spec: FeatureSpec,
@@ -264,7 +289,8 @@ def source_year_diagnostics(
     """Fitted year intercepts against the logit of the observed shares."""
     spark = records.sparkSession
     effects = (0.0, *fitted.year_effects)
-    table = spark.createDataFrame(
+    table = small_table(
+        spark,
         [(int(y), float(e)) for y, e in zip(fitted.train_years, effects, strict=True)],
         "year int, year_effect double",
     )
@@ -308,7 +334,8 @@ def coefficient_table(spark: SparkSession, models: Sequence[LogisticModel]) -> D
             (*identity, name, float(value))
             for name, value in zip(m.feature_names, m.coefficients, strict=True)
         )
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         rows,
         "model_id string, specification string, geography string, regularization_c double,"
         " train_start int, train_end int, feature string, coefficient double",
@@ -333,7 +360,8 @@ def fit_table(spark: SparkSession, models: Sequence[LogisticModel]) -> DataFrame
         )
         for m in models
     ]
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         rows,
         "model_id string, variant string, specification string, regularization_c double,"
         " fold_id string, n_training long, n_iter int, converged boolean, log_ratio_offset double,"

@@ -1,25 +1,30 @@
 """Ridge logistic fits of many folds and penalties in shared scans.
 
-One Newton step of every unfinished (fold, penalty) fit is one pass: tasks turn
-Arrow batches of assembled features into partial gradients and Hessians, Spark
-sums the partials by fit and position, and the driver solves the small normal
-equations. The whole grid of one specification therefore needs about ten scans,
-whatever the number of folds and penalties.
+Every feature is a continuous factor times an indicator of a category level.
+Within one combination of levels the features are constants times the factors,
+so weighted factor moments per combination determine gradient and Hessian of
+the full model. One Newton step of all unfinished fits is therefore one grouped
+aggregate inside the JVM: it returns a row per fit and level combination, and
+the driver solves the small normal equations. A whole grid of one specification
+needs about eight scans, whatever its number of folds, penalties and dummies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import expit
+from ..functions.local import small_table
+from ..operators.features import Term
+
 MAX_ITERATIONS = 200
-TOLERANCE = 1e-8
-PARTIAL_SCHEMA = "job int, stats array<double>"
+# Size of the last step; what it leaves is of the order of its square.
+TOLERANCE = 1e-6
 
 
 @dataclass
@@ -40,121 +45,190 @@ class RidgeFit:
 
     @property
     def intercept(self) -> float:
-        return float(self.beta[-1])
+        return float(self.beta[0])
 
     @property
     def coefficients(self) -> np.ndarray:
-        return self.beta[:-1]
+        return self.beta[1:]
 
-    def update(self, hessian, gradient, loss, count, tolerance: float) -> None:
+    def update(self, hessian, gradient, loss: float, count: int, tolerance: float) -> None:
         """Accept or halve the candidate, then propose the next one."""
-        self.n_iter += 1
-        self.n_training = int(round(count))
+        self.n_iter, self.n_training = self.n_iter + 1, int(count)
         penalty = np.full(len(self.candidate), 1.0 / self.regularization_c)
-        penalty[-1] = 0.0
+        penalty[0] = 0.0
         objective = loss + 0.5 * float(penalty @ self.candidate**2)
         if self.step is not None and objective > self.objective + 1e-10 * abs(self.objective):
             self.scale /= 2.0
             self.failed = self.scale < 2.0**-30
         else:
-            moved = np.inf if self.step is None else self.scale * np.abs(self.step).max()
             self.beta, self.objective, self.scale = self.candidate, objective, 1.0
-            if moved < tolerance:
-                self.converged = True
-                return
             direction = gradient - penalty * self.beta
             self.step = np.linalg.solve(hessian + np.diag(penalty), direction)
+            if np.abs(self.step).max() < tolerance:
+                self.beta, self.converged = self.beta + self.step, True
+                return
         self.candidate = self.beta + self.scale * self.step
 
 
-def _pack_size(width: int) -> int:
-    return width * (width + 1) // 2 + width + 2
-
-
-def _partials(jobs: Mapping[str, Sequence[tuple[int, np.ndarray]]], width: int):
-    """Per-partition sums of the Newton statistics of every job."""
-    upper = np.triu_indices(width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            folds = batch.column("fold_id").to_numpy(zero_copy_only=False)
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            w = batch.column("w").to_numpy(zero_copy_only=False)
-            x = np.ones((batch.num_rows, width))
-            flat = batch.column("features").flatten().to_numpy(zero_copy_only=False)
-            x[:, :-1] = flat.reshape(batch.num_rows, width - 1)
-            for fold in set(folds):
-                if fold not in jobs:
-                    continue
-                held = folds == fold
-                xf, yf, wf = x[held], y[held], w[held]
-                for job, beta in jobs[fold]:
-                    z = xf @ beta
-                    mu = 0.5 * (1.0 + np.tanh(0.5 * z))
-                    curvature = wf * mu * (1.0 - mu)
-                    hessian = xf.T @ (xf * curvature[:, None])
-                    gradient = xf.T @ (wf * (yf - mu))
-                    loss = float(wf @ (np.logaddexp(0.0, z) - yf * z))
-                    stats = np.concatenate([hessian[upper], gradient, [loss, len(yf)]])
-                    totals[job] = totals[job] + stats if job in totals else stats
-        if totals:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(totals), type=pa.int32()),
-                    pa.array([list(v) for v in totals.values()], type=pa.list_(pa.float64())),
-                ],
-                names=["job", "stats"],
-            )
-
-    return run
-
-
-def newton_pass(rows: DataFrame, fits: Sequence[RidgeFit], active: Sequence[int], tolerance: float):
-    width = len(fits[active[0]].beta)
-    jobs: dict[str, list[tuple[int, np.ndarray]]] = {}
-    for job in active:
-        jobs.setdefault(fits[job].fold_id, []).append((job, fits[job].candidate))
+class Design:
+    """How the features of a model are made of factors and level indicators."""
+
+    def __init__(
+        self,
+        terms: Sequence[Term],
+        levels: Mapping[str, Sequence],
+        scales: Mapping[str, float] | None = None,
+    ) -> None:
+        intercept = Term("intercept")
+        self.terms = [intercept, *terms]
+        self.factors = list(dict.fromkeys(t.factor for t in terms if t.factor is not None))
+        self.categories = list(dict.fromkeys(t.category for t in terms if t.category is not None))
+        self.levels = {name: list(levels[name]) for name in self.categories}
+        held = dict(scales or {})
+        self.scale = np.array([held.get(term.category, 1.0) for term in self.terms])
+        place = {None: 0, **{name: i + 1 for i, name in enumerate(self.factors)}}
+        self.factor_place = np.array([place[term.factor] for term in self.terms])
+
+    @property
+    def width(self) -> int:
+        return len(self.terms)
+
+    def level_index(self, category: str, value: Column) -> Column:
+        """One-based place of a declared level; zero for null and the unknown."""
+        levels = F.array(*[F.lit(level) for level in self.levels[category]])
+        return F.coalesce(F.array_position(levels, value).cast("int"), F.lit(0))
+
+    def coefficient_row(self, beta: np.ndarray) -> list:
+        """Base coefficient of each factor, then its additions per level."""
+        scaled = beta * self.scale
+        bases = np.zeros(len(self.factors) + 1)
+        additions = {
+            (k, c): [0.0] * (len(self.levels[c]) + 1)
+            for k in range(len(bases))
+            for c in self.categories
+            if self.has_additions(k, c)
+        }
+        for j, term in enumerate(self.terms):
+            k = self.factor_place[j]
+            if term.category is None:
+                bases[k] += scaled[j]
+            else:
+                at = self.levels[term.category].index(term.level) + 1
+                additions[(k, term.category)][at] += float(scaled[j])
+        return [*map(float, bases), *additions.values()]
+
+    def has_additions(self, factor: int, category: str) -> bool:
+        return any(
+            self.factor_place[j] == factor and term.category == category
+            for j, term in enumerate(self.terms)
+        )
+
+    def coefficient_columns(self) -> list[tuple[str, str]]:
+        n = len(self.factors) + 1
+        names = [(f"_base_{k}", "double") for k in range(n)]
+        names += [
+            (f"_add_{k}_{c}", "array<double>")
+            for k in range(n)
+            for c in self.categories
+            if self.has_additions(k, c)
+        ]
+        return names
+
+    def linear_predictor(self) -> Column:
+        """The predictor from factor columns, level places and a coefficient row."""
+        total = None
+        for k in range(len(self.factors) + 1):
+            weight = F.col(f"_base_{k}")
+            for c in self.categories:
+                if self.has_additions(k, c):
+                    weight = weight + F.get(f"_add_{k}_{c}", F.col(f"_i_{c}"))
+            part = weight if k == 0 else weight * F.col(f"_f_{k}")
+            total = part if total is None else total + part
+        return total
+
+    def moments(self) -> list[Column]:
+        """Weighted factor moments of one pass, grouped by fit and levels."""
+        z, y, w = F.col("_z"), F.col("y"), F.col("w")
+        mu = F.col("_mu")
+        curvature, residual = w * mu * (1.0 - mu), w * (y - mu)
+        values = [F.lit(1.0), *[F.col(f"_f_{k + 1}") for k in range(len(self.factors))]]
+        aggregates = [
+            F.count(F.lit(1)).alias("n"),
+            F.sum(w * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z)).alias("loss"),
+        ]
+        for k, left in enumerate(values):
+            aggregates.append(F.sum(residual * left).alias(f"g_{k}"))
+            for m in range(k, len(values)):
+                aggregates.append(F.sum(curvature * left * values[m]).alias(f"h_{k}_{m}"))
+        return aggregates
+
+    def normal_equations(self, table: Mapping[str, np.ndarray]):
+        """Hessian, gradient, loss and count from the moments of one fit."""
+        n_cells, n = len(table["n"]), len(self.factors) + 1
+        active = np.ones((n_cells, self.width))
+        for j, term in enumerate(self.terms):
+            if term.category is not None:
+                at = self.levels[term.category].index(term.level) + 1
+                active[:, j] = table[f"_i_{term.category}"] == at
+        active *= self.scale
+        hessian = np.zeros((self.width, self.width))
+        gradient = np.zeros(self.width)
+        members = [np.flatnonzero(self.factor_place == k) for k in range(n)]
+        for k in range(n):
+            gradient[members[k]] = table[f"g_{k}"] @ active[:, members[k]]
+            for m in range(k, n):
+                left, right = active[:, members[k]], active[:, members[m]]
+                block = left.T @ (right * table[f"h_{k}_{m}"][:, None])
+                hessian[np.ix_(members[k], members[m])] = block
+                hessian[np.ix_(members[m], members[k])] = block.T
+        return hessian, gradient, float(table["loss"].sum()), int(table["n"].sum())
+
+
+def newton_pass(
+    rows: DataFrame, design: Design, fits: Sequence[RidgeFit], active: Sequence[int], tolerance: float
+) -> None:
+    """One scan that advances every active fit."""
+    columns = design.coefficient_columns()
+    schema = ", ".join(["job int", "fold_id string", *[f"{n} {t}" for n, t in columns]])
+    jobs = [
+        (job, fits[job].fold_id, *design.coefficient_row(fits[job].candidate)) for job in active
+    ]
+    # One row per fit: the broadcast is bounded by the plan, not by the records.
+    table = small_table(rows.sparkSession, jobs, schema)
+    scored = rows.join(F.broadcast(table), "fold_id").withColumn("_z", design.linear_predictor())
+    places = [f"_i_{c}" for c in design.categories]
     summed = (
-        rows.where(F.col("fold_id").isin(*jobs))
-        .mapInArrow(_partials(jobs, width), PARTIAL_SCHEMA)
-        .select("job", F.posexplode("stats"))
-        .groupBy("job", "pos")
-        .agg(F.sum("col").alias("value"))
+        scored.withColumn("_mu", expit(F.col("_z")))
+        .groupBy("job", *places)
+        .agg(*design.moments())
         .toArrow()
     )
-    job_column, pos, value = (summed.column(n).to_numpy() for n in ("job", "pos", "value"))
-    upper = np.triu_indices(width)
-    split = len(upper[0])
+    values = {name: summed.column(name).to_numpy() for name in summed.column_names}
     for job in active:
-        held = job_column == job
+        held = values["job"] == job
         if not held.any():
             raise ValueError(f"Fold {fits[job].fold_id} has no training records")
-        stats = np.zeros(_pack_size(width))
-        stats[pos[held]] = value[held]
-        hessian = np.zeros((width, width))
-        hessian[upper] = stats[:split]
-        hessian = hessian + np.triu(hessian, 1).T
-        fits[job].update(hessian, stats[split:-2], stats[-2], stats[-1], tolerance)
+        part = {name: column[held] for name, column in values.items()}
+        fits[job].update(*design.normal_equations(part), tolerance)
 
 
 def fit_ridge_grid(
     rows: DataFrame,
+    design: Design,
     penalties: Mapping[str, Sequence[float]],
-    n_features: int,
     *,
     tolerance: float = TOLERANCE,
     max_iterations: int = MAX_ITERATIONS,
 ) -> list[RidgeFit]:
-    """Fit every (fold, C); ``rows`` has ``fold_id, y, w, features``.
+    """Fit every (fold, C).
 
-    Minimises ``sum(w * loss) + |beta|^2 / (2 C)`` with a free intercept. Fits
-    that have not converged get four times the iteration limit before they are
-    reported as unconverged.
+    ``rows`` has ``fold_id``, the label ``y``, the weight ``w``, the factors
+    ``_f_1 ..`` and the level places ``_i_<category>``. Minimises
+    ``sum(w * loss) + |beta|^2 / (2 C)`` with a free intercept. Fits that have
+    not converged get four times the iteration limit before they are reported.
     """
-    width = n_features + 1
     fits = [
-        RidgeFit(fold, float(c), np.zeros(width), np.zeros(width))
+        RidgeFit(fold, float(c), np.zeros(design.width), np.zeros(design.width))
         for fold, values in penalties.items()
         for c in sorted(set(values))
     ]
@@ -164,5 +238,5 @@ def fit_ridge_grid(
         active = [i for i, fit in enumerate(fits) if not (fit.converged or fit.failed)]
         if not active:
             break
-        newton_pass(rows, fits, active, tolerance)
+        newton_pass(rows, design, fits, active, tolerance)
     return fits

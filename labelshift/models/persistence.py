@@ -8,6 +8,7 @@ from pyspark.ml.classification import GBTClassificationModel, RandomForestClassi
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.local import small_table
 from ..plans.specifications import parse_specification
 from ..sources.loans import path_exists
 from .logistic import LogisticModel
@@ -44,7 +45,7 @@ def _write(spark: SparkSession, path: str, row: tuple) -> None:
     n_training, n_first, n_second = row[5:8]
     if min(n_training, n_first, n_second) < 0 or n_first + n_second != n_training:
         raise ValueError("class counts must be nonnegative and sum to n_training")
-    spark.createDataFrame([row], METADATA_SCHEMA).write.mode("overwrite").parquet(path)
+    small_table(spark, [row], METADATA_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def save_logistic(
@@ -120,5 +121,5 @@ def _check_identity(stored: str, restored: str, expected: str | None) -> None:
 def fitted_paths(spark: SparkSession, plan: DataFrame, column: str = "model_path") -> DataFrame:
     """Which planned models are already stored; the plan is small."""
     rows = [(row[column], path_exists(spark, row[column])) for row in plan.select(column).distinct().collect()]
-    stored = spark.createDataFrame(rows, f"{column} string, is_stored boolean")
+    stored = small_table(spark, rows, f"{column} string, is_stored boolean")
     return plan.join(F.broadcast(stored), column)

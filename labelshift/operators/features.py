@@ -8,12 +8,14 @@ columns of a joined parameter table, so one plan serves every fold at once.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, REGION_LEVELS, STATE_LEVELS, Domain
 from ..functions.expressions import indicator
+from ..functions.local import small_table
 from ..plans.specifications import SPLINE_INTERACTION, FeatureSpec
 from .clean import region_of
 from .quantiles import exact_quantiles
@@ -53,30 +55,32 @@ def cubic_basis(value: Column, knots: Sequence[Column]) -> list[Column]:
     return terms
 
 
-def reference_indicators(value: Column, levels: Sequence, prefix: str) -> dict[str, Column]:
-    """0/1 columns of every level but the first; null is all zero."""
-    return {f"{prefix}_{level}": indicator(value == level) for level in levels[1:]}
+@dataclass(frozen=True)
+class Term:
+    """One model feature: an optional factor times an optional level indicator."""
 
+    name: str
+    factor: str | None = None
+    category: str | None = None
+    level: int | str | None = None
 
-def full_indicators(value: Column, levels: Sequence, prefix: str) -> dict[str, Column]:
-    return {f"{prefix}_{level}": indicator(value == level) for level in levels}
 
+def category_levels(domain: Domain = DEFAULT) -> dict[str, tuple]:
+    """Declared levels of everything a feature can be an indicator of."""
+    return {**domain.categories, "region": REGION_LEVELS, "state": STATE_LEVELS}
 
-def geography_indicators(geography: str | None, domain: Domain = DEFAULT) -> dict[str, Column]:
-    state = F.col(domain.region_column).cast("long")
-    if geography == "state":
-        return reference_indicators(state, STATE_LEVELS, "state")
-    if geography == "region":
-        return reference_indicators(region_of(state), REGION_LEVELS, "region")
-    return {}
 
+def category_column(category: str, domain: Domain = DEFAULT) -> Column:
+    if category == "state":
+        return F.col(domain.region_column).cast("long")
+    if category == "region":
+        return region_of(F.col(domain.region_column).cast("long"))
+    return F.col(category)
 
-def year_indicators(window: int, scale: float = YEAR_EFFECT_SCALE) -> dict[str, Column]:
-    """Scaled source-year block, by place in the training window."""
-    return {
-        f"year_{position}": indicator(F.col("year_position") == position) * scale
-        for position in range(1, window)
-    }
+
+def indicator_terms(category: str, levels: Sequence) -> list[Term]:
+    """Reference coding: every level but the first; null is all zero."""
+    return [Term(f"{category}_{level}", None, category, level) for level in levels[1:]]
 
 
 def interaction_variables(interactions: str) -> tuple[str, ...]:
@@ -87,41 +91,80 @@ def interaction_variables(interactions: str) -> tuple[str, ...]:
     return () if interactions == "none" else (interactions,)
 
 
-def feature_columns(
+def spline_factors(variable: str) -> list[str]:
+    return [f"{variable}_rcs_{i}" for i in range(1, len(SPLINE_QUANTILES))]
+
+
+def feature_terms(spec: FeatureSpec, domain: Domain = DEFAULT) -> list[Term]:
+    """All features of a specification in model order."""
+    variables = spec.inputs(domain)
+    main = {v: spline_factors(v) if spec.uses_spline(v) else [v] for v in variables}
+    terms = [Term(factor, factor) for v in variables for factor in main[v]]
+    for category, levels in domain.categories.items():
+        terms += indicator_terms(category, levels)
+    for category in interaction_variables(spec.interactions):
+        for variable in variables:
+            curved = spec.interactions == SPLINE_INTERACTION and variable == "log_lti"
+            for factor in main[variable] if curved else [variable]:
+                terms += [
+                    Term(f"{factor}_x_{term.name}", factor, category, term.level)
+                    for term in indicator_terms(category, domain.categories[category])
+                ]
+    if spec.geography is not None:
+        terms += indicator_terms(spec.geography, category_levels(domain)[spec.geography])
+    return terms
+
+
+def factor_columns(
     spec: FeatureSpec, parameter: Parameter, domain: Domain = DEFAULT
 ) -> dict[str, Column]:
-    """Ordered name → expression of every model feature of a specification."""
-    features: dict[str, Column] = {}
-    linear: dict[str, Column] = {}
-    bases: dict[str, dict[str, Column]] = {}
+    """Standardised continuous factors of the features."""
+    columns: dict[str, Column] = {}
     for variable in spec.inputs(domain):
         x = F.col(variable)
-        linear[variable] = (x - parameter(f"{variable}__mean")) / parameter(f"{variable}__sd")
+        columns[variable] = (x - parameter(f"{variable}__mean")) / parameter(f"{variable}__sd")
         if spec.uses_spline(variable):
             terms = cubic_basis(x, [parameter(name) for name in knot_names(variable)])
-            bases[variable] = {
-                f"{variable}_rcs_{i}": (term - parameter(f"{variable}__basis_mean_{i}"))
-                / parameter(f"{variable}__basis_sd_{i}")
-                for i, term in enumerate(terms, start=1)
-            }
-        else:
-            bases[variable] = {variable: linear[variable]}
-        features.update(bases[variable])
-    coded = {
-        name: reference_indicators(F.col(name), levels, name)
-        for name, levels in domain.categories.items()
+            for i, (name, term) in enumerate(
+                zip(spline_factors(variable), terms, strict=True), start=1
+            ):
+                location = parameter(f"{variable}__basis_mean_{i}")
+                columns[name] = (term - location) / parameter(f"{variable}__basis_sd_{i}")
+    used = {term.factor for term in feature_terms(spec, domain)}
+    return {name: column for name, column in columns.items() if name in used}
+
+
+def feature_columns(
+    spec: FeatureSpec, parameter: Parameter, domain: Domain = DEFAULT
+) -> dict[str, Column]:
+    """Ordered name → expression of every model feature of a specification."""
+    factors = factor_columns(spec, parameter, domain)
+    columns = {}
+    for term in feature_terms(spec, domain):
+        parts = [] if term.factor is None else [factors[term.factor]]
+        if term.category is not None:
+            parts.append(indicator(category_column(term.category, domain) == term.level))
+        columns[term.name] = parts[0] if len(parts) == 1 else parts[0] * parts[1]
+    return columns
+
+
+def year_terms(window: int) -> list[Term]:
+    """Source-year block by place in the training window; the first is the reference."""
+    return [
+        Term(f"year_{position}", None, "year_position", position) for position in range(1, window)
+    ]
+
+
+def year_indicators(window: int, scale: float = YEAR_EFFECT_SCALE) -> dict[str, Column]:
+    """The scaled source-year block as columns."""
+    return {
+        term.name: indicator(F.col("year_position") == term.level) * scale
+        for term in year_terms(window)
     }
-    for block in coded.values():
-        features.update(block)
-    for name in interaction_variables(spec.interactions):
-        for variable in spec.inputs(domain):
-            curved = spec.interactions == SPLINE_INTERACTION and variable == "log_lti"
-            factors = bases[variable] if curved else {variable: linear[variable]}
-            for factor_name, factor in factors.items():
-                for level_name, level in coded[name].items():
-                    features[f"{factor_name}_x_{level_name}"] = factor * level
-    features.update(geography_indicators(spec.geography, domain))
-    return features
+
+
+def full_indicators(value: Column, levels: Sequence, prefix: str) -> dict[str, Column]:
+    return {f"{prefix}_{level}": indicator(value == level) for level in levels}
 
 
 def forest_columns(domain: Domain = DEFAULT) -> dict[str, Column]:
@@ -231,7 +274,7 @@ def parameter_table(
     names = sorted({name for values in fitted.values() for name in values})
     rows = [(fold, *[float(values[name]) for name in names]) for fold, values in fitted.items()]
     schema = ", ".join([f"{key} string", *[f"{name} double" for name in names]])
-    return spark.createDataFrame(rows, schema)
+    return small_table(spark, rows, schema)
 
 
 def join_parameters(

@@ -22,6 +22,7 @@ from ..functions.expressions import (
     ratio,
 )
 from ..functions.joins import join_bounded
+from ..functions.local import small_table
 from .mixture import (
     SHARE_TOLERANCE,
     adjusted_probability,
@@ -192,7 +193,7 @@ def calibration_coefficients(
             StructField("calibration_slope", DoubleType()),
         ]
     )
-    return frame.sparkSession.createDataFrame(rows, schema)
+    return small_table(frame.sparkSession, rows, schema)
 
 
 def evaluate_probabilities(
@@ -208,6 +209,13 @@ def evaluate_probabilities(
 # -- mixture cells -----------------------------------------------------------
 
 
+def cell_numbers(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number the cells, so that records carry one integer and not all keys."""
+    ordered = Window.orderBy(*keys)
+    distinct = frame.select(*keys).distinct()
+    return distinct.withColumn("_cell", F.row_number().over(ordered)).persist()
+
+
 def evaluate_log_ratios(
     scored: DataFrame,
     keys: Sequence[str],
@@ -217,29 +225,33 @@ def evaluate_log_ratios(
 ) -> DataFrame:
     """Share, adjusted probability and all metrics of every cell.
 
-    The mean adjusted probability is the posterior-averaging update at the
+    Solvers and metrics run on (cell number, label, log ratio) rows only. The
+    mean adjusted probability is the posterior-averaging update at the
     likelihood optimum, so the consistency check needs no pass of its own.
     """
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must lie in [0, 1]")
     keys = list(keys)
-    kept = scored.select(
-        *keys, positive.alias("_positive"), F.col(log_ratio).alias("log_ratio")
+    cells = cell_numbers(scored, keys)
+    kept = join_bounded(scored, cells, keys).select(
+        "_cell", positive.alias("_positive"), F.col(log_ratio).alias("log_ratio")
     ).persist()
-    shares = estimate_shares(kept, keys)
-    adjusted = join_bounded(kept, shares.select(*keys, "mixture_share"), keys).withColumn(
+    number = ["_cell"]
+    shares = estimate_shares(kept, number)
+    adjusted = join_bounded(kept, shares.select("_cell", "mixture_share"), number).withColumn(
         "probability", adjusted_probability(F.col("log_ratio"), F.col("mixture_share"))
     )
     y = F.col("_positive")
     p = F.col("probability")
-    scores = adjusted.groupBy(*keys).agg(
+    scores = adjusted.groupBy(*number).agg(
         *score_aggregates(y, p), F.avg(indicator(p >= threshold)).alias("hard_share_050")
     )
-    slopes = calibration_coefficients(adjusted, keys, y)
+    slopes = calibration_coefficients(adjusted, number, y)
     difference = F.col("mixture_share") - F.col("mean_predicted_second_share")
     return (
-        scores.join(shares.drop("n"), keys)
-        .join(slopes, keys)
+        scores.join(shares.drop("n"), number)
+        .join(slopes, number)
+        .join(cells, number)
         .select(
             *keys,
             F.col("n").alias("n_observations"),

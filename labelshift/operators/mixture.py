@@ -24,6 +24,7 @@ from pyspark.sql.types import (
 
 from ..functions.expressions import expit, log_add_exp
 from ..functions.joins import join_bounded
+from ..functions.local import small_table
 
 SHARE_BOUND = 1e-9
 SHARE_TOLERANCE = 1e-8
@@ -109,7 +110,7 @@ def attach_state(
     """
     fields = key_fields(frame, keys) + [StructField(name, DoubleType(), True) for name in names]
     rows = [(*key, *map(float, values)) for key, values in state.items()]
-    table = frame.sparkSession.createDataFrame(rows, StructType(fields))
+    table = small_table(frame.sparkSession, rows, StructType(fields))
     return frame.join(F.broadcast(table), list(keys))
 
 
@@ -237,7 +238,7 @@ def estimate_shares(
                     cell.at_boundary,
                 )
             )
-    return scored.sparkSession.createDataFrame(rows, schema)
+    return small_table(scored.sparkSession, rows, schema)
 
 
 def estimate_shares_em(
@@ -287,7 +288,7 @@ def estimate_shares_em(
             if not active:
                 break
         rows.extend((*key, share, False, max_iterations) for key, share in active.items())
-    return scored.sparkSession.createDataFrame(rows, schema)
+    return small_table(scored.sparkSession, rows, schema)
 
 
 def adjust_cells(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import DISTINCT_FIELDS, FIELD_ALIASES, FREQUENCY_FIELDS, MISSING_TOKENS
+from ..functions.local import small_table
 from ..sources.loans import first_present
 
 
@@ -80,7 +81,7 @@ def schema_table(sources: Mapping[str, DataFrame]) -> DataFrame:
         for source, frame in sources.items()
         for name, data_type in frame.dtypes
     ]
-    return spark.createDataFrame(rows, "source string, column_name string, column_type string")
+    return small_table(spark, rows, "source string, column_name string, column_type string")
 
 
 def compare_schemas(schemas: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..domain import (
     Domain,
 )
 from ..functions.expressions import to_number
+from ..functions.local import small_table
 
 LABEL_POLICIES = ("allow", "drop", "require")
 
@@ -195,7 +196,7 @@ def convert_to_parquet(
             .partitionBy("source", "year")
             .parquet(destination)
         )
-    return spark.createDataFrame(pairs, "source string, year int")
+    return small_table(spark, pairs, "source string, year int")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

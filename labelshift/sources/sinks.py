@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..domain import DEFAULT, Domain
 from .loans import path_exists
+from ..functions.local import small_table
 
 
 def selection_columns(feature_set: str = "core", domain: Domain = DEFAULT) -> list[str]:
@@ -90,7 +91,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> D
     """A stored table, or an empty one of the declared schema."""
     if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    return small_table(spark, [], schema)
 
 
 def append_rows(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..models.logistic import (
     fit_model,
     fit_table,
     hard_class,
+    parameters_of,
     score_grid,
     source_year_diagnostics,
 )
@@ -80,19 +81,17 @@ def diagnostic_cells(
 # -- mixture validation --------------------------------------------------------
 
 
-def _variant_cells(scored: DataFrame, variant: str, domain: Domain) -> DataFrame:
-    cells = evaluate_log_ratios(scored, FOLD_COLUMNS, is_positive(domain))
-    renamed = {
-        "mixture_share": f"mixture_share_{variant}",
-        "hard_share_050": f"adjusted_hard_share_{variant}",
-        "brier_score": f"adjusted_brier_{variant}",
-        "log_loss": f"adjusted_log_loss_{variant}",
-        "mean_log_likelihood": f"mean_log_likelihood_{variant}",
-        "optimizer_converged": f"optimizer_converged_{variant}",
-        "mixture_at_boundary": f"at_boundary_{variant}",
-        "mixture_em_difference": f"optimizer_em_difference_{variant}",
-    }
-    return freeze(cells.select(*FOLD_COLUMNS, *[F.col(o).alias(n) for o, n in renamed.items()]))
+# Cell metric and the name it has per ratio variant.
+VARIANT_FIELDS = {
+    "mixture_share": "mixture_share",
+    "hard_share_050": "adjusted_hard_share",
+    "brier_score": "adjusted_brier",
+    "log_loss": "adjusted_log_loss",
+    "mean_log_likelihood": "mean_log_likelihood",
+    "optimizer_converged": "optimizer_converged",
+    "mixture_at_boundary": "at_boundary",
+    "mixture_em_difference": "optimizer_em_difference",
+}
 
 
 def run_mixture_validation(
@@ -113,14 +112,33 @@ def run_mixture_validation(
         F.avg(indicator(p >= 0.5)).alias("raw_hard_share"),
         F.avg((p - y) * (p - y)).alias("raw_brier"),
     )
-    parts, models, intercepts = [freeze(raw)], [], None
+    models, scored, intercepts = [], None, None
     for variant in VARIANTS:
-        fitted = fit_grid(records, folds, spec, [regularization_c], variant=variant, domain=domain)
+        fitted = fit_grid(
+            records,
+            folds,
+            spec,
+            [regularization_c],
+            variant=variant,
+            parameters=parameters_of(raw_models),
+            domain=domain,
+        )
         models.extend(fitted)
-        parts.append(_variant_cells(score_grid(targets, fitted, domain=domain), variant, domain))
+        part = score_grid(targets, fitted, domain=domain).select(
+            F.lit(variant).alias("variant"), *FOLD_COLUMNS, domain.label, "log_ratio"
+        )
+        scored = part if scored is None else scored.unionByName(part)
         if variant == "year_fixed_effect":
             intercepts = year_intercepts(records, fitted, domain)
-    cells = merge_records(FOLD_COLUMNS, parts)
+    long = evaluate_log_ratios(scored, ["variant", *FOLD_COLUMNS], is_positive(domain))
+    wide = long.groupBy(*FOLD_COLUMNS).agg(
+        *[
+            F.max(F.when(F.col("variant") == variant, F.col(field))).alias(f"{name}_{variant}")
+            for variant in VARIANTS
+            for field, name in VARIANT_FIELDS.items()
+        ]
+    )
+    cells = freeze(merge_records(FOLD_COLUMNS, [raw, wide]))
     horizons, summary = aggregate.share_error_summary(cells)
     return {
         "cells": cells,
@@ -158,7 +176,13 @@ def scored_estimators(
     fit = {"domain": domain}
     raw = fit_grid(records, folds, spec, [regularization_c], **fit)
     known = fit_grid(
-        records, folds, spec, [regularization_c], variant="known_source_prior", **fit
+        records,
+        folds,
+        spec,
+        [regularization_c],
+        variant="known_source_prior",
+        parameters=parameters_of(raw),
+        **fit,
     )
     targets = target_rows(records, folds, domain)
     first = score_grid(targets, raw, "raw_log_odds", domain).drop("model_id", "regularization_c")

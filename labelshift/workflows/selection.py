@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
-from ..models.logistic import LogisticModel, coefficient_table, fit_grid, fit_model, score_grid
+from ..functions.local import small_table
+from ..models.logistic import coefficient_table, fit_grid, fit_model, score_grid
 from ..models.trees import fit_boosting, fit_forest
 from ..operators import aggregate, results
 from ..operators.clean import geographic_support
@@ -43,7 +44,7 @@ BOOSTING_KEYS = ("parameter_id", "train_start", "validation_year")
 
 def freeze(cells: DataFrame) -> DataFrame:
     """Materialise a cell table; its size is the number of planned cells."""
-    return cells.sparkSession.createDataFrame(cells.collect(), cells.schema)
+    return small_table(cells.sparkSession, cells.collect(), cells.schema)
 
 
 def target_rows(records: DataFrame, folds: Sequence[Fold], domain: Domain = DEFAULT) -> DataFrame:
@@ -52,17 +53,6 @@ def target_rows(records: DataFrame, folds: Sequence[Fold], domain: Domain = DEFA
     return join_targets(labelled, fold_table(records.sparkSession, folds)).drop("direction")
 
 
-def describe(cells: DataFrame, spec: FeatureSpec) -> DataFrame:
-    return cells.withColumns(
-        {
-            "specification": F.lit(spec.name),
-            "continuous_form": F.lit(spec.continuous_form),
-            "interactions": F.lit(spec.interactions),
-            "geography": F.lit(spec.geography or "none"),
-        }
-    )
-
-
 def pending(
     spec: FeatureSpec, c_values: Sequence[float], folds: Sequence[Fold], done: DataFrame | None
 ) -> dict[str, list[float]]:
@@ -90,31 +80,42 @@ def pending(
     return remaining
 
 
-def _fit_facts(models: Sequence[LogisticModel], cells: DataFrame) -> DataFrame:
-    rows = [(m.model_id, m.n_iter, m.converged) for m in models]
-    facts = cells.sparkSession.createDataFrame(
-        rows, "model_id string, n_iter int, converged boolean"
-    )
-    return cells.join(F.broadcast(facts), "model_id")
-
-
 def _grid(records, folds, candidates, done, variant, evaluate, domain) -> DataFrame:
-    parts = []
+    """Fit specification by specification, then evaluate all scores together."""
     targets = target_rows(records, folds, domain)
+    scored, facts = None, []
     for spec, c_values in candidates.items():
         remaining = pending(spec, list(c_values), folds, done)
         if not remaining:
             continue
         models = fit_grid(records, folds, spec, remaining, variant=variant, domain=domain)
-        scored = score_grid(targets, models, domain=domain)
-        cells = _fit_facts(models, evaluate(scored))
-        parts.append(freeze(describe(cells, spec)))
-    fresh = None
-    for part in parts:
-        fresh = part if fresh is None else fresh.unionByName(part)
-    if done is None:
-        return fresh
-    return done if fresh is None else done.unionByName(fresh)
+        part = score_grid(targets, models, domain=domain).select(
+            "model_id", "regularization_c", *FOLD_COLUMNS, domain.label, "log_ratio"
+        )
+        scored = part if scored is None else scored.unionByName(part)
+        facts.extend(
+            (
+                m.model_id,
+                spec.name,
+                spec.continuous_form,
+                spec.interactions,
+                spec.geography or "none",
+                m.n_iter,
+                m.converged,
+            )
+            for m in models
+        )
+    if scored is None:
+        return done
+    described = small_table(
+        records.sparkSession,
+        facts,
+        "model_id string, specification string, continuous_form string, interactions string,"
+        " geography string, n_iter int, converged boolean",
+    )
+    cells = evaluate(scored).join(F.broadcast(described), "model_id")
+    fresh = freeze(cells)
+    return fresh if done is None else done.unionByName(fresh)
 
 
 def evaluate_raw_grid(
@@ -398,7 +399,8 @@ def evaluate_boosting_grid(
         )
         for p in candidates
     ]
-    names = spark.createDataFrame(
+    names = small_table(
+        spark,
         rows,
         "parameter_id string, max_leaf_nodes int, learning_rate double, max_iter int,"
         " l2_regularization double, min_samples_leaf int",
