@@ -22,14 +22,13 @@ from ..operators.features import (
     fit_feature_parameters,
     join_parameters,
     literal_parameters,
-    require_inputs,
     year_terms,
 )
 from ..operators.mixture import log_mean_exp, ratio_normalisation
 from ..operators.weights import equal_prior_weights, is_positive
 from ..plans.folds import Fold, fold_table, join_sources
 from ..plans.specifications import FeatureSpec, label_number
-from .newton import Design, RidgeFit, fit_ridge_grid
+from .newton import Design, RidgeFit, fit_ridge_grid, not_null
 
 
 @dataclass(frozen=True)
@@ -52,6 +51,7 @@ class LogisticModel:
     year_effects: tuple[float, ...] = ()
     mean_ratio_first: float | None = None
     mean_inverse_ratio_second: float | None = None
+    domain: Domain = DEFAULT
 
     @property
     def model_id(self) -> str:
@@ -61,8 +61,8 @@ class LogisticModel:
             f"__train_{self.train_years[0]}_{self.train_years[-1]}"
         )
 
-    def linear_predictor(self, domain: Domain = DEFAULT) -> Column:
-        features = feature_columns(self.spec, literal_parameters(self.parameters), domain)
+    def linear_predictor(self) -> Column:
+        features = feature_columns(self.spec, literal_parameters(self.parameters), self.domain)
         if tuple(features) != self.feature_names:
             raise ValueError("Feature columns changed after fitting")
         total = F.lit(self.intercept)
@@ -76,8 +76,9 @@ class LogisticModel:
     def predict_probability(self, frame: DataFrame, name: str = "probability") -> DataFrame:
         return frame.withColumn(name, expit(self.linear_predictor()))
 
-    def predict_class(self, frame: DataFrame, name: str, domain: Domain = DEFAULT) -> DataFrame:
-        return frame.withColumn(name, hard_class(expit(self.linear_predictor()), domain=domain))
+    def predict_class(self, frame: DataFrame, name: str) -> DataFrame:
+        probability = expit(self.linear_predictor())
+        return frame.withColumn(name, hard_class(probability, domain=self.domain))
 
 
 def hard_class(probability: Column, threshold: float = 0.5, domain: Domain = DEFAULT) -> Column:
@@ -91,14 +92,26 @@ def training_rows(
     equal_prior: bool = False,
     domain: Domain = DEFAULT,
 ) -> DataFrame:
-    """Labelled training records of every fold with their weights."""
+    """Labelled training records of every fold with their weights.
+
+    ``fold_no`` numbers the folds in the given order; it is the key of the
+    joins and groups of a fit, which are cheaper on integers.
+    """
     years = sorted({year for fold in folds for year in fold.train_years})
     labelled = records.where(F.col("year").isin(*years) & F.col(domain.label).isNotNull())
     if equal_prior:
         labelled = equal_prior_weights(labelled, domain=domain)
     else:
         labelled = labelled.withColumn("source_weight", F.lit(1.0))
-    return join_sources(labelled, fold_table(records.sparkSession, folds))
+    numbered = fold_table(records.sparkSession, folds).join(
+        fold_numbers(records.sparkSession, folds), "fold_id"
+    )
+    return join_sources(labelled, numbered)
+
+
+def fold_numbers(spark: SparkSession, folds: Sequence[Fold]) -> DataFrame:
+    rows = [(fold.fold_id, number) for number, fold in enumerate(folds)]
+    return small_table(spark, rows, "fold_id string, fold_no int")
 
 
 def _penalties(folds: Sequence[Fold], c_values) -> dict[str, Sequence[float]]:
@@ -131,9 +144,10 @@ def fit_grid(
     penalties = _penalties(folds, c_values)
     by_id = {fold.fold_id: fold for fold in folds if fold.fold_id in penalties}
     train = training_rows(records, list(by_id.values()), equal_prior=equal_prior, domain=domain)
+    names = list(by_id)
     if parameters is None:
-        require_inputs(train, spec.inputs(domain), geography=spec.geography, domain=domain)
-        parameters = fit_feature_parameters(train, spec, domain=domain)
+        numbered = fit_feature_parameters(train, spec, "fold_no", domain)
+        parameters = {names[number]: values for number, values in numbered.items()}
     terms = feature_terms(spec, domain)
     blocks, levels, scales = list(terms), category_levels(domain), {}
     if variant == "year_fixed_effect":
@@ -145,11 +159,20 @@ def fit_grid(
         levels["year_position"] = tuple(range(window))
         scales["year_position"] = YEAR_EFFECT_SCALE
     design = Design(blocks, levels, scales)
-    rows = design_rows(join_parameters(train, parameters), spec, design, domain)
-    fits = fit_ridge_grid(rows, design, penalties)
+    keyed = {number: parameters[name] for number, name in enumerate(names)}
+    rows = design_rows(join_parameters(train, keyed, "fold_no"), spec, design, domain)
+    fits = fit_ridge_grid(rows, design, {n: penalties[name] for n, name in enumerate(names)})
     features = [term.name for term in terms]
     models = [
-        _model(fit, variant, spec, by_id[fit.fold_id], parameters[fit.fold_id], tuple(features))
+        _model(
+            fit,
+            variant,
+            spec,
+            by_id[names[fit.fold]],
+            parameters[names[fit.fold]],
+            tuple(features),
+            domain,
+        )
         for fit in fits
     ]
     if variant in ("pooled", "year_fixed_effect"):
@@ -166,21 +189,21 @@ def design_rows(
     factors = factor_columns(spec, column_parameters(), domain)
     places = {c: design.level_index(c, category_column(c, domain)) for c in design.categories}
     return frame.select(
-        "fold_id",
+        "fold_no",
         indicator(is_positive(domain)).alias("y"),
-        F.col("source_weight").alias("w"),
-        *[factors[name].alias(f"_f_{k}") for k, name in enumerate(design.factors, start=1)],
+        not_null(F.col("source_weight")).alias("w"),
+        *[not_null(factors[name]).alias(f"_f_{k}") for k, name in enumerate(design.factors, start=1)],
         *[place.alias(f"_i_{c}") for c, place in places.items()],
     )
 
 
-def _model(fit: RidgeFit, variant, spec, fold: Fold, parameters, names) -> LogisticModel:
+def _model(fit: RidgeFit, variant, spec, fold: Fold, parameters, names, domain) -> LogisticModel:
     n = len(names)
     return LogisticModel(
         variant=variant,
         spec=spec,
         regularization_c=fit.regularization_c,
-        fold_id=fit.fold_id,
+        fold_id=fold.fold_id,
         train_years=fold.train_years,
         parameters=dict(parameters),
         feature_names=names,
@@ -191,6 +214,7 @@ def _model(fit: RidgeFit, variant, spec, fold: Fold, parameters, names) -> Logis
         n_training=fit.n_training,
         raw_intercept=fit.intercept,
         year_effects=tuple(float(v) * YEAR_EFFECT_SCALE for v in fit.coefficients[n:]),
+        domain=domain,
     )
 
 

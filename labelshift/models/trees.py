@@ -38,13 +38,14 @@ class TreeModel:
     train_years: tuple[int, ...]
     fitted: Any
     feature_set: str = "core"
+    domain: Domain = DEFAULT
 
     @property
     def model_id(self) -> str:
         return f"{self.identifier}__train_{self.train_years[0]}_{self.train_years[-1]}"
 
     def probability(self, frame: DataFrame, name: str = "probability") -> DataFrame:
-        assembled = assemble(frame, self.family, self.feature_set)
+        assembled = assemble(frame, self.family, self.feature_set, self.domain)
         scored = self.fitted.transform(assembled)
         # The label is coded 0/1 before the fit, so place 1 is the positive class.
         positive = class_probability(vector_to_array("probability"), (0, 1), 1)
@@ -112,7 +113,12 @@ def fit_boosting(
     fitted = classifier.fit(assemble(frame, "boosting", feature_set, domain).select(*columns))
     prefix = "boosting" if feature_set == "core" else f"boosting_{feature_set}"
     return TreeModel(
-        "hist_gradient_boosting", f"{prefix}__{parameters.identifier}", years, fitted, feature_set
+        "hist_gradient_boosting",
+        f"{prefix}__{parameters.identifier}",
+        years,
+        fitted,
+        feature_set,
+        domain,
     )
 
 
@@ -128,12 +134,14 @@ def fit_forest(
         weightCol="source_weight",
         numTrees=FOREST_TREES,
         maxDepth=FOREST_DEPTH,
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
         seed=FOREST_SEED,
     )
     columns = ["features", "_label", "source_weight"]
     fitted = classifier.fit(assemble(frame, "random_forest", domain=domain).select(*columns))
     identifier = f"random_forest__rf_{FOREST_TREES}_depth_{FOREST_DEPTH}"
-    return TreeModel("random_forest", identifier, years, fitted)
+    return TreeModel("random_forest", identifier, years, fitted, domain=domain)
 
 
 def class_probability(listed: Column, classes: Sequence[int], target: int) -> Column:

@@ -190,16 +190,14 @@ def nominal_metadata(name: str, levels: Sequence) -> dict:
     return {"ml_attr": {"type": "nominal", "name": name, "vals": values}}
 
 
-def input_violations(
-    frame: DataFrame,
-    keys: Sequence[str],
+def violation_counts(
     continuous: Sequence[str],
     *,
     geography: str | None = None,
     nulls_allowed: bool = True,
     domain: Domain = DEFAULT,
-) -> DataFrame:
-    """Counts of records a model cannot use, per reason."""
+) -> list[Column]:
+    """Aggregates counting the records a model cannot use, per reason."""
     tests = {}
     for name in continuous:
         value = F.col(name).cast("double")
@@ -214,12 +212,21 @@ def input_violations(
     if geography == "state":
         state = F.col(domain.region_column).cast("long").isin(*STATE_LEVELS)
         tests["state_unknown"] = ~F.coalesce(state, F.lit(True))
-    return frame.groupBy(*keys).agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
+    return [F.count_if(test).alias(name) for name, test in tests.items()]
+
+
+def input_violations(
+    frame: DataFrame, keys: Sequence[str], continuous: Sequence[str], **options
+) -> DataFrame:
+    return frame.groupBy(*keys).agg(*violation_counts(continuous, **options))
 
 
 def require_inputs(frame: DataFrame, continuous: Sequence[str], **options) -> None:
-    row = input_violations(frame, (), continuous, **options).first().asDict()
-    broken = {name: count for name, count in row.items() if count}
+    raise_violations(input_violations(frame, (), continuous, **options).first().asDict())
+
+
+def raise_violations(counts: Mapping[str, int]) -> None:
+    broken = {name: count for name, count in counts.items() if count}
     if broken:
         raise ValueError(f"Records violate the model inputs: {broken}")
 
@@ -229,10 +236,11 @@ def fit_feature_parameters(
 ) -> dict[str, dict[str, float]]:
     """Location, scale, knots and basis moments of every fold.
 
-    Returns one small dictionary per fold. Population moments; a constant input
-    or tied knots cannot be used and raise.
+    Returns one small dictionary per fold. Population moments; a constant input,
+    tied knots or records outside the declared inputs raise.
     """
     variables = spec.inputs(domain)
+    checks = violation_counts(variables, geography=spec.geography, domain=domain)
     moments = [
         aggregate
         for name in variables
@@ -241,10 +249,12 @@ def fit_feature_parameters(
             F.stddev_pop(name).alias(f"{name}__sd"),
         )
     ]
-    fitted = {
-        row[key]: {k: v for k, v in row.asDict().items() if k != key}
-        for row in training.groupBy(key).agg(*moments).collect()
-    }
+    fitted = {}
+    for row in training.groupBy(key).agg(*moments, *checks).collect():
+        values = {name: v for name, v in row.asDict().items() if name != key}
+        kept = {name: v for name, v in values.items() if name.endswith(("__mean", "__sd"))}
+        raise_violations({name: v for name, v in values.items() if name not in kept})
+        fitted[row[key]] = kept
     curved = [name for name in variables if spec.uses_spline(name)]
     for name in curved:
         knots = exact_quantiles(training, [key], name, SPLINE_QUANTILES, "knots").collect()
@@ -269,11 +279,12 @@ def fit_feature_parameters(
 
 
 def parameter_table(
-    spark: SparkSession, fitted: Mapping[str, Mapping[str, float]], key: str = "fold_id"
+    spark: SparkSession, fitted: Mapping[str | int, Mapping[str, float]], key: str = "fold_id"
 ) -> DataFrame:
     names = sorted({name for values in fitted.values() for name in values})
     rows = [(fold, *[float(values[name]) for name in names]) for fold, values in fitted.items()]
-    schema = ", ".join([f"{key} string", *[f"{name} double" for name in names]])
+    kind = "int" if isinstance(next(iter(fitted)), int) else "string"
+    schema = ", ".join([f"{key} {kind}", *[f"{name} double" for name in names]])
     return small_table(spark, rows, schema)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..domain import Domain
+from ..functions.local import small_table
 from ..models import logistic, persistence, trees
 from ..operators import aggregate, bins, features, metrics, mixture, quantiles, weights
 from ..plans.folds import fold_table, join_targets
@@ -868,36 +869,167 @@ def training(spark, sf):
     return records, labelled_folds(records)
 
 
-@query("est1_ridge_path")
+# One standardised input and no categories: a fit of two parameters, which SQL
+# can follow step by step. The fits below it use all features.
+PLAIN = Domain(first_labelled_year=1995, categories={})
+RIDGE_STEPS = 12
+PENALTIES = (0.0001, 0.01, 1.0, 100.0)
+
+
+def ridge_parts(values: tuple[float, ...], weighted: bool = False) -> dict[str, str]:
+    """Unrolled ridge-logistic Newton steps of every fold and penalty."""
+    listed = ", ".join(f"({value!r}::DOUBLE)" for value in values)
+    weight = "CASE WHEN y THEN 0.5 / share ELSE 0.5 / (1 - share) END" if weighted else "1.0::DOUBLE"
+    parts = {
+        "fit": FIT,
+        "year_share": """SELECT year, avg(CASE WHEN lien_status = 2 THEN 1.0 ELSE 0.0 END) AS share FROM clean
+    GROUP BY year""",
+        "train_z": f"""SELECT fold_id, z, y, {weight} AS w FROM (SELECT s.fold_id, (log_lti - mean) / sd AS z,
+      lien_status = 2 AS y, share FROM clean c JOIN sources s ON c.year = s.year JOIN fit f ON f.fold_id = s.fold_id
+      JOIN year_share q ON q.year = c.year) g""",
+        "ridge0": f"SELECT fold_id, c, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM folds CROSS JOIN (VALUES {listed}) v(c)",
+    }
+    for k in range(RIDGE_STEPS):
+        parts[f"ridge{k + 1}"] = f"""SELECT fold_id, c, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a,
+    b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM (SELECT fold_id, c, any_value(a) AS a, any_value(b) AS b,
+      sum(w * (y - m)) AS g0, sum(w * z * (y - m)) - any_value(b) / c AS g1, sum(w * m * (1 - m)) AS h00,
+      sum(w * m * (1 - m) * z) AS h01, sum(w * m * (1 - m) * z * z) + 1 / c AS h11
+      FROM (SELECT t.fold_id, c, a, b, z, w, CAST(y AS INTEGER) AS y, 1 / (1 + exp(-(a + b * z))) AS m
+        FROM train_z t JOIN ridge{k} r ON t.fold_id = r.fold_id) i GROUP BY fold_id, c) j"""
+    return parts
+
+
+RIDGE = f"ridge{RIDGE_STEPS}"
+
+
+def plain_table(spark, models):
+    rows = [
+        (m.fold_id, m.regularization_c, m.intercept, m.coefficients[0], m.converged, m.n_training)
+        for m in models
+    ]
+    return small_table(
+        spark,
+        rows,
+        "fold_id string, regularization_c double, intercept double, slope double,"
+        " converged boolean, n_training long",
+    )
+
+
+@query(
+    "est1_ridge_path",
+    f"""SELECT r.fold_id, c AS regularization_c, round(a, 6) + 0.0 AS intercept, round(b, 6) + 0.0 AS slope, TRUE AS converged,
+    n_training FROM {RIDGE} r JOIN (SELECT fold_id, count(*) AS n_training FROM train_z GROUP BY fold_id) n
+    ON r.fold_id = n.fold_id""",
+    **ridge_parts(PENALTIES),
+)
 def _(spark, sf):
     records, folds = training(spark, sf)
-    models = logistic.fit_grid(records, folds, SPLINE, (1e-4, 1e-2, 1.0, 100.0), domain=DOMAIN)
-    return logistic.fit_table(spark, models)
+    return plain_table(spark, logistic.fit_grid(records, folds, LINEAR, PENALTIES, domain=PLAIN))
 
 
-@query("est2_selected_model")
+@query(
+    "est2_selected_model",
+    f"""SELECT year, lien_status, count(*) AS n, round(avg(1 / (1 + exp(-(a + b * (log_lti - mean) / sd)))), 6) AS mean_probability
+    FROM clean CROSS JOIN (SELECT r.a, r.b, f.mean, f.sd FROM {RIDGE} r JOIN fit f ON r.fold_id = f.fold_id
+      JOIN folds d ON d.fold_id = r.fold_id WHERE d.train_start = 1998) m GROUP BY 1, 2""",
+    **ridge_parts((0.1,)),
+)
 def _(spark, sf):
     records, _ = training(spark, sf)
-    fitted = logistic.fit_model(records, SPLINE, 0.1, (1998, 1999, 2000, 2001), domain=DOMAIN)
-    scored = fitted.predict_probability(records)
-    return scored.groupBy("year", "lien_status").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("probability").alias("mean_probability")
+    fitted = logistic.fit_model(records, LINEAR, 0.1, (1998, 1999, 2000, 2001), domain=PLAIN)
+    probability = metrics.expit(fitted.linear_predictor())
+    return records.groupBy("year", "lien_status").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(probability).alias("mean_probability")
+    )
+
+
+RATIO_MEANS = """round(avg(CASE WHEN NOT y THEN exp(offset_a + b * z) END), 6) AS mean_ratio_first,
+    round(avg(CASE WHEN y THEN exp(-(offset_a + b * z)) END), 6) AS mean_inverse_ratio_second"""
+
+
+def ratio_table(spark, models):
+    rows = [
+        (m.fold_id, m.intercept, m.coefficients[0], m.mean_ratio_first, m.mean_inverse_ratio_second)
+        for m in models
+    ]
+    return small_table(
+        spark,
+        rows,
+        "fold_id string, log_ratio_offset double, slope double, mean_ratio_first double,"
+        " mean_inverse_ratio_second double",
     )
 
 
-@query("est4_known_source_prior")
+@query(
+    "est4_known_source_prior",
+    f"""SELECT fold_id, round(any_value(offset_a), 6) + 0.0 AS log_ratio_offset, round(any_value(b), 6) + 0.0 AS slope,
+    {RATIO_MEANS} FROM (SELECT t.*, r.a AS offset_a, r.b FROM train_z t JOIN {RIDGE} r ON t.fold_id = r.fold_id) g
+    GROUP BY fold_id""",
+    **ridge_parts((0.1,), weighted=True),
+)
 def _(spark, sf):
     records, folds = training(spark, sf)
-    models = logistic.fit_grid(
-        records, folds, SPLINE, (0.1,), variant="known_source_prior", domain=DOMAIN
+    return ratio_table(
+        spark,
+        logistic.fit_grid(
+            records, folds, LINEAR, (0.1,), variant="known_source_prior", domain=PLAIN
+        ),
     )
-    return logistic.fit_table(spark, models)
 
 
-@query("est5_pooled_ratio")
+@query(
+    "est5_pooled_ratio",
+    f"""SELECT fold_id, round(any_value(offset_a), 6) + 0.0 AS log_ratio_offset, round(any_value(b), 6) + 0.0 AS slope,
+    {RATIO_MEANS} FROM (SELECT t.*, b, -ln(avg(CASE WHEN NOT y THEN exp(b * z) END) OVER (PARTITION BY t.fold_id)) AS offset_a
+      FROM train_z t JOIN {RIDGE} r ON t.fold_id = r.fold_id) g GROUP BY fold_id""",
+    **ridge_parts((0.1,)),
+)
 def _(spark, sf):
     records, folds = training(spark, sf)
-    models = logistic.fit_grid(records, folds, LINEAR, (0.1,), variant="pooled", domain=DOMAIN)
+    return ratio_table(
+        spark,
+        logistic.fit_grid(records, folds, LINEAR, (0.1,), variant="pooled", domain=PLAIN),
+    )
+
+
+@query(
+    "sel1_candidate_cells",
+    f"""SELECT t.fold_id, r.c AS regularization_c, t.validation_year, t.horizon, count(*) AS n_validation,
+    round(avg(power(p - CAST(y AS INTEGER), 2)), 6) AS brier_score, round(avg(CAST(y AS INTEGER)), 6) AS observed_second_share,
+    round(avg(p), 6) AS mean_predicted_second_share FROM (SELECT t.fold_id, t.validation_year, t.horizon, r.c,
+      lien_status = 2 AS y, 1 / (1 + exp(-(a + b * (log_lti - mean) / sd))) AS p FROM clean c
+      JOIN targets t ON c.year = t.validation_year JOIN fit f ON f.fold_id = t.fold_id
+      JOIN {RIDGE} r ON r.fold_id = t.fold_id) t JOIN (SELECT DISTINCT c FROM {RIDGE}) r ON r.c = t.c GROUP BY ALL""",
+    **ridge_parts((0.01, 1.0)),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    first = selection.evaluate_raw_grid(records, folds[-1:], {LINEAR: (0.01, 1.0)}, domain=PLAIN)
+    cells = selection.evaluate_raw_grid(records, folds, {LINEAR: (0.01, 1.0)}, first, PLAIN)
+    return cells.select(
+        "fold_id",
+        "regularization_c",
+        "validation_year",
+        "horizon",
+        "n_validation",
+        "brier_score",
+        "observed_second_share",
+        "mean_predicted_second_share",
+    )
+
+
+@query("est1_ridge_path_full")
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    return logistic.fit_table(spark, logistic.fit_grid(records, folds, SPLINE, PENALTIES, domain=DOMAIN))
+
+
+@query("est4_known_source_prior_full")
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    models = logistic.fit_grid(
+        records, folds, SPLINE, (0.1,), variant="known_source_prior", domain=DOMAIN
+    )
     return logistic.fit_table(spark, models)
 
 
@@ -1012,6 +1144,49 @@ def _(spark, sf):
     return application["annual"]
 
 
+APPLIED = f"""SELECT c.year, c.lien_status = 2 AS y, 1 / (1 + exp(-(r.a + r.b * (log_lti - mean) / sd))) AS probability,
+    k.a + k.b * (log_lti - mean) / sd AS log_ratio FROM clean c CROSS JOIN (SELECT f.* FROM fit f JOIN folds d
+      ON d.fold_id = f.fold_id WHERE d.train_start = 1996) f JOIN {RIDGE} r ON r.fold_id = f.fold_id
+    JOIN known{RIDGE_STEPS} k ON k.fold_id = f.fold_id"""
+KNOWN_PARTS = {
+    name.replace("ridge", "known").replace("train_z", "known_z"): text.replace(" ridge", " known")
+    .replace("train_z", "known_z")
+    for name, text in ridge_parts((0.1,), weighted=True).items()
+    if name.startswith(("ridge", "train_z"))
+}
+
+
+@query(
+    "rpt5_application_series",
+    f"""SELECT year, count(*) AS n_model_sample, round(avg(probability), 6) AS raw_mean_probability,
+    round(avg(CASE WHEN probability >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS raw_hard_share_050,
+    round(any_value(s), 6) AS mixture_share, round(avg(q), 6) AS mixture_mean_probability,
+    round(avg(CASE WHEN q >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS mixture_hard_share_050,
+    round(CASE WHEN year >= 1996 THEN avg(CAST(y AS INTEGER)) END, 6) AS actual_second_share
+    FROM (SELECT o.year, o.y, o.probability, p.s, 1 / (1 + exp(-(log_ratio + ln(p.s / (1 - p.s))))) AS q
+      FROM applied o JOIN {SHARE} p ON o.year = p.year) g GROUP BY year""",
+    applied=APPLIED,
+    **ridge_parts((0.1,)),
+    **KNOWN_PARTS,
+    **share_parts("applied", "year"),
+)
+def _(spark, sf):
+    domain = Domain(first_labelled_year=1996, categories={})
+    label = F.when(F.col("year") >= 1996, F.col("lien_status"))
+    records = inputs.restricted(spark, sf).withColumn("lien_status", label).persist()
+    application = reports.run_historical_application(
+        records,
+        LINEAR,
+        0.1,
+        (1996, 1997, 1998, 1999),
+        tuple(range(1995, 2002)),
+        before=1995,
+        after=1996,
+        domain=domain,
+    )
+    return application["annual"].drop("mixture_mean_minus_share")
+
+
 @query("rpt6_forest_mixture")
 def _(spark, sf):
     records = inputs.core(spark, sf).persist()

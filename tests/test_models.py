@@ -271,3 +271,16 @@ def test_fold_table_joins_each_record_per_fold(spark, sample):
     folds = [FOLD, Fold((2006,), (2004, 2005), "reverse")]
     table = fold_table(spark, folds)
     assert selection.join_targets(sample, table).count() == 600 + 600 + 800
+
+
+def test_warm_start_changes_the_path_not_the_result(sample, monkeypatch):
+    from labelshift.models import newton
+
+    spec = FeatureSpec("spline_lti", "purchaser_type")
+    cold = logistic.fit_grid(sample, [FOLD], spec, [0.1, 10.0])
+    monkeypatch.setattr(newton, "WARM_ROWS", 300)
+    monkeypatch.setattr(newton, "WARM_FROM", 1000)
+    warm = logistic.fit_grid(sample, [FOLD], spec, [0.1, 10.0])
+    for left, right in zip(cold, warm, strict=True):
+        assert right.converged and right.n_training == 1600
+        assert list(left.coefficients) == pytest.approx(right.coefficients, abs=1e-7)
