@@ -23,3 +23,11 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType |
         for position, field in enumerate(arrow)
     ]
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), struct)
+
+
+def freeze(cells: DataFrame) -> DataFrame:
+    """Turn a computed cell table, one row per planned cell, into a local one.
+
+    Later stages then neither recompute it nor carry its lineage.
+    """
+    return small_table(cells.sparkSession, cells.collect(), cells.schema)

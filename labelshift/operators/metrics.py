@@ -22,6 +22,7 @@ from ..functions.expressions import (
     ratio,
 )
 from ..functions.joins import join_bounded
+from ..functions.local import freeze
 from ..functions.local import small_table
 from .mixture import (
     SHARE_TOLERANCE,
@@ -210,7 +211,10 @@ def evaluate_probabilities(
 
 
 def cell_numbers(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number the cells, so that records carry one integer and not all keys."""
+    """Number the cells, so that records carry one integer and not all keys.
+
+    The window runs over the distinct cells only, one row each.
+    """
     ordered = Window.orderBy(*keys)
     distinct = frame.select(*keys).distinct()
     return distinct.withColumn("_cell", F.row_number().over(ordered)).persist()
@@ -248,7 +252,7 @@ def evaluate_log_ratios(
     )
     slopes = calibration_coefficients(adjusted, number, y)
     difference = F.col("mixture_share") - F.col("mean_predicted_second_share")
-    return (
+    table = (
         scores.join(shares.drop("n"), number)
         .join(slopes, number)
         .join(cells, number)
@@ -272,6 +276,9 @@ def evaluate_log_ratios(
             (F.abs(difference) < SHARE_TOLERANCE).alias("em_converged"),
         )
     )
+    frozen = freeze(table)
+    kept.unpersist()
+    return frozen
 
 
 def cell_violations(cells: DataFrame) -> DataFrame:

@@ -1187,6 +1187,89 @@ def _(spark, sf):
     return application["annual"].drop("mixture_mean_minus_share")
 
 
+VALIDATED = f"""SELECT t.fold_id || '|' || t.validation_year AS cell, t.fold_id, t.train_start, t.train_end,
+    t.validation_year, t.horizon, lien_status = 2 AS y, 1 / (1 + exp(-(r.a + r.b * (log_lti - mean) / sd))) AS probability,
+    k.a + k.b * (log_lti - mean) / sd AS log_ratio FROM clean c JOIN targets t ON c.year = t.validation_year
+    JOIN fit f ON f.fold_id = t.fold_id JOIN {RIDGE} r ON r.fold_id = t.fold_id
+    JOIN known{RIDGE_STEPS} k ON k.fold_id = t.fold_id"""
+CELL_FIELDS = "fold_id, train_start, train_end, validation_year, horizon"
+VALIDATED_PARTS = {"validated": VALIDATED, **ridge_parts((0.1,)), **KNOWN_PARTS}
+
+
+@query(
+    "rpt1_validated_shares",
+    f"""SELECT {CELL_FIELDS}, count(*) AS n_validation, round(avg(CAST(y AS INTEGER)), 6) AS actual_second_share,
+    round(avg(probability), 6) AS raw_mean_probability,
+    round(avg(CASE WHEN probability >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS raw_hard_share,
+    round(any_value(s), 6) AS mixture_share_known_source_prior,
+    round(avg(power(q - CAST(y AS INTEGER), 2)), 6) AS adjusted_brier_known_source_prior,
+    any_value(s) <= 1e-8 OR any_value(s) >= 1 - 1e-8 AS at_boundary_known_source_prior
+    FROM (SELECT o.*, p.s, 1 / (1 + exp(-(log_ratio + ln(p.s / (1 - p.s))))) AS q FROM validated o
+      JOIN {SHARE} p ON o.cell = p.cell) g GROUP BY {CELL_FIELDS}""",
+    **VALIDATED_PARTS,
+    **share_parts("validated", "cell"),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    cells = reports.run_mixture_validation(records, folds, LINEAR, 0.1, PLAIN)["cells"]
+    return cells.select(
+        *CELL_FIELDS.split(", "),
+        "n_validation",
+        "actual_second_share",
+        "raw_mean_probability",
+        "raw_hard_share",
+        "mixture_share_known_source_prior",
+        "adjusted_brier_known_source_prior",
+        "at_boundary_known_source_prior",
+    )
+
+
+@query(
+    "rpt2_calibration_cells",
+    f"""SELECT g.fold_id, g.train_start, g.train_end, g.validation_year, g.horizon, n, brier_score, log_loss,
+    observed_second_share, mean_predicted_second_share, calibration_mean_error, round(a, 6) + 0.0 AS calibration_intercept,
+    round(b, 6) + 0.0 AS calibration_slope FROM (SELECT cell, {CELL_FIELDS}, {SCORES} FROM (SELECT *, probability AS p
+      FROM validated) v GROUP BY cell, {CELL_FIELDS}) g JOIN fit12 f ON g.cell = f.cell""",
+    **VALIDATED_PARTS,
+    **calibration_parts("validated", "cell", "probability"),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    scored = reports.scored_estimators(records, folds, LINEAR, 0.1, PLAIN)
+    return reports.run_calibration_report(scored, domain=PLAIN)["metrics"]
+
+
+SEARCHED = (0.001, 0.01, 0.1, 1.0, 10.0)
+
+
+@query(
+    "sel3_coarse_and_refined",
+    """SELECT c AS regularization_c, round(avg(b), 6) AS selection_brier, count(*) AS n_horizons, sum(k)::BIGINT AS n_cells
+    FROM searched WHERE c IN (0.01, 1.0) OR abs(c - 0.1 * (SELECT best FROM chosen)) < 1e-9
+      OR abs(c - 10 * (SELECT best FROM chosen)) < 1e-9 GROUP BY c""",
+    searched=f"""SELECT c, horizon, avg(brier) AS b, count(*) AS k FROM (SELECT t.fold_id, t.validation_year, t.horizon, r.c,
+      avg(power(1 / (1 + exp(-(a + b * (log_lti - mean) / sd))) - CASE WHEN lien_status = 2 THEN 1 ELSE 0 END, 2)) AS brier
+      FROM clean c JOIN targets t ON c.year = t.validation_year JOIN fit f ON f.fold_id = t.fold_id
+      JOIN ridge12 r ON r.fold_id = t.fold_id GROUP BY ALL) g GROUP BY c, horizon""",
+    chosen="""SELECT arg_min(c, score) AS best FROM (SELECT c, avg(b) AS score FROM searched WHERE c IN (0.01, 1.0)
+      GROUP BY c) h""",
+    **ridge_parts(SEARCHED),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    outputs = selection.run_raw_selection(
+        records,
+        folds,
+        (1998, 1999, 2000, 2001),
+        specifications=[LINEAR],
+        coarse_c=(0.01, 1.0),
+        domain=PLAIN,
+    )
+    return outputs["summary"].select(
+        F.round("regularization_c", 6).alias("regularization_c"), "selection_brier", "n_horizons", "n_cells"
+    )
+
+
 @query("rpt6_forest_mixture")
 def _(spark, sf):
     records = inputs.core(spark, sf).persist()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
+from ..functions.local import freeze
 from ..models.logistic import (
     LogisticModel,
     fit_grid,
@@ -33,7 +34,7 @@ from ..operators.mixture import adjust_cells
 from ..operators.weights import is_positive
 from ..plans.folds import Fold
 from ..plans.specifications import FeatureSpec
-from .selection import FOLD_COLUMNS, freeze, target_rows
+from .selection import FOLD_COLUMNS, target_rows
 
 VARIANTS = ("pooled", "year_fixed_effect", "known_source_prior")
 ESTIMATORS = {
@@ -257,7 +258,7 @@ def run_forest_comparison(
         )
         scored = part if scored is None else scored.unionByName(part)
     scored = scored.persist()
-    metrics = freeze(evaluate_log_ratios(scored, FOLD_COLUMNS, is_positive(domain)))
+    metrics = evaluate_log_ratios(scored, FOLD_COLUMNS, is_positive(domain))
     adjusted = adjust_cells(scored, FOLD_COLUMNS)
     bins = reliability_bins(adjusted, FOLD_COLUMNS, is_positive(domain))
     return {"metrics": metrics, "bins": bins}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
-from ..functions.local import small_table
+from ..functions.local import freeze, small_table
 from ..models.logistic import coefficient_table, fit_grid, fit_model, score_grid
 from ..models.trees import fit_boosting, fit_forest
 from ..operators import aggregate, results
@@ -42,11 +42,6 @@ CELL_KEYS = ("specification", "regularization_c", "train_start", "validation_yea
 BOOSTING_KEYS = ("parameter_id", "train_start", "validation_year")
 
 
-def freeze(cells: DataFrame) -> DataFrame:
-    """Materialise a cell table; its size is the number of planned cells."""
-    return small_table(cells.sparkSession, cells.collect(), cells.schema)
-
-
 def target_rows(records: DataFrame, folds: Sequence[Fold], domain: Domain = DEFAULT) -> DataFrame:
     """Labelled target records of every fold."""
     labelled = records.where(F.col(domain.label).isNotNull())
@@ -113,8 +108,7 @@ def _grid(records, folds, candidates, done, variant, evaluate, domain) -> DataFr
         "model_id string, specification string, continuous_form string, interactions string,"
         " geography string, n_iter int, converged boolean",
     )
-    cells = evaluate(scored).join(F.broadcast(described), "model_id")
-    fresh = freeze(cells)
+    fresh = freeze(evaluate(scored).join(F.broadcast(described), "model_id"))
     return fresh if done is None else done.unionByName(fresh)
 
 
@@ -350,7 +344,7 @@ def evaluate_forward(
     fold = forward_fold(model.train_years, sorted(target_years))
     scored = model.log_ratio(target_rows(records, [fold], domain))
     cells = evaluate_log_ratios(scored, FOLD_COLUMNS, is_positive(domain))
-    return freeze(cells).withColumn("model_id", F.lit(model.model_id))
+    return cells.withColumn("model_id", F.lit(model.model_id))
 
 
 # -- tree families -----------------------------------------------------------
@@ -537,8 +531,7 @@ def run_grid(
             else:
                 raise ValueError(f"Unknown density-ratio family {family!r}")
             add(model.log_ratio(rows), family, name, F.lit(label))
-    cells = evaluate_log_ratios(scored, keys, is_positive(domain))
-    return freeze(cells)
+    return evaluate_log_ratios(scored, keys, is_positive(domain))
 
 
 def published_problems(
