@@ -128,6 +128,7 @@ def fit_grid(
     *,
     variant: str = "raw",
     parameters: Mapping[str, Mapping[str, float]] | None = None,
+    ratio_means: bool = True,
     domain: Domain = DEFAULT,
 ) -> list[LogisticModel]:
     """Fit one specification on all folds and penalties together.
@@ -136,7 +137,8 @@ def fit_grid(
     classes weigh one half of every source year; the log odds are the log
     density ratio), ``pooled`` (raw slope, normalised ratio) or
     ``year_fixed_effect`` (source-year block in the fit, dropped in the ratio).
-    Feature ``parameters`` of an earlier fit on the same folds can be reused.
+    Feature ``parameters`` of an earlier fit on the same folds can be reused;
+    ``ratio_means=False`` leaves out the normalisation diagnostics.
     """
     if variant not in ("raw", "known_source_prior", "pooled", "year_fixed_effect"):
         raise ValueError(f"Unknown logistic variant {variant!r}")
@@ -177,7 +179,7 @@ def fit_grid(
     ]
     if variant in ("pooled", "year_fixed_effect"):
         models = normalise_ratios(models, train, domain)
-    elif variant == "known_source_prior":
+    elif variant == "known_source_prior" and ratio_means:
         models = attach_ratio_means(models, train, domain)
     return models
 

@@ -83,7 +83,9 @@ def _grid(records, folds, candidates, done, variant, evaluate, domain) -> DataFr
         remaining = pending(spec, list(c_values), folds, done)
         if not remaining:
             continue
-        models = fit_grid(records, folds, spec, remaining, variant=variant, domain=domain)
+        models = fit_grid(
+            records, folds, spec, remaining, variant=variant, ratio_means=False, domain=domain
+        )
         part = score_grid(targets, models, domain=domain).select(
             "model_id", "regularization_c", *FOLD_COLUMNS, domain.label, "log_ratio"
         )
