@@ -86,7 +86,7 @@ def throughput(spark, sf_dir: str, copies: int) -> dict[str, float]:
         )
     )
     predict = timed(lambda: run(fitted[0].predict_probability(narrow).select("probability")))
-    forest_copies = max(1, copies // 10)
+    forest_copies = max(1, copies // 5)
     core = [*columns, "log_county_value_to_loan"]
     wide = copied(inputs.core(spark, sf_dir).select(*core), forest_copies)
     m = wide.count()
@@ -110,7 +110,7 @@ def throughput(spark, sf_dir: str, copies: int) -> dict[str, float]:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    copies = int(os.environ.get("BENCH_COPIES", "192"))
+    copies = int(os.environ.get("BENCH_COPIES", "96"))
     spark = local_session(app="labelshift-bench")
     spark.sparkContext.setLogLevel("ERROR")
     run(QUERIES["attrition_by_year"](spark, sf_dir))
