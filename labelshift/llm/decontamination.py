@@ -124,10 +124,13 @@ class Items:
             close = near[0][windows[:, 0]]
             for block in range(1, BLOCKS):
                 close = close | near[block][windows[:, block]]
-            for w, i in zip(*np.nonzero(close), strict=True):
-                differing = int(np.unpackbits(windows[w] ^ prints[i]).sum())
-                if differing <= self.radius:
-                    found.setdefault(int(i), []).append((differing, int(part[w])))
+            w, i = np.nonzero(close)
+            differing = np.bitwise_count(windows[w] ^ prints[i]).sum(axis=1, dtype=np.int32)
+            inside = differing <= self.radius
+            for start, item, bits in zip(
+                part[w[inside]].tolist(), i[inside].tolist(), differing[inside].tolist(), strict=True
+            ):
+                found.setdefault(item, []).append((bits, start))
         for i, places in found.items():
             elements, weights = self.bags[size][i]
             verified = []
