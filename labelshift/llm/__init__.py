@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline."""
 
-from . import decontamination, exact_dedup, packing, sharding  # noqa: F401
+from . import decontamination, exact_dedup, near_dedup, packing, sharding  # noqa: F401
 from .book import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
