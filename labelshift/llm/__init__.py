@@ -1,6 +1,13 @@
 """Operators of a training-data pipeline."""
 
-from . import decontamination, exact_dedup, near_dedup, packing, sharding  # noqa: F401
+from . import (  # noqa: F401
+    decontamination,
+    exact_dedup,
+    near_dedup,
+    packing,
+    paragraph_dedup,
+    sharding,
+)
 from .book import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
