@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     packing,
     paragraph_dedup,
     sharding,
+    toxicity,
 )
 from .book import ORACLES, QUERIES
 
