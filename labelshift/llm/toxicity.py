@@ -208,7 +208,7 @@ def train(
         parts = (chain.weights, chain.intercepts, chain.earlier)
         return pd.DataFrame([[part.astype("<f8").tobytes() for part in parts]], columns=["w", "b", "e"])
 
-    fitted = featured.groupBy(F.lit(0)).applyInPandas(fit, "w binary, b binary, e binary").collect()
+    fitted = featured.groupBy().applyInPandas(fit, "w binary, b binary, e binary").collect()
     n = len(categories)
     if not fitted:
         return Chain(np.zeros((DIMENSIONS, n)), np.zeros(n), np.zeros((n, n)))
