@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     decontamination,
     exact_dedup,
+    importance,
     near_dedup,
     packing,
     paragraph_dedup,
