@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage takes the documents its predecessor kept."""
+"""The corpus pipeline: each stage takes the documents its predecessor kept.
+
+Stages return the columns of ``documents``, whatever they are, but for the last, which returns
+one row per packed piece. Nulls, empty texts, ties, repeated rows and empty tables are treated as
+the operators' docstrings say; repeated rows leave the pipeline at exact deduplication.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +11,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelshift.llm import exact_dedup
+from labelshift.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
 from labelshift.llm.storage import stored
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain calls toxic go."""
+    labels = toxicity.chain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    chain = toxicity.train(docs, labels, toxicity.CATEGORIES)
+    return toxicity.keep_clean(docs, chain, toxicity.CATEGORIES.index("toxic"))
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts stays."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return near_dedup.keep_first(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in training sequences."""
+    return packing.pack_documents(docs, packing.vocabulary_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
 ]
 
 # Classifiers, sketches and packing are not expressible in SQL.

@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
+from .near import split_among
 from .storage import stored
 
 PREFIX_CHARS = 64
-FILTER_BITS = 1 << 23
 
 # Runs of white space. A single space already is what a run becomes, so it is left alone.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -46,42 +46,24 @@ class Refined(NamedTuple):
 
 
 def refine(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> Refined:
     rows = docs.select(F.struct("*").alias("row"))
     clean = normal(F.col(f"row.{text_col}"))
     prefix = F.xxhash64(F.substring(clean, 1, PREFIX_CHARS))
 
-    def spot(length: Column, start: Column) -> Column:
-        return F.pmod(F.xxhash64(length, start), F.lit(bits)) + 1
-
+    key = F.xxhash64(F.length(clean), prefix)
     counted = (
         rows.select(F.length(clean).alias("length"), prefix.alias("prefix"))
         .groupBy("length", "prefix")
         .count()
     )
-    shared = counted.where("count > 1").select(spot(F.col("length"), F.col("prefix")).alias("spot"))
-    # 32,768 bits a row and at most bits / 32,768 rows: one MB at any size of the input.
-    bitmaps = shared.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bitmap")
-    )
-    marked = rows.withColumn("spot", spot(F.length(clean), prefix)).select(
-        "row",
-        F.bitmap_bucket_number("spot").alias("bucket"),
-        F.bitmap_bit_position("spot").cast("int").alias("bit"),
-    )
-    byte = F.substring(F.col("bitmap"), F.expr("cast(bit div 8 as int) + 1"), F.lit(1))
-    is_set = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(
-        F.expr("shiftleft(1, cast(bit % 8 as int))")
-    )
-    found = marked.join(F.broadcast(stored(bitmaps)), "bucket", "left").withColumn(
-        "shared", F.coalesce(is_set != 0, F.lit(False))
-    )
-    with_row = found.where("shared").select("row")
+    shared = counted.where("count > 1").select(F.xxhash64("length", "prefix").alias("key"))
+    with_row, single = split_among(rows, key, shared)
     survivors = with_row.select(
         F.col(f"row.{id_col}").alias("id"), F.unhex(full_hash(F.col(f"row.{text_col}"))).alias("full")
     )
-    return Refined(stored(survivors), with_row, found.where("not shared").select("row"))
+    return Refined(stored(survivors), with_row, single)
 
 
 def grouped(survivors: DataFrame) -> DataFrame:

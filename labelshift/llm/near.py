@@ -142,10 +142,11 @@ def sketch_units(
     return chosen.mapInArrow(run, schema)
 
 
-def among(rows: DataFrame, value: Column, keys: DataFrame) -> DataFrame:
-    """The rows whose long ``value`` may be among the keys (one long column), without a shuffle.
+def split_among(rows: DataFrame, value: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose long ``value`` may be among the keys (one long column), and the others.
 
-    The keys set bits in a filter of one MB at any number of keys; a few other rows pass too.
+    The keys set bits in a filter of one MB at any number of keys, so no row is shuffled; a few
+    rows whose value is no key are among the first. ``rows`` must not use the names below.
     """
     spot = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)) + 1
     bitmaps = (
@@ -156,14 +157,14 @@ def among(rows: DataFrame, value: Column, keys: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS)) + 1
     byte = F.substring(F.col("_bitmap"), F.expr("cast(_bit div 8 as int) + 1"), F.lit(1))
     bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))"))
-    return (
+    marked = (
         rows.withColumn("_spot", own)
         .withColumn("_bucket", F.bitmap_bucket_number("_spot"))
         .withColumn("_bit", F.bitmap_bit_position("_spot").cast("int"))
-        .join(F.broadcast(stored(bitmaps)), "_bucket")
-        .where(bit != 0)
-        .select(*rows.columns)
+        .join(F.broadcast(stored(bitmaps)), "_bucket", "left")
+        .withColumn("_among", F.coalesce(bit != 0, F.lit(False)))
     )
+    return marked.where("_among").select(*rows.columns), marked.where("not _among").select(*rows.columns)
 
 
 def _bags(docs: DataFrame, wanted: DataFrame, split: Splitter, bag: Bagger, id_col: str, text_col: str) -> DataFrame:
@@ -187,7 +188,7 @@ def _bags(docs: DataFrame, wanted: DataFrame, split: Splitter, bag: Bagger, id_c
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     by_id = wanted.groupBy("id").agg(F.collect_list("key").alias("wish"))  # at most the units of a text
     spot = F.xxhash64(F.col("id"))
-    near = among(chosen, spot, by_id.select(spot.alias("spot")))
+    near, _ = split_among(chosen, spot, by_id.select(spot.alias("spot")))
     joined = near.join(by_id, near["id"].eqNullSafe(by_id["id"])).select("wish", "text")
     return stored(joined.mapInArrow(run, "key binary, bag binary").dropDuplicates(["key"]))
 

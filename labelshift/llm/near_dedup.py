@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .near import THRESHOLD, Unit, expanded, link_classes, tune
+from .near import THRESHOLD, Unit, expanded, link_classes, split_among, tune
 from .storage import stored
 from .words import MULTIPLIER, mixed, shingles, words
 
@@ -115,6 +115,22 @@ def near_classes(
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, with all columns, that stay: one of each class.
+
+    The classes of one row need no join: only rows whose id may be a removed one are moved.
+    Ids should tell texts apart; rows that share an id and a fate are all kept or all removed.
+    """
+    removed = near_classes(docs, id_col, text_col, **options).where("not kept").select("id").distinct()
+    removed = stored(removed)
+    spot = F.xxhash64(F.col("id"))
+    rows = docs.select(F.struct("*").alias("row"))
+    here = F.xxhash64(F.col(f"row.{id_col}"))
+    maybe, others = split_among(rows, here, removed.select(spot.alias("spot")))
+    stays = maybe.join(removed, maybe[f"row.{id_col}"].eqNullSafe(removed["id"]), "left_anti")
+    return others.unionAll(stays).select("row.*")
+
+
 @query("op3_dart_minhash")
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document, and whether it stays."""
