@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     near_dedup,
     packing,
     paragraph_dedup,
+    ppm,
     sharding,
     toxicity,
 )
