@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     decontamination,
     exact_dedup,
     importance,
+    language,
     near_dedup,
     packing,
     paragraph_dedup,
