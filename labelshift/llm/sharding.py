@@ -6,7 +6,7 @@ these. Smaller groups go by hash into bundles of about a fifth of that size, whi
 too. So the packing sees a number of items bounded by the shards, whatever the input.
 Items in descending size enter the bin with the tightest remaining capacity that holds them,
 found in an ordered tree; the capacity is the smallest (by bisection) at which the shards
-suffice. Where one group exceeds an even share, the capacity is that group's size.
+suffice. A group of an even share or more has a shard of its own, and the rest are evened out.
 
 Cases: a null text has no bytes, and counts as equal to the empty text. Repeated rows and rows
 with a null id are ordinary rows: a slot each. Slots follow the id; among equal ids the order is
@@ -44,18 +44,28 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
-def fewest_bytes(sizes: list[int], shards: int) -> list[int]:
-    """Bins of descending sizes at the smallest capacity found for which ``shards`` suffice."""
-    low, high = max([-(-sum(sizes) // shards), *sizes[:1]]), 2 * max([sum(sizes) // shards + 1, *sizes[:1]])
-    best = best_fit_decreasing(sizes, high)
+def even_bins(sizes: list[int], shards: int) -> list[int]:
+    """Bins of descending sizes, at the smallest capacity found for which the bins suffice.
+
+    A size of an even share of what is left or more has a bin of its own; the rest are packed
+    into the other bins.
+    """
+    alone, left = 0, sum(sizes)
+    while alone < min(shards - 1, len(sizes)) and sizes[alone] * (shards - alone) >= left:
+        left -= sizes[alone]
+        alone += 1
+    rest, bins = sizes[alone:], shards - alone
+    low = max([-(-left // bins), *rest[:1]])
+    high = 2 * low
+    best = best_fit_decreasing(rest, high)
     while low < high:
         middle = (low + high) // 2
-        bins = best_fit_decreasing(sizes, middle)
-        if max(bins, default=0) < shards:
-            best, high = bins, middle
+        tried = best_fit_decreasing(rest, middle)
+        if max(tried, default=0) < bins:
+            best, high = tried, middle
         else:
             low = middle + 1
-    return best
+    return [*range(alone), *(alone + b for b in best)]
 
 
 def assign_shards(
@@ -91,7 +101,7 @@ def assign_shards(
         [(size, 1, key) for key, size in large] + [(size, 0, key) for key, size in small],
         key=lambda item: (-item[0], item[1], item[2]),
     )
-    placed = fewest_bytes([size for size, _, _ in items], shards)
+    placed = even_bins([size for size, _, _ in items], shards)
     plan = spark.createDataFrame(
         [(bool(kind), key, shard) for (_, kind, key), shard in zip(items, placed, strict=True)],
         "is_large boolean, item long, shard int",
