@@ -89,12 +89,26 @@ def mapped(value: Column, groups: dict[str, Sequence[int]]) -> Column:
 
 
 def number_label(value: Column) -> Column:
-    """Shortest decimal label of a parameter with the point written as ``p``."""
+    """Label of a parameter by 12 significant digits, with the point written as ``p``.
+
+    The same rule as ``plans.specifications.label_number`` on the driver: powers below 1e-4 and
+    from 1e12 on are written with an exponent.
+    """
     number = value.cast("double")
-    plain = F.regexp_replace(F.format_string("%.12f", number), r"\.?0+$", "")
-    small = F.format_string("%.0e", number)
-    text = F.when((number == 0) | (F.abs(number) >= 1e-4), plain).otherwise(small)
-    return F.translate(text, ".", "p")
+    text = F.format_string("%.11e", F.abs(number))
+    digits = F.translate(F.substring_index(text, "e", 1), ".", "")
+    power = F.substring_index(text, "e", -1)
+    exponent = power.cast("int")
+    ahead = exponent + 1  # digits before the point
+    plain = F.when(
+        exponent >= 0, F.concat(F.substring(digits, F.lit(1), ahead), F.lit("."), F.substring(digits, ahead + 1, F.lit(12)))
+    ).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -ahead), digits))
+    short = F.regexp_replace(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 11)), r"\.?0+$", "")
+    shown = F.when(
+        (exponent < -4) | (exponent >= 12), F.concat(short, F.lit("e"), power)
+    ).otherwise(F.regexp_replace(plain, r"\.?0*$", ""))
+    sign = F.when(number < 0, "-").otherwise("")
+    return F.when(number == 0, "0").otherwise(F.concat(sign, F.translate(shown, ".", "p")))
 
 
 def safe_name(value: Column) -> Column:

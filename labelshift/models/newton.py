@@ -18,15 +18,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import expit
 from ..functions.local import small_table
 from ..operators.features import Term
 
 MAX_ITERATIONS = 200
 # Size of the last step; what it leaves is of the order of its square.
 TOLERANCE = 1e-6
-WARM_ROWS = 400_000
-WARM_FROM = 40_000_000
 
 
 @dataclass
@@ -71,10 +68,6 @@ class RidgeFit:
                 return
         self.candidate = self.beta + self.scale * self.step
 
-    def restart_at(self, beta: np.ndarray) -> None:
-        """Propose a point found elsewhere; it is accepted only if it is better."""
-        self.step, self.scale, self.candidate = beta - self.beta, 1.0, beta
-
 
 class Design:
     """How the features of a model are made of factors and level indicators."""
@@ -154,13 +147,13 @@ class Design:
 
     def moments(self) -> list[Column]:
         """Weighted factor moments of one pass, grouped by fit and levels."""
-        z, y, w = F.col("_z"), F.col("y"), F.col("w")
+        z, y, w, decay = F.col("_z"), F.col("y"), F.col("w"), F.col("_decay")
         mu = F.col("_mu")
         curvature, residual = w * mu * (1.0 - mu), w * (y - mu)
         values = [F.lit(1.0), *[F.col(f"_f_{k + 1}") for k in range(len(self.factors))]]
         aggregates = [
             F.count(F.lit(1)).alias("n"),
-            F.sum(w * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z)).alias("loss"),
+            F.sum(w * (F.greatest(z, F.lit(0.0)) + F.log1p(decay) - y * z)).alias("loss"),
         ]
         for k, left in enumerate(values):
             aggregates.append(F.sum(residual * left).alias(f"g_{k}"))
@@ -214,7 +207,9 @@ def newton_pass(
     )
     places = [f"_i_{c}" for c in design.categories]
     summed = (
-        scored.withColumn("_mu", expit(F.col("_z")))
+        # One exponential a row and fit serves the mean and the loss.
+        scored.withColumn("_decay", F.exp(-F.abs(F.col("_z"))))
+        .withColumn("_mu", F.when(F.col("_z") >= 0, 1.0).otherwise(F.col("_decay")) / (1.0 + F.col("_decay")))
         .groupBy("job", *places)
         .agg(*design.moments())
         .toArrow()
@@ -242,6 +237,7 @@ def fit_ridge_grid(
     ``_f_1 ..`` and the level places ``_i_<category>``. Minimises
     ``sum(w * loss) + |beta|^2 / (2 C)`` with a free intercept. Fits that have
     not converged get four times the iteration limit before they are reported.
+    The rows are kept while the passes last, and released after them.
     """
     fits = [
         RidgeFit(fold, float(c), np.zeros(design.width), np.zeros(design.width))
@@ -250,38 +246,13 @@ def fit_ridge_grid(
     ]
     if any(fit.regularization_c <= 0 for fit in fits):
         raise ValueError("C must be positive")
-    newton_pass(rows, design, fits, range(len(fits)), tolerance)
-    n_rows = sum({fit.fold: fit.n_training for fit in fits}.values())
-    if n_rows > WARM_FROM:
-        warm_start(rows, design, fits, WARM_ROWS / n_rows, max_iterations)
-    iterate(rows, design, fits, tolerance, 4 * max_iterations)
+    rows = rows.persist()
+    try:
+        for _ in range(4 * max_iterations):
+            active = [i for i, fit in enumerate(fits) if not (fit.converged or fit.failed)]
+            if not active:
+                break
+            newton_pass(rows, design, fits, active, tolerance)
+    finally:
+        rows.unpersist()
     return fits
-
-
-def iterate(
-    rows: DataFrame, design: Design, fits: Sequence[RidgeFit], tolerance: float, limit: int
-) -> None:
-    for _ in range(limit):
-        active = [i for i, fit in enumerate(fits) if not (fit.converged or fit.failed)]
-        if not active:
-            break
-        newton_pass(rows, design, fits, active, tolerance)
-
-
-def warm_start(
-    rows: DataFrame, design: Design, fits: Sequence[RidgeFit], fraction: float, limit: int
-) -> None:
-    """Move the next candidate of large fits close to their optimum.
-
-    A reweighted subset proposes a point only. The fit goes on over all records
-    to the same tolerance and takes the point only if it lowers the objective.
-    """
-    subset = rows.sample(fraction, seed=17).withColumn("w", F.col("w") / fraction).persist()
-    proposals = [
-        RidgeFit(fit.fold, fit.regularization_c, fit.beta, fit.candidate) for fit in fits
-    ]
-    iterate(subset, design, proposals, 1e-4, limit)
-    subset.unpersist()
-    for fit, proposal in zip(fits, proposals, strict=True):
-        if proposal.converged and not fit.converged:
-            fit.restart_at(proposal.beta)

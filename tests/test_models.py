@@ -273,14 +273,34 @@ def test_fold_table_joins_each_record_per_fold(spark, sample):
     assert selection.join_targets(sample, table).count() == 600 + 600 + 800
 
 
-def test_warm_start_changes_the_path_not_the_result(sample, monkeypatch):
+def test_folds_of_very_different_size_converge(spark):
     from labelshift.models import newton
-
-    spec = FeatureSpec("spline_lti", "purchaser_type")
-    cold = logistic.fit_grid(sample, [FOLD], spec, [0.1, 10.0])
-    monkeypatch.setattr(newton, "WARM_ROWS", 300)
-    monkeypatch.setattr(newton, "WARM_FROM", 1000)
-    warm = logistic.fit_grid(sample, [FOLD], spec, [0.1, 10.0])
-    for left, right in zip(cold, warm, strict=True):
-        assert right.converged and right.n_training == 1600
-        assert list(left.coefficients) == pytest.approx(right.coefficients, abs=1e-7)
+    from labelshift.operators.features import Term
+
+    x = (F.pmod(F.col("id") * 7919, F.lit(1000)) - 500) / 250
+    rows = spark.range(200_040).select(
+        F.when(F.col("id") < 200_000, 0).otherwise(1).alias("fold_no"),
+        F.when(F.pmod(F.col("id") * 31, F.lit(11)) < 4 + 3 * x, 1.0).otherwise(0.0).alias("y"),
+        F.lit(1.0).alias("w"),
+        x.alias("_f_1"),
+    )
+    design = newton.Design([Term("x", "x")], {})
+    fits = newton.fit_ridge_grid(rows, design, {0: [1.0, 0.01], 1: [1.0]})
+    assert [fit.n_training for fit in fits] == [200_000, 200_000, 40]
+    assert all(fit.converged and not fit.failed for fit in fits)
+    frame = rows.toPandas()
+    for fit in fits:
+        part = frame[frame.fold_no == fit.fold]
+        mean = 1 / (1 + np.exp(-(fit.beta[0] + fit.beta[1] * part._f_1)))
+        assert abs((part.y - mean).sum()) < 1e-5
+        assert abs(((part.y - mean) * part._f_1).sum() - fit.beta[1] / fit.regularization_c) < 1e-5
+
+
+def test_number_labels_agree_between_driver_and_records(spark):
+    from labelshift.functions.expressions import number_label
+    from labelshift.plans.specifications import label_number
+
+    values = [0.0, 1.0, 10.0, 0.1, 2.5e-05, 3e-05, 1e-4, 1e-5, 0.05, 123456.123456789, 1e11, 1e12, 2.5e13, -0.5, 1 / 3, 1e-12]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r[0] for r in frame.select(number_label(F.col("v"))).collect()]
+    assert found == [label_number(v) for v in values]

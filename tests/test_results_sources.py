@@ -117,7 +117,7 @@ def test_merged_metrics(scores):
     assert [r.forest_minus_logistic_brier for r in rows] == pytest.approx([0.05, 0.1, 0.15])
     with pytest.raises(ValueError, match="more than one row"):
         results.estimator_comparison(scores, "forest", {"logistic": other.unionByName(other)})
-    with pytest.raises(ValueError, match="same names"):
+    with pytest.raises(ValueError, match="pair up"):
         results.merge_cell_metrics(scores, "brier_score", "a", {"b": (other, "brier_score")}, {})
 
 
