@@ -64,7 +64,7 @@ class LogisticModel:
     def linear_predictor(self) -> Column:
         features = feature_columns(self.spec, literal_parameters(self.parameters), self.domain)
         if tuple(features) != self.feature_names:
-            raise ValueError("Feature columns changed after fitting")
+            raise ValueError("The model was fitted on other feature columns")
         total = F.lit(self.intercept)
         for weight, column in zip(self.coefficients, features.values(), strict=True):
             total = total + F.lit(weight) * column
@@ -141,7 +141,7 @@ def fit_grid(
     ``ratio_means=False`` leaves out the normalisation diagnostics.
     """
     if variant not in ("raw", "known_source_prior", "pooled", "year_fixed_effect"):
-        raise ValueError(f"Unknown logistic variant {variant!r}")
+        raise ValueError(f"No logistic variant is called {variant!r}")
     equal_prior = variant == "known_source_prior"
     penalties = _penalties(folds, c_values)
     by_id = {fold.fold_id: fold for fold in folds if fold.fold_id in penalties}
@@ -305,7 +305,7 @@ def fit_model(
     fold = Fold(years, (years[-1] + 1,), "forward")
     fitted = fit_grid(records, [fold], spec, [regularization_c], variant=variant, domain=domain)[0]
     if not fitted.converged:
-        raise RuntimeError("Selected logistic model did not converge")
+        raise RuntimeError("No optimum was reached for the chosen model")
     return fitted
 
 

@@ -148,5 +148,5 @@ def class_probability(listed: Column, classes: Sequence[int], target: int) -> Co
     """The probability of a class by its label, not by an assumed place."""
     places = [place for place, code in enumerate(classes) if code == target]
     if len(places) != 1:
-        raise ValueError(f"Classifier does not contain unique class {target!r}")
+        raise ValueError(f"Class {target!r} is not one of the classes, or more than one")
     return F.get(listed, F.lit(places[0]))

@@ -65,15 +65,17 @@ def require_complete(
     cells: DataFrame, candidates: Sequence[str], expected: Sequence[int] | None = None
 ) -> None:
     if cells.isEmpty():
-        raise ValueError("cannot aggregate an empty cell table")
+        raise ValueError("No cells to average")
     if not incomplete_candidates(cells, candidates, expected).isEmpty():
-        raise ValueError("candidate horizon coverage is incomplete")
+        raise ValueError("A candidate lacks horizons that others have")
 
 
 def horizon_means(
     cells: DataFrame, candidates: Sequence[str], metrics: Sequence[str]
 ) -> DataFrame:
-    return cells.groupBy(*candidates, "horizon").agg(
+    """Means by horizon; as in the summary, candidates with a null key drop out."""
+    keyed = cells.dropna(subset=list(candidates)) if candidates else cells
+    return keyed.groupBy(*candidates, "horizon").agg(
         *[F.avg(name).alias(name) for name in metrics], F.count(F.lit(1)).alias("n_cells")
     )
 
@@ -99,11 +101,11 @@ def two_stage_means(
     validate: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     if not metrics:
-        raise ValueError("metrics cannot be empty")
+        raise ValueError("No metrics to average")
     needed = [*candidates, "horizon", *metrics]
     missing = [name for name in needed if name not in cells.columns]
     if missing:
-        raise ValueError(f"cell table is missing aggregation columns: {missing}")
+        raise ValueError(f"Columns {missing} are needed for the averages")
     if validate:
         require_complete(cells, candidates, expected_horizons)
     horizons = horizon_means(cells, candidates, metrics)
@@ -317,7 +319,7 @@ def boundary_continuity(annual: DataFrame, before: int = 2003, after: int = 2004
         row.year for row in annual.where(F.col("year").isin(before, after)).select("year").collect()
     }
     if present != {before, after}:
-        raise ValueError(f"Annual table must contain {before} and {after}")
+        raise ValueError(f"Years {before} and {after} are both needed")
 
     def at(year: int, column: str):
         return F.max(F.when(F.col("year") == year, F.col(column)))

@@ -48,7 +48,7 @@ def reliability_bins(
 ) -> DataFrame:
     """Observed and predicted shares of equal-count probability bins."""
     if n_bins < 2:
-        raise ValueError("n_bins must be at least two")
+        raise ValueError("One bin is no binning")
     keys = list(keys)
     rows = frame.select(*keys, positive.alias("_y"), F.col(probability).alias("_p"))
     binned, _ = with_bins(rows, keys, "_p", n_bins, "_bin")

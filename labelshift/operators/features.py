@@ -260,7 +260,7 @@ def fit_feature_parameters(
         knots = exact_quantiles(training, [key], name, SPLINE_QUANTILES, "knots").collect()
         for row in knots:
             if len(set(row["knots"])) != len(SPLINE_QUANTILES):
-                raise ValueError(f"Spline knots are not unique for {name}")
+                raise ValueError(f"The spline of {name} has coinciding knots")
             fitted[row[key]].update(zip(knot_names(name), row["knots"], strict=True))
     if curved:
         joined = join_parameters(training, fitted, key)
@@ -274,7 +274,7 @@ def fit_feature_parameters(
             fitted[row[key]].update({k: v for k, v in row.asDict().items() if k != key})
     for values in fitted.values():
         if any("_sd" in name and not value > 0 for name, value in values.items()):
-            raise ValueError("Cannot standardize a constant or non-finite feature")
+            raise ValueError("A feature has no spread or no finite spread, so it has no standard scale")
     return fitted
 
 

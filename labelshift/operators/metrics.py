@@ -41,14 +41,25 @@ GRID_LIMIT = 12.0
 # -- proper scores -----------------------------------------------------------
 
 
+def checked(aggregate: Column, positive: Column, probability: Column) -> Column:
+    """The aggregate, or an error if a record has no label or no probability in [0, 1].
+
+    The test is part of the same aggregation, so it costs no scan.
+    """
+    valid = positive.isNotNull() & probability.between(0.0, 1.0) & ~F.isnan(probability)
+    bad = F.count_if(~F.coalesce(valid, F.lit(False)))
+    message = F.concat(F.lit("Metric cells violate their checks in "), bad.cast("string"), F.lit(" records"))
+    return F.when(bad == 0, aggregate).otherwise(F.raise_error(message))
+
+
 def score_aggregates(positive: Column, probability: Column) -> list[Column]:
     """Aggregates shared by every report of one cell."""
     y = indicator(positive)
     clipped = clip_probability(probability)
     loss = -(y * F.log(clipped) + (1.0 - y) * F.log1p(-clipped))
     return [
-        F.count(F.lit(1)).alias("n"),
-        F.avg((probability - y) * (probability - y)).alias("brier_score"),
+        checked(F.count(F.lit(1)), positive, probability).alias("n"),
+        checked(F.avg((probability - y) * (probability - y)), positive, probability).alias("brier_score"),
         F.avg(loss).alias("log_loss"),
         F.avg(y).alias("observed_second_share"),
         F.avg(probability).alias("mean_predicted_second_share"),
@@ -324,7 +335,7 @@ def confusion_aggregates(
     called = probability >= threshold
     y = indicator(positive)
     return [
-        F.count(F.lit(1)).alias("n"),
+        checked(F.count(F.lit(1)), positive, probability).alias("n"),
         F.count_if(positive & called).alias("true_positive"),
         F.count_if(~positive & called).alias("false_positive"),
         F.count_if(positive & ~called).alias("false_negative"),

@@ -102,7 +102,7 @@ def build_value_panel(
 ) -> DataFrame:
     """Apply the scale of each supported county to all its index years."""
     if method not in SCALE_COLUMNS:
-        raise ValueError(f"Unknown scaling method {method!r}; choose {', '.join(SCALE_COLUMNS)}")
+        raise ValueError(f"No scale is called {method!r}; there are {', '.join(SCALE_COLUMNS)}")
     scale = F.col(SCALE_COLUMNS[method])
     eligible = scales.where(
         (F.col("n_overlap_years") >= min_overlap_years) & scale.isNotNull()

@@ -102,13 +102,19 @@ def compare_schemas(schemas: DataFrame) -> DataFrame:
     )
 
 
+def of_year(frame: DataFrame, year: int) -> DataFrame:
+    """Records of one year; a table without a year column holds that year only."""
+    column = first_present(frame.columns, (*FIELD_ALIASES["year"], "year"))
+    return frame if column is None else frame.where(F.col(column).cast("int") == int(year))
+
+
 def compare_sources(
     year: int, sources: Mapping[str, DataFrame]
 ) -> dict[str, DataFrame]:
-    """Schema, size, completeness and frequencies of the sources of one year."""
+    """Schema, size, completeness and frequencies of one year of each source."""
     coverage = frequencies = None
     for source, frame in sources.items():
-        counts = value_counts(frame).persist()
+        counts = value_counts(of_year(frame, year)).persist()
         part = field_coverage(counts).withColumns({"source": F.lit(source), "year": F.lit(int(year))})
         listed = field_frequencies(counts).withColumns(
             {"source": F.lit(source), "year": F.lit(int(year))}

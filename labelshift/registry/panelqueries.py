@@ -285,7 +285,7 @@ FIELDS = {
 }
 VALUES = " UNION ALL ".join(
     f"SELECT '{source}' AS source, '{field}' AS field, '{entry[at]}' AS column_name, {entry[at + 1]} AS value,"
-    f" {entry[4]} AS counted FROM loans"
+    f" {entry[4]} AS counted FROM loans WHERE year = 1998"
     for field, entry in FIELDS.items()
     for source, at in (("first", 0), ("second", 2))
     if entry[at] is not None

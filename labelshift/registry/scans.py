@@ -42,12 +42,21 @@ def year_counts(spark, sf):
     texts=TEXT,
 )
 def _(spark, sf):
-    raw = text_loans(spark, sf).where(F.col("as_of_year").isin("1997", "1998"))
+    # The table on disk is partitioned by year, and each year comes from the preferred source.
+    path = f"{workspace(spark)}/annual"
+    stored = text_loans(spark, sf).withColumn("year", F.col("as_of_year").cast("int")).drop("as_of_year")
+    source_loans.convert_to_parquet(
+        stored.withColumn("source", F.lit("first")).unionByName(
+            stored.where("year = 1998").withColumn("source", F.lit("second"))
+        ),
+        path,
+    )
     wanted = (
         "year", "loan_type", "loan_amt", "app_income", "state_code", "lien_status", "resp_id", "seq_num",
     )
-    frame = source_loans.project(source_loans.canonical_columns(raw), wanted)
-    return source_loans.apply_label_policy(source_loans.numeric_columns(frame), "allow", DOMAIN)
+    return source_loans.scan_loans(
+        spark, path, years=(1997, 1998), sources=("second", "first"), columns=wanted, domain=DOMAIN
+    ).select(F.col("year").cast("double").alias("year"), *wanted[1:])
 
 
 @query(
@@ -56,12 +65,7 @@ def _(spark, sf):
     sum(CASE WHEN county_code >= 1 THEN 1 ELSE 0 END)::BIGINT AS n_county FROM loans GROUP BY year""",
 )
 def _(spark, sf):
-    return loans(spark, sf).groupBy("year").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count("lien_status").alias("n_label"),
-        F.count("edit_status").alias("n_edit"),
-        F.count_if(F.col("county_code") >= 1).alias("n_county"),
-    )
+    return source_loans.legacy_counts(loans(spark, sf))
 
 
 @query(
@@ -79,7 +83,9 @@ def _(spark, sf):
 
 @query("src4_index_panel", f"SELECT fips, year, {r('hpi', 'hpi_1990_base')} FROM hpi")
 def _(spark, sf):
-    return panels.index_panel(inputs.county_index(spark, sf))
+    path = f"{workspace(spark)}/index"
+    inputs.county_index(spark, sf).write.parquet(path)
+    return panels.read_index_panel(spark, path)
 
 
 @query("src5_monthly_series", f"SELECT fips, date, {r('zhvi')} FROM monthly")
@@ -87,7 +93,10 @@ def _(spark, sf):
     text_keys = inputs.county_monthly(spark, sf).withColumn(
         "fips", F.lpad(F.col("fips").cast("string"), 5, "0")
     )
-    return panels.monthly_series(text_keys)
+    path = f"{workspace(spark)}/monthly"
+    older = text_keys.withColumns({"zhvi": F.col("zhvi") * 2, "vintage": F.lit("2016-12")})
+    older.unionByName(text_keys.withColumn("vintage", F.lit("2017-03"))).write.partitionBy("vintage").parquet(path)
+    return panels.read_monthly_series(spark, path, "2017-03")
 
 
 @query(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..domain import (
     COLUMN_ALIASES,
@@ -105,11 +106,11 @@ def scan_loans(
     source that has it. Year and source tests are partition filters, so only
     the chosen directories are read.
     """
-    raw = spark.read.option("mergeSchema", "true").parquet(root)
+    raw = spark.read.schema(union_schema(spark, root, sources)).parquet(root)
     if years is not None:
         raw = raw.where(F.col("year").isin(*[int(year) for year in years]))
     if sources is not None:
-        raw = raw.where(chosen_source(raw, sources))
+        raw = raw.where(chosen_source(source_folders(spark, root), sources))
     frame = canonical_columns(raw)
     carried = [name for name in ("source",) if name in frame.columns]
     wanted = [*(INPUT_COLUMNS if columns is None else columns), *carried]
@@ -121,10 +122,43 @@ def scan_loans(
     return apply_label_policy(numeric_columns(frame), label_policy, domain)
 
 
-def chosen_source(raw: DataFrame, sources: Sequence[str]):
+def source_folders(spark: SparkSession, root: str) -> dict[str, list[int]]:
+    """Years of each source, from the names of the partition folders alone."""
+    found: dict[str, list[int]] = {}
+    for source in _children(spark, root, "source="):
+        years = _children(spark, f"{root.rstrip('/')}/source={source}", "year=")
+        found[source] = sorted(int(year) for year in years)
+    return found
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in file_system.listStatus(hadoop_path)]
+    return sorted(name.removeprefix(prefix) for name in names if name.startswith(prefix))
+
+
+def union_schema(spark: SparkSession, root: str, sources: Sequence[str] | None = None) -> StructType:
+    """Columns of all partitions, from one footer of each and not of each file.
+
+    A partition that lacks a column gives null.
+    """
+    fields: dict[str, StructField] = {}
+    for source, years in source_folders(spark, root).items():
+        for year in years if sources is None or source in sources else ():
+            folder = f"{root.rstrip('/')}/source={source}/year={year}"
+            for field in spark.read.parquet(folder).schema:
+                held = fields.setdefault(field.name, field)
+                if held.dataType != field.dataType:
+                    raise ValueError(f"Column {field.name} has more than one type; read its partitions one by one")
+    partitions = [StructField("source", StringType()), StructField("year", IntegerType())]
+    return StructType([*(f for name, f in fields.items() if name not in ("source", "year")), *partitions])
+
+
+def chosen_source(folders: Mapping[str, Sequence[int]], sources: Sequence[str]):
     """Partition predicate taking each year from its first available source."""
-    held = {(row.source, row.year) for row in raw.select("source", "year").distinct().collect()}
-    unknown = set(sources) - {source for source, _ in held}
+    held = {(source, year) for source, years in folders.items() for year in years}
+    unknown = set(sources) - set(folders)
     if unknown:
         raise ValueError(f"Unknown sources: {sorted(unknown)}")
     test = F.lit(False)
@@ -135,6 +169,22 @@ def chosen_source(raw: DataFrame, sources: Sequence[str]):
     return test
 
 
+LEGACY_COLUMNS = ("year", "lien_status", "edit_status", "county_code")
+
+
+def legacy_counts(frame: DataFrame) -> DataFrame:
+    """Annual completeness of a legacy table: the columns it needs, in mergeable counts.
+
+    Spark reads the four columns in batches and merges partial counts by year.
+    """
+    return frame.select(*LEGACY_COLUMNS).groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("lien_status").alias("n_label"),
+        F.count("edit_status").alias("n_edit"),
+        F.count_if(F.col("county_code") >= 1).alias("n_county"),
+    )
+
+
 def inventory(raw: DataFrame) -> DataFrame:
     """Supported (source, year) pairs with their row counts."""
     return raw.groupBy("source", "year").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -188,14 +238,18 @@ def convert_to_parquet(
         test = F.lit(False)
         for source, year in pairs:
             test = test | ((F.col("source") == source) & (F.col("year") == year))
+        # A lost job leaves files in the staging folder only; finished partitions are moved whole.
+        staged = f"{destination.rstrip('/')}.staged"
         (
             incoming.where(test)
             .hint("rebalance", "source", "year")
-            .write.mode("append")
+            .write.mode("overwrite")
             .option("compression", compression)
             .partitionBy("source", "year")
-            .parquet(destination)
+            .parquet(staged)
         )
+        for source, year in pairs:
+            move_partition(spark, staged, destination, f"source={source}/year={year}")
     return small_table(spark, pairs, "source string, year int")
 
 
@@ -203,3 +257,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     return file_system.exists(hadoop_path)
+
+
+def move_partition(spark: SparkSession, staged: str, destination: str, part: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = path(f"{staged.rstrip('/')}/{part}"), path(f"{destination.rstrip('/')}/{part}")
+    file_system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system.mkdirs(target.getParent())
+    if not file_system.rename(source, target):
+        raise OSError(f"{source} could not be moved to {target}")

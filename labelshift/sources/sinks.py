@@ -101,12 +101,14 @@ def append_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
 def replace_rows(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Replace every stored row that shares a key with ``new``."""
     if not keys:
-        raise ValueError("keys cannot be empty")
+        raise ValueError("No key columns given")
     for name, frame in (("new", new), ("existing", existing)):
         missing = [key for key in keys if key not in frame.columns]
         if missing:
-            raise ValueError(f"{name} rows are missing key columns: {missing}")
-    kept = existing.join(new.select(*keys).distinct(), list(keys), "left_anti")
+            raise ValueError(f"No key columns {missing} in the {name} rows")
+    replaced = new.select(*[F.col(key).alias(f"_new_{key}") for key in keys]).distinct()
+    same = [existing[key].eqNullSafe(replaced[f"_new_{key}"]) for key in keys]
+    kept = existing.join(replaced, same, "left_anti")
     return kept.unionByName(new)
 
 
@@ -120,9 +122,9 @@ def upsert_table(
     """
     logical = new.select(*keys).distinct().limit(2).count()
     if logical == 0:
-        raise ValueError("replacement rows cannot be empty")
+        raise ValueError("Nothing to put in place of the stored rows")
     if logical > 1:
-        raise ValueError("replacement rows must contain exactly one logical key")
+        raise ValueError("An upsert takes the rows of one key, not of several")
     combined = new
     if path_exists(spark, path):
         combined = replace_rows(spark.read.parquet(path), new, keys)
@@ -131,10 +133,23 @@ def upsert_table(
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path
     file_system = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    file_system.delete(hadoop_path(retired), True)
-    if file_system.exists(hadoop_path(path)):
-        file_system.rename(hadoop_path(path), hadoop_path(retired))
-    file_system.rename(hadoop_path(staged), hadoop_path(path))
+
+    def move(source: str, target: str) -> None:
+        if not file_system.rename(hadoop_path(source), hadoop_path(target)):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+    stored = file_system.exists(hadoop_path(path))
+    if stored:
+        # A retired copy beside a stored table is left over from an earlier swap that ended well.
+        if file_system.exists(hadoop_path(retired)) and not file_system.delete(hadoop_path(retired), True):
+            raise OSError(f"{retired} could not be removed")
+        move(path, retired)
+    try:
+        move(staged, path)
+    except Exception:
+        if stored:
+            move(retired, path)
+        raise
     return spark.read.parquet(path)
 
 

@@ -50,7 +50,7 @@ def merge_records(metadata: Sequence[str], parts: Sequence[DataFrame]) -> DataFr
         fields = [name for name in part.columns if name not in metadata]
         shared = sorted(set(fields) & set(held))
         if shared:
-            raise ValueError(f"metric record fields overlap: {', '.join(shared)}")
+            raise ValueError(f"Two parts of a record both hold {', '.join(shared)}")
         held.extend(fields)
     merged = parts[0]
     for part in parts[1:]:

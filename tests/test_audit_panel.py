@@ -157,7 +157,7 @@ def test_panel_support_and_method(proportional):
     built = panel.build_value_panel(index, scales, [2015, 2016, 2017], min_overlap_years=3)
     rows = built.orderBy("year").collect()
     assert [r.county_value for r in rows] == pytest.approx([200_000.0, 220_000.0, 240_000.0])
-    with pytest.raises(ValueError, match="Unknown scaling method"):
+    with pytest.raises(ValueError, match="No scale is called"):
         panel.build_value_panel(index, scales, [2017], "not-a-method")
     support = panel.support_summary(scales, [1, 3]).orderBy("min_overlap_years").collect()
     assert [r.n_counties for r in support] == [2, 1]

@@ -235,7 +235,19 @@ def test_log_mean_exp_does_not_overflow(spark):
 
 def test_invalid_share_and_non_finite_ratio(spark):
     frame = spark.createDataFrame([("c", float("nan"))], "cell string, log_ratio double")
-    with pytest.raises(ValueError, match="strictly between"):
+    with pytest.raises(ValueError, match="inside"):
         mixture.estimate_shares_em(frame, ["cell"], initial=0.0)
     with pytest.raises(ValueError, match="non-finite"):
         mixture.estimate_shares(frame, ["cell"])
+
+
+def test_scores_refuse_unlabelled_and_invalid_records(spark):
+    good = [(True, 0.9), (False, 0.2)]
+    for extra in ((None, 0.5), (True, None), (True, float("nan")), (False, 1.5)):
+        frame = spark.createDataFrame([*good, extra], "y boolean, probability double")
+        with pytest.raises(Exception, match="violate their checks"):
+            metrics.proper_scores(frame, [], F.col("y")).collect()
+        with pytest.raises(Exception, match="violate their checks"):
+            metrics.threshold_metrics(frame, [], F.col("y")).collect()
+    row = metrics.proper_scores(spark.createDataFrame(good, "y boolean, probability double"), [], F.col("y")).first()
+    assert row.n == 2 and row.observed_second_share == 0.5

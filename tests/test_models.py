@@ -134,9 +134,9 @@ def test_unusable_inputs_are_rejected(sample):
     bad = sample.withColumn("loan_type", F.when(F.col("id") == 3, 99).otherwise(F.col("loan_type")))
     with pytest.raises(ValueError, match="loan_type_unknown"):
         logistic.fit_grid(bad, [FOLD], LINEAR, [1.0])
-    with pytest.raises(ValueError, match="constant"):
+    with pytest.raises(ValueError, match="no spread"):
         logistic.fit_grid(sample.withColumn("log_lti", F.lit(1.0)), [FOLD], LINEAR, [1.0])
-    with pytest.raises(ValueError, match="not unique"):
+    with pytest.raises(ValueError, match="coinciding"):
         tied = sample.withColumn("log_lti", F.when(F.col("id") == 1, 2.0).otherwise(1.0))
         logistic.fit_grid(tied, [FOLD], FeatureSpec("spline_lti", "none"), [1.0])
     with pytest.raises(ValueError, match="positive"):
@@ -169,7 +169,7 @@ def test_ratio_variants(sample):
     table = reports.year_intercepts(sample, [effects]).collect()
     gaps = [r.normalization_gap for r in table]
     assert len(table) == 2 and max(gaps) - min(gaps) < 0.25
-    with pytest.raises(ValueError, match="Unknown logistic variant"):
+    with pytest.raises(ValueError, match="No logistic variant"):
         logistic.fit_grid(sample, [FOLD], LINEAR, [1.0], variant="other")
 
 
@@ -220,7 +220,7 @@ def test_class_probability_by_label(spark):
         trees.class_probability(F.col("p"), (1, 2), 2).alias("b"),
     ).first()
     assert tuple(picked) == (0.25, 0.75)
-    with pytest.raises(ValueError, match="unique class"):
+    with pytest.raises(ValueError, match="one of the classes"):
         trees.class_probability(F.col("p"), (1, 1), 2)
 
 
