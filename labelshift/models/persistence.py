@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..domain import Domain
 from ..functions.local import small_table
 from ..plans.specifications import parse_specification
 from ..sources.loans import path_exists
@@ -25,6 +27,17 @@ READERS = {
 }
 
 
+def domain_document(domain: Domain) -> dict:
+    """The domain a model was fitted with, as plain values."""
+    # Pairs, not an object: the order of the categories is that of the features.
+    return {**asdict(domain), "categories": [[k, list(v)] for k, v in domain.categories.items()]}
+
+
+def restored_domain(document: dict) -> Domain:
+    plain = {k: tuple(v) if isinstance(v, list) else v for k, v in document.items()}
+    return Domain(**{**plain, "categories": {k: tuple(v) for k, v in document["categories"]}})
+
+
 def _metadata(model, counts, feature_names, hyperparameters: dict, body: dict) -> tuple:
     equal = getattr(model, "variant", "known_source_prior") == "known_source_prior"
     return (
@@ -60,6 +73,12 @@ def save_logistic(
         "coefficients": list(model.coefficients),
         "intercept": model.intercept,
         "year_effects": list(model.year_effects),
+        "n_iter": model.n_iter,
+        "converged": model.converged,
+        "raw_intercept": model.raw_intercept,
+        "mean_ratio_first": model.mean_ratio_first,
+        "mean_inverse_ratio_second": model.mean_inverse_ratio_second,
+        "domain": domain_document(model.domain),
     }
     row = _metadata(model, counts, model.feature_names, {"C": model.regularization_c}, body)
     _write(spark, path, row)
@@ -84,6 +103,12 @@ def load_logistic(spark: SparkSession, path: str, expected_id: str | None = None
         intercept=body["intercept"],
         n_training=row.n_training,
         year_effects=tuple(body["year_effects"]),
+        n_iter=body["n_iter"],
+        converged=body["converged"],
+        raw_intercept=body["raw_intercept"],
+        mean_ratio_first=body["mean_ratio_first"],
+        mean_inverse_ratio_second=body["mean_inverse_ratio_second"],
+        domain=restored_domain(body["domain"]),
     )
     _check_identity(row.model_id, model.model_id, expected_id)
     return model
@@ -98,7 +123,11 @@ def save_tree(
     hyperparameters: dict,
 ) -> None:
     model.fitted.write().overwrite().save(f"{path}/model")
-    body = {"identifier": model.identifier, "feature_set": model.feature_set}
+    body = {
+        "identifier": model.identifier,
+        "feature_set": model.feature_set,
+        "domain": domain_document(model.domain),
+    }
     row = _metadata(model, counts, feature_names, hyperparameters, body)
     _write(spark, f"{path}/metadata", row)
 
@@ -108,7 +137,8 @@ def load_tree(spark: SparkSession, path: str, expected_id: str | None = None) ->
     body = json.loads(row["body"])
     fitted = READERS[row.family].load(f"{path}/model")
     years = tuple(row.train_years)
-    model = TreeModel(row.family, body["identifier"], years, fitted, body["feature_set"])
+    domain = restored_domain(body["domain"])
+    model = TreeModel(row.family, body["identifier"], years, fitted, body["feature_set"], domain)
     _check_identity(row.model_id, model.model_id, expected_id)
     return model
 

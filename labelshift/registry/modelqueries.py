@@ -9,7 +9,13 @@ from ..functions.local import small_table
 from ..models import logistic, persistence, trees
 from ..operators import aggregate, bins, features, metrics, mixture, quantiles, weights
 from ..plans.folds import fold_table, join_targets
-from ..plans.specifications import BoostingParameters, FeatureSpec, parse_specification
+from ..plans.specifications import (
+    COARSE_C,
+    BoostingParameters,
+    FeatureSpec,
+    parse_specification,
+    restricted_specifications,
+)
 from ..workflows import reports, selection
 from . import inputs
 from .book import query, r, workspace
@@ -1030,6 +1036,145 @@ def _(spark, sf):
     )
 
 
+OPTIMA = """SELECT s.fold_id, p.c AS regularization_c, count(*) AS n_training,
+    count(*) FILTER (lien_status = 2) AS n_second, 0.0::DOUBLE AS largest_gradient, TRUE AS converged
+    FROM clean c JOIN sources s ON c.year = s.year CROSS JOIN (VALUES {values}) p(c) GROUP BY 1, 2"""
+
+
+def optima(*values: float) -> str:
+    return OPTIMA.format(values=", ".join(f"({value!r}::DOUBLE)" for value in values))
+
+
+def optimum_table(spark, records, folds, models, equal_prior=False):
+    """Certificates: the penalised gradient of each fit at its coefficients, from the records.
+
+    Training records are counted and the gradient of every feature, the intercept and the year
+    effects is summed anew, by feature columns and not by level moments; all must be zero.
+    """
+    spec, names = models[0].spec, models[0].feature_names
+    window = max(len(m.year_effects) for m in models)
+    table = small_table(
+        spark,
+        [
+            (m.fold_id, m.regularization_c, m.converged, m.raw_intercept, list(m.coefficients), [0.0, *m.year_effects])
+            for m in models
+        ],
+        "fold_id string, regularization_c double, converged boolean, _a double, _b array<double>, _e array<double>",
+    )
+    train = logistic.training_rows(records, folds, equal_prior=equal_prior, domain=DOMAIN)
+    rows = features.join_parameters(train, {m.fold_id: m.parameters for m in models}).join(F.broadcast(table), "fold_id")
+    columns = features.feature_columns(spec, features.column_parameters(), DOMAIN)
+    effect = F.coalesce(F.get("_e", F.col("year_position")), F.lit(0.0))
+    z = F.col("_a") + effect
+    for i, name in enumerate(names):
+        z = z + F.get("_b", F.lit(i)) * columns[name]
+    second = positive()
+    residual = F.col("source_weight") * (second.cast("double") - 1 / (1 + F.exp(-z)))
+    c, scale = F.col("regularization_c"), features.YEAR_EFFECT_SCALE
+    gradients = [F.sum(residual)]
+    gradients += [F.sum(residual * columns[name]) - F.first(F.get("_b", F.lit(i)) / c) for i, name in enumerate(names)]
+    gradients += [
+        F.sum(F.when(F.col("year_position") == k, residual * scale).otherwise(0.0)) - F.first(F.get("_e", F.lit(k)) / scale / c)
+        for k in range(1, window + 1)
+    ]
+    return rows.groupBy("fold_id", "regularization_c", "converged").agg(
+        F.count(F.lit(1)).alias("n_training"),
+        F.count_if(second).alias("n_second"),
+        F.array_max(F.array(*[F.abs(g) for g in gradients])).alias("largest_gradient"),
+    )
+
+
+@query("est1_ridge_path_optima", optima(*PENALTIES))
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    models = logistic.fit_grid(records, folds, SPLINE, PENALTIES, domain=DOMAIN)
+    return optimum_table(spark, records, folds, models)
+
+
+@query("est4_known_source_prior_optima", optima(0.1))
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    models = logistic.fit_grid(records, folds, SPLINE, (0.1,), variant="known_source_prior", domain=DOMAIN)
+    return optimum_table(spark, records, folds, models, equal_prior=True)
+
+
+@query("est6_year_effect_optima", optima(0.1))
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    models = logistic.fit_grid(records, folds, SPLINE, (0.1,), variant="year_fixed_effect", domain=DOMAIN)
+    return optimum_table(spark, records, folds, models)
+
+
+@query("sel4_geographic_optima", optima(0.1))
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    region = parse_specification("restricted__spline_lti__purchaser_type__region")
+    return optimum_table(spark, records, folds, logistic.fit_grid(records, folds, region, (0.1,), domain=DOMAIN))
+
+
+@query("sel5_spline_interaction_optima", optima(0.1))
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    spec = parse_specification("restricted__spline_lti__purchaser_type_spline_lti")
+    return optimum_table(spark, records, folds, logistic.fit_grid(records, folds, spec, (0.1,), domain=DOMAIN))
+
+
+@query(
+    "agg33_source_year_shares",
+    """SELECT s.fold_id, c.year AS source_year, count(*) AS n_source,
+    round(avg(CASE WHEN lien_status = 2 THEN 1.0 ELSE 0.0 END), 6) AS observed_second_share,
+    round(ln(avg(CASE WHEN lien_status = 2 THEN 1.0 ELSE 0.0 END) / (1 - avg(CASE WHEN lien_status = 2 THEN 1.0 ELSE 0.0 END))), 6)
+      AS observed_logit_share, TRUE AS gap_adds_up FROM clean c JOIN sources s ON c.year = s.year GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    models = logistic.fit_grid(records, folds, LINEAR, (1.0,), variant="year_fixed_effect", domain=DOMAIN)
+    gap = F.col("fitted_year_intercept") - F.col("observed_logit_share") - F.col("log_ratio_offset")
+    return reports.year_intercepts(records, models, DOMAIN).select(
+        "fold_id",
+        "source_year",
+        "n_source",
+        "observed_second_share",
+        "observed_logit_share",
+        (F.abs(gap - F.col("normalization_gap")) < 1e-9).alias("gap_adds_up"),
+    )
+
+
+@query(
+    "est15_coefficients_by_window",
+    f"""SELECT d.train_start, v.feature, round(CASE v.feature WHEN 'intercept' THEN r.a ELSE r.b END, 6) + 0.0 AS coefficient
+    FROM {RIDGE} r JOIN folds d ON d.fold_id = r.fold_id CROSS JOIN (VALUES ('intercept'), ('slope')) v(feature)""",
+    **ridge_parts((0.1,)),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    table = selection.coefficient_stability(records, folds, {LINEAR: 0.1}, PLAIN)
+    feature = F.when(F.col("feature") == "intercept", "intercept").otherwise("slope")
+    return table.select("train_start", feature.alias("feature"), "coefficient")
+
+
+@query(
+    "snk7_stored_model_scores",
+    """SELECT year, count(*) AS n, 0.0::DOUBLE AS largest_difference, 'known_source_prior' AS variant, TRUE AS same_identity
+    FROM clean GROUP BY year""",
+)
+def _(spark, sf):
+    """A model read back scores every record as the fitted one does."""
+    records, _ = training(spark, sf)
+    years = (1998, 1999, 2000, 2001)
+    fitted = logistic.fit_model(records, SPLINE, 0.1, years, variant="known_source_prior", domain=DOMAIN)
+    counts = weights.training_counts(records.where(F.col("year").isin(*years)), (), DOMAIN).first()
+    path = f"{workspace(spark)}/model"
+    persistence.save_logistic(spark, fitted, path, (counts.n_training, counts.n_first, counts.n_second))
+    restored = persistence.load_logistic(spark, path, fitted.model_id)
+    difference = F.abs(fitted.linear_predictor() - restored.linear_predictor())
+    return records.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n"), F.max(difference).alias("largest_difference"),
+        F.lit(restored.variant).alias("variant"),
+        F.lit(restored.model_id == fitted.model_id and restored.converged == fitted.converged).alias("same_identity"),
+    )
+
+
 @query("est1_ridge_path_full")
 def _(spark, sf):
     records, folds = training(spark, sf)
@@ -1288,13 +1433,10 @@ def _(spark, sf):
     return reports.run_forest_comparison(records, labelled_folds(records)[-1:], DOMAIN)["metrics"]
 
 
-GRID_SPECS = (LINEAR, parse_specification("restricted__linear__loan_type"))
-
-
 @query("sel1_candidate_grid")
 def _(spark, sf):
     records, folds = training(spark, sf)
-    candidates = {spec: (0.01, 1.0) for spec in GRID_SPECS}
+    candidates = {spec: COARSE_C for spec in restricted_specifications()}
     first = selection.evaluate_raw_grid(records, folds[-1:], candidates, domain=DOMAIN)
     return selection.evaluate_raw_grid(records, folds, candidates, first, DOMAIN)
 
@@ -1303,7 +1445,7 @@ def _(spark, sf):
 def _(spark, sf):
     records, folds = training(spark, sf)
     outputs = selection.run_raw_selection(
-        records, folds, (1998, 1999, 2000, 2001), specifications=GRID_SPECS, domain=DOMAIN
+        records, folds, (1998, 1999, 2000, 2001), specifications=restricted_specifications(), domain=DOMAIN
     )
     return outputs["summary"]
 
@@ -1313,7 +1455,7 @@ def _(spark, sf):
     records, folds = training(spark, sf)
     core_cells = selection.evaluate_raw_grid(records, folds, {LINEAR: (1.0,)}, domain=DOMAIN)
     outputs = selection.run_geographic_challengers(
-        records, folds, core_cells, LINEAR, 1.0, coarse_c=(0.01, 1.0), domain=DOMAIN
+        records, folds, core_cells, LINEAR, 1.0, domain=DOMAIN
     )
     return outputs["increment"]
 
@@ -1323,7 +1465,7 @@ def _(spark, sf):
     records, folds = training(spark, sf)
     core_cells = selection.evaluate_raw_grid(records, folds, {LINEAR: (1.0,)}, domain=DOMAIN)
     outputs = selection.run_spline_challenger(
-        records, folds, core_cells, LINEAR, 1.0, coarse_c=(0.01, 1.0), domain=DOMAIN
+        records, folds, core_cells, LINEAR, 1.0, domain=DOMAIN
     )
     return outputs["comparison"]
 
@@ -1333,13 +1475,11 @@ def _(spark, sf):
     records, folds = training(spark, sf)
     outputs = selection.run_mixture_selection(
         records,
-        folds[:-1],
+        folds,
         LINEAR,
         (1995, 1996, 1997, 1998),
         (1999, 2000, 2001),
-        specifications=GRID_SPECS,
-        coarse_c=(0.01, 1.0),
-        n_survivors=2,
+        specifications=restricted_specifications(),
         domain=DOMAIN,
     )
     return outputs["summary"]
