@@ -40,8 +40,8 @@ from .words import WordHashes, hashed, texts, words
 
 ORDER = 5
 END = 10
-CHUNK_BYTES = 48_000_000
-BATCH_BYTES = 4_000_000
+CHUNK_BYTES = 32_000_000
+BATCH_BYTES = 1_500_000
 SHARD_GRAMS = 400_000
 _WORD = np.uint64(1 << 63)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -207,7 +207,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(counted(grams(lists)[0], train))
                 parts.append(counted(_word_keys([w for tokens in lists for w in tokens], hashes), train))
                 waiting += len(parts[-1][0]) + len(parts[-2][0])
-        if waiting > 8_000_000:
+        if waiting > 2_000_000:
             parts = [merged(parts)]
             waiting = len(parts[0][0])
     keys, n = merged(parts)

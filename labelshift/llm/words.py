@@ -14,19 +14,41 @@ import xxhash
 
 SHINGLE = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_KEPT = 1_000_000
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; remembers words, so that a repeated word costs a lookup."""
+class Remembered(dict):
+    """What was made of a word, so that a repeated word costs a lookup.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEPT:
+    Holds at most two generations of ``LIMIT`` words; a word that comes again stays.
+    """
+
+    LIMIT = 200_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def make(self, word: bytes):
+        raise NotImplementedError
+
+    def __missing__(self, word: bytes):
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(self) >= self.LIMIT:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[word] = value
         return value
 
 
+class WordHashes(Remembered):
+    """Word to 64-bit hash."""
+
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     values = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
