@@ -36,10 +36,10 @@ def test_incomplete_horizons_are_rejected(spark, cells):
         aggregate.two_stage_means(cells, ["candidate"], ["other"])
 
 
-def test_null_candidate_drops_from_the_summary_only(spark, cells):
+def test_null_candidate_drops_from_both_tables(spark, cells):
     with_null = cells.unionByName(cells.withColumn("candidate", F.lit(None).cast("string")))
     horizons, summary = aggregate.two_stage_means(with_null, ["candidate"], ["score"])
-    assert horizons.count() == 4 and summary.count() == 1
+    assert horizons.count() == 2 and summary.count() == 1
 
 
 def test_family_summary_keeps_null_seed(spark):
