@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
+from .near import split_among
 from .storage import stored
 from .words import MULTIPLIER, WordHashes, hashed, mixed, texts, words
 
@@ -42,7 +43,14 @@ def ngram_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str)
     """Bucket counts of the target rows and of all rows; ``labels`` holds target ids."""
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     target = labels.select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
-    joined = chosen.join(target, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # Only rows whose id may be a target's are moved, and at every size in the same way.
+    spot = F.xxhash64(F.col("id"))
+    maybe, others = split_among(chosen, spot, target.select(spot.alias("spot")))
+    joined = (
+        maybe.join(target.hint("merge"), "id", "left")
+        .select("text", F.coalesce("good", F.lit(False)).alias("good"))
+        .unionAll(others.select("text", F.lit(False).alias("good")))
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
