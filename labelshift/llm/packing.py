@@ -26,43 +26,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .words import texts
+from .words import Remembered, texts
 
 LENGTH = 4096
 BUFFER_SEQUENCES = 256
 END_ID = 2
-_KEPT_WORDS = 1_000_000
 _MARKS = b".,!?;:|#$%&*\"()"
 _LOADED: dict[str, WordTokens] = {}
 
 
-class WordTokens(dict):
+class WordTokens(Remembered):
     """Token ids (unsigned 32-bit, little-endian bytes) of words between white space.
 
     The tokenizer splits at white space and between letters and marks, so a word's ids do not
     depend on its neighbours, and a letter's word with trailing marks is encoded as two parts.
     """
 
+    LIMIT = 250_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
+    def make(self, word: bytes) -> bytes:
         part = word if b"<|" in word else word.lower()
         core = part.rstrip(_MARKS)
         if b"<|" not in part and core and core != part and core.decode()[-1].isalpha():
-            value = self[core] + self[part[len(core) :]]
-        elif part != word:
-            value = self[part]
-        else:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            value = np.array(ids, "<u4").tobytes()
-        self[word] = value
-        return value
+            return self[core] + self[part[len(core) :]]
+        if part != word:
+            return self[part]
+        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
 
 def word_tokens(path: str) -> WordTokens:

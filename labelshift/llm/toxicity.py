@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .words import texts, words
+from .words import Remembered, texts, words
 
 MAX_LABELLED = 6000
 FOLDS = 3
@@ -46,7 +46,6 @@ L2 = 1e-6
 LEAST_DOCS = 8
 LEAST_Z = 4.0
 _MARKS = b".,!?;:|#$%&*\"()[]{}'-_/"
-_KEPT_WORDS = 1_000_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -58,19 +57,17 @@ def word_features(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(part) % DIMENSIONS for part in parts]
 
 
-class WordSums(dict):
+class WordSums(Remembered):
     """The summed weights of a word's features, one for each category."""
 
+    LIMIT = 150_000
+
     def __init__(self, weights: np.ndarray):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        found = word_features(word)
-        value = self[word] = self.weights[found].sum(axis=0) if found else np.zeros(self.weights.shape[1])
-        return value
+    def make(self, word: bytes) -> tuple[float, ...]:
+        return tuple(self.weights[word_features(word)].sum(axis=0).tolist())
 
 
 class Chain:
@@ -220,8 +217,8 @@ def _scored(chain: Chain, batch: pa.RecordBatch, column: str, sums: WordSums) ->
     out = []
     for text in texts(batch, column):
         tokens = words(text)
-        total = np.sum([sums[word] for word in tokens], axis=0) if tokens else np.zeros(len(chain.intercepts))
-        out.append(total / math.sqrt(max(1, len(tokens))))
+        found = np.array(list(map(sums.__getitem__, tokens))).reshape(-1, len(chain.intercepts))
+        out.append(found.sum(axis=0) / math.sqrt(max(1, len(tokens))))
     logits = chain.logits(np.array(out).reshape(-1, len(chain.intercepts)))
     return 1 / (1 + np.exp(-logits))
 
