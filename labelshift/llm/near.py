@@ -35,7 +35,7 @@ from .words import MULTIPLIER, WordHashes, mixed, texts
 
 THRESHOLD = 0.8
 BLOCK_MEMBERS = 1024
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 FILTER_BITS = 1 << 23
 
 
