@@ -60,7 +60,7 @@ def word_features(word: bytes) -> list[int]:
 class WordSums(Remembered):
     """The summed weights of a word's features, one for each category."""
 
-    LIMIT = 150_000
+    LIMIT = 75_000
 
     def __init__(self, weights: np.ndarray):
         super().__init__()

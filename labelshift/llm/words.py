@@ -22,7 +22,7 @@ class Remembered(dict):
     Holds at most two generations of ``LIMIT`` words; a word that comes again stays.
     """
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self) -> None:
         super().__init__()
