@@ -101,14 +101,32 @@ def band_keys(sketch: np.ndarray, banding: Banding) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def prefix_keys(elements: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of a small bag's least elements; two bags that reach the threshold share one for certain."""
+    kept = len(elements) - math.ceil(threshold * len(elements) - 1e-9) + 1
+    return mixed(elements[:kept] * MULTIPLIER).view(np.int64)
+
+
 def id_type(frame: DataFrame, name: str) -> str:
     return frame.schema[name].dataType.simpleString()
 
 
 def sketch_units(
-    docs: DataFrame, split: Splitter, bag: Bagger, sketch: Sketcher, banding: Banding, id_col: str, text_col: str
+    docs: DataFrame,
+    split: Splitter,
+    bag: Bagger,
+    sketch: Sketcher,
+    banding: Banding,
+    id_col: str,
+    text_col: str,
+    small: int = 0,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """id, unit, start, stop, n_words, key, bands, low (lowest byte of each value) of each unit."""
+    """id, unit, start, stop, n_words, key, bands, low (lowest byte of each value) of each unit.
+
+    Bags of up to ``small`` elements have prefix keys for bands and an empty ``low``; those that can
+    still reach the threshold with one of them have both.
+    """
     from .words import hashed
 
     schema = (
@@ -120,12 +138,18 @@ def sketch_units(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows, bands = [], []
+            rows, bands, n_bands = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 for unit in split(text):
-                    values = sketch(bag(hashed(unit.tokens, hashes)))
-                    bands.append(band_keys(values, banding))
-                    low = (values & np.uint64(255)).astype(np.uint8).tobytes()
+                    elements, low, own = bag(hashed(unit.tokens, hashes)), b"", []
+                    if not small or len(elements) > small:
+                        values = sketch(elements)
+                        own.append(band_keys(values, banding))
+                        low = (values & np.uint64(255)).astype(np.uint8).tobytes()
+                    if small and len(elements) * threshold <= small:
+                        own.append(prefix_keys(elements, threshold))
+                    bands.extend(own)
+                    n_bands.append(sum(map(len, own)))
                     rows.append(
                         (doc_id, unit.number, unit.start, unit.end, len(unit.tokens), content_key(unit.tokens), low)
                     )
@@ -133,7 +157,7 @@ def sketch_units(
                 columns = list(zip(*rows, strict=True))
                 kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-                offsets = np.arange(len(rows) + 1, dtype=np.int32) * banding.bands
+                offsets = np.concatenate([[0], np.cumsum(n_bands)]).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(bands)))
                 arrays.append(pa.array(columns[6], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names)
@@ -195,7 +219,10 @@ def _bags(docs: DataFrame, wanted: DataFrame, split: Splitter, bag: Bagger, id_c
 
 @F.pandas_udf(DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    same = [np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) for x, y in zip(a, b)]
+    same = [
+        np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) if x and y else 1.0  # small: no sketch
+        for x, y in zip(a, b)
+    ]
     return pd.Series(same, dtype="float64")
 
 
@@ -274,12 +301,13 @@ def link_classes(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    small: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """All units (as ``sketch_units``, without sketches), and (key, label) of linked contents.
 
     Contents without a link are absent from the second table.
     """
-    made = stored(sketch_units(docs, split, bag, sketch, banding, id_col, text_col))
+    made = stored(sketch_units(docs, split, bag, sketch, banding, id_col, text_col, small, threshold))
     contents = made.groupBy("key").agg(
         F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("low").alias("low")
     )

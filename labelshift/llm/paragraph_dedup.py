@@ -1,9 +1,17 @@
-"""Repeated passages: paragraphs that are equal or nearly equal across or within documents.
+"""Repeated passages: lines that are equal or nearly equal, and runs of words across and inside lines.
 
-A paragraph is a line of at least ``min_words`` words. Its set of five-word shingles gets a
-MinHash signature whose banding is tuned for high recall at the threshold; colliding paragraphs
-are verified by exact Jaccard similarity, and the removals are clustered by connected
-components. The first paragraph of a cluster, by document id and place, stays.
+*Lines.* A paragraph is a line of at least ``min_words`` words. Its set of five-word shingles is
+compared by exact Jaccard similarity with those it meets: lines of more than ``SMALL`` shingles
+by MinHash banding tuned for high recall at the threshold, smaller ones by the least elements of
+their sets, which loses no pair. The removals are clustered by connected components. The first
+paragraph of a cluster, by document id and place, stays.
+
+*Passages.* Whatever the line ends, windows of ``WINDOW`` words are compared by their words. They
+start where the hash of a five-word shingle is the least of ``REACH`` neighbours, so every run of
+``WINDOW + REACH - 1`` = 25 words that two places share holds a window that both have. A passage of
+50 words or more with words replaced and a Jaccard similarity of 0.8 or more keeps such a run, as
+each replaced word costs five shingles. Windows that overlap a removed line are set aside first;
+of the others with equal words (similarity 1) the first stays.
 
 Cases: null and empty texts have no paragraphs. A row with a null id counts after all others.
 Rows that repeat an id and its text hold the same paragraphs, so their paragraphs are in one
@@ -14,19 +22,25 @@ through by ``remove_repeats`` and otherwise not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .near import THRESHOLD, Splitter, Unit, link_classes, tune
+from .near import THRESHOLD, Splitter, Unit, link_classes, split_among, tune
 from .storage import stored
-from .words import MULTIPLIER, mixed, shingles, texts, words
+from .words import MULTIPLIER, WordHashes, hashed, mixed, shingles, texts, words
 
-MIN_WORDS = 50
+MIN_WORDS = 5
+SMALL = 45
+WINDOW = 13
+REACH = 13
+_WORD = re.compile(rb"[^\t-\r ]+")
 
 
 def paragraphs(min_words: int) -> Splitter:
@@ -57,25 +71,15 @@ def min_hashes(k: int) -> Callable[[np.ndarray], np.ndarray]:
     return sketch
 
 
-def repeated_paragraphs(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_words: int = MIN_WORDS,
-    threshold: float = THRESHOLD,
-) -> DataFrame:
-    """id, paragraph, start, stop (bytes), n_words, cluster_id, cluster_size, removed of each
-    paragraph that others repeat; cluster_id is the id of the document whose paragraph stays."""
-    banding = tune(threshold)
-    units, labels = link_classes(
-        docs, paragraphs(min_words), shingle_set, min_hashes(banding.size), banding, threshold, id_col, text_col
-    )
-    placed = stored(
-        units.join(labels, "key", "left").select(
-            "id", "unit", "start", "stop", "n_words", F.coalesce("label", "key").alias("label")
-        )
-    )
-    place = F.struct(F.col("id").isNull(), F.col("id"), F.col("unit"))
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (with a hash of the text, so that equal and null ids are told apart) and text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias("id"), text.alias("text"))
+
+
+def _clustered(placed: DataFrame, unit: str) -> DataFrame:
+    """The rows of each ``label`` with two places or more: cluster_id, cluster_size, removed."""
+    place = F.struct(F.col("id.id").isNull(), F.col("id.id"), F.col(unit))
     clusters = (
         placed.groupBy("label")
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("cluster_size"))
@@ -93,13 +97,125 @@ def repeated_paragraphs(
     )
 
 
+def _repeated_lines(identified: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    banding = tune(threshold)
+    units, labels = link_classes(
+        identified, paragraphs(min_words), shingle_set, min_hashes(banding.size), banding, threshold, "id", "text", SMALL
+    )
+    placed = stored(
+        units.join(labels, "key", "left").select(
+            "id", "unit", "start", "stop", "n_words", F.coalesce("label", "key").alias("label")
+        )
+    )
+    return _clustered(placed, "unit")
+
+
+def repeated_paragraphs(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """id, paragraph, start, stop (bytes), n_words, cluster_id, cluster_size, removed of each
+    paragraph that others repeat; cluster_id is the id of the document whose paragraph stays."""
+    lines = _repeated_lines(_identified(docs, id_col, text_col), min_words, threshold)
+    return lines.withColumn("id", F.col("id.id"))
+
+
+def anchors(grams: np.ndarray) -> np.ndarray:
+    """Places of the least of every ``REACH`` shingles in a row, the last among equals."""
+    if len(grams) < REACH:
+        return np.empty(0, np.int64)
+    # Least value with the last place: scan the reversed values, where argmin takes the first.
+    spans = np.lib.stride_tricks.sliding_window_view(grams[::-1], REACH)
+    return np.unique(len(grams) - 1 - (spans.argmin(axis=1) + np.arange(len(spans))))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and the windows of each text: hash of the words, first and end word."""
+    hashes = WordHashes()
+    for batch in batches:
+        keys, firsts, counts = [], [], []
+        for text in texts(batch):
+            ids = hashed(words(text), hashes)
+            grams = shingles(ids)
+            at = anchors(grams)
+            at = at[at + WINDOW <= len(ids)]
+            keys.append(shingles(ids, WINDOW)[at] if len(at) else np.empty(0, np.uint64))
+            firsts.append(at)
+            counts.append(len(at))
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        if offsets[-1]:
+            arrays = [
+                batch.column(0),
+                pa.ListArray.from_arrays(offsets, np.concatenate(keys).view(np.int64)),
+                pa.ListArray.from_arrays(offsets, np.concatenate(firsts).astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "hash", "first"])
+
+
+def _placed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted windows with their bytes, line and exact words."""
+    for batch in batches:
+        rows = []
+        ids = batch.column(0)
+        for row, (text, wanted) in enumerate(zip(texts(batch), batch.column(2).to_pylist(), strict=True)):
+            places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+            ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+            for first in wanted:
+                start, stop = places[first][0], places[first + WINDOW - 1][1]
+                content = xxhash.xxh3_128_digest(b" ".join(words(text[start:stop])))
+                rows.append((row, int(np.searchsorted(ends, start)), start, stop, WINDOW, content))
+        if rows:
+            row, *columns = zip(*rows, strict=True)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            arrays = [ids.take(pa.array(row)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "unit", "start", "stop", "n_words", "label"])
+
+
+def _repeated_windows(identified: DataFrame, lines: DataFrame) -> DataFrame:
+    kind = identified.schema["id"].dataType.simpleString()
+    found = identified.mapInArrow(_windows, f"id {kind}, hash array<long>, first array<int>")
+    twice = found.select(F.explode("hash").alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
+    twice = stored(twice)
+    each = found.select("id", F.inline(F.arrays_zip("hash", "first")))
+    near, _ = split_among(each, F.xxhash64("hash"), twice.select(F.xxhash64("hash").alias("spot")))
+    wanted = near.join(twice, "hash", "left_semi").groupBy("id").agg(F.collect_set("first").alias("wanted"))
+    wanted = stored(wanted)
+    spot = F.xxhash64("id")
+    held, _ = split_among(identified, spot, wanted.select(spot.alias("spot")))
+    windows = held.join(wanted, "id").select("id", "text", "wanted").mapInArrow(
+        _placed_windows, f"id {kind}, unit int, start long, stop long, n_words int, label binary"
+    )
+    gone = lines.where("removed").groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    apart = F.expr("gone is null or not exists(gone, x -> x.start < stop and start < x.stop)")
+    return _clustered(stored(windows.join(gone, "id", "left").where(apart).drop("gone")), "start")
+
+
+def repeated_passages(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``repeated_paragraphs`` (kind ``line``), and of the windows across and inside lines
+    that others repeat (kind ``window``; ``paragraph`` is the line in which it starts)."""
+    identified = _identified(docs, id_col, text_col)
+    lines = stored(_repeated_lines(identified, min_words, threshold))
+    windows = _repeated_windows(identified, lines)
+    both = lines.withColumn("kind", F.lit("line")).unionAll(windows.withColumn("kind", F.lit("window")))
+    return both.withColumn("id", F.col("id.id"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with all their columns, without the paragraphs found to repeat others.
+    """The documents with all their columns, without the lines and windows found to repeat others.
 
     Rows with the same id have the same spans cut, so ids should tell texts apart.
     """
-    found = repeated_paragraphs(docs, id_col, text_col, **options).where("removed")
-    spans = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    found = repeated_passages(docs, id_col, text_col, **options).where("removed")
+    spans = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind"))).alias("spans"))
     rows = docs.select(F.struct("*").alias("row"))
     joined = rows.join(spans, rows[f"row.{id_col}"].eqNullSafe(spans["id"]), "left")
     cut = joined.select(F.col(f"row.{text_col}").cast("string").alias("text"), "spans", "row").mapInArrow(
@@ -121,12 +237,13 @@ def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             parts, at = [], 0
             for span in spans or []:
                 parts.append(text[at : span["start"]])
-                at = span["stop"] + 1
+                # A line goes with its line end; windows may overlap.
+                at = max(at, span["stop"] + (span["kind"] == "line"))
             out.append((b"".join([*parts, text[at:]])).decode() if there else None)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(2)], ["text", "row"])
 
 
 @query("op1_paragraph_repeats")
 def op1_paragraph_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of 50 words or more that repeat or nearly repeat."""
-    return repeated_paragraphs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Lines that repeat or nearly repeat, and repeated runs of words across and inside lines."""
+    return repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -182,3 +182,64 @@ def test_paragraphs_match_brute_force(spark):
             continue
         lines = [line for n, line in enumerate(text.split("\n")) if (row.doc_id, n) not in removed]
         assert row.text.rstrip("\n") == "\n".join(lines).rstrip("\n")
+
+
+def test_short_lines_and_passages_across_and_inside_lines(spark):
+    rng = np.random.default_rng(8)
+    fresh = iter(rng.permutation(20_000).tolist())
+
+    def some(n):
+        return [f"p{next(fresh)}é" for _ in range(n)]
+
+    short, passage, chain = some(12), some(60), some(46)
+    edited = [*passage[:30], "edited", *passage[31:]]
+    texts = [
+        "\n".join([" ".join(short), " ".join(some(40))]),
+        "\n".join([" ".join(some(9)), " ".join(short), " ".join(short[:11] + some(2))]),
+        " ".join(some(70) + passage + some(70)),  # inside a line
+        "\n".join(" ".join(x) for x in (some(20), some(5) + passage[:18], passage[18:40], passage[40:] + some(9))),
+        " ".join(some(80) + edited + some(80)),  # near, inside a line
+        "\n".join([" ".join(chain), " ".join(some(30))]),
+        "\n".join([" ".join(chain[:-1]), " ".join(some(30))]),  # a short line without its last word
+        " ".join(some(300)),
+        None,
+        "",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = paragraph_dedup.repeated_passages(frame).collect()
+    lines = {(r.id, r.paragraph): (r.cluster_id, r.cluster_size, r.removed) for r in rows if r.kind == "line"}
+    assert lines == {(0, 0): (0, 2, False), (1, 1): (0, 2, True), (5, 0): (5, 2, False), (6, 0): (5, 2, True)}
+    windows = [r for r in rows if r.kind == "window"]
+    assert {(r.id, r.cluster_id, r.removed) for r in windows} == {(2, 2, False), (3, 2, True), (4, 2, True)}
+    for r in windows:
+        held = texts[r.id].encode()[r.start : r.stop].decode().split()
+        assert len(held) == r.n_words and set(held) <= set(passage)
+        assert r.paragraph == texts[r.id].encode()[: r.start].count(b"\n")
+    cut = {r.doc_id: r.text for r in paragraph_dedup.remove_repeats(frame).collect()}
+    assert cut[2] == texts[2] and cut[7] == texts[7] and cut[8] is None
+    kept = " ".join(x or "" for x in cut.values()).split()
+    assert set(passage) <= set(kept) and len([w for w in kept if w in passage]) < 60 + 24 * 3
+
+
+def test_every_shared_run_holds_a_shared_window():
+    rng = np.random.default_rng(4)
+    least = paragraph_dedup.WINDOW + paragraph_dedup.REACH - 1
+    for _ in range(200):
+        run = rng.integers(0, 2**63, least).astype(np.uint64)
+        found = []
+        for _ in range(2):
+            before = rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)
+            ids = np.concatenate([before, run, rng.integers(0, 2**63, 20).astype(np.uint64)])
+            at = paragraph_dedup.anchors(shingles(ids)) - len(before)
+            found.append({a for a in at.tolist() if 0 <= a <= least - paragraph_dedup.WINDOW})
+        assert found[0] & found[1]
+
+
+def test_prefix_keys_lose_no_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 46))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 2).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if common / (len(a) + len(b) - common) >= 0.8:
+            assert np.intersect1d(near.prefix_keys(a, 0.8), near.prefix_keys(b, 0.8)).size
