@@ -14,6 +14,10 @@ The radius of 36 bits lies four deviations above the expected distance at simila
 The items go to the tasks in blocks of bounded size (``BLOCK_WORDS`` words each), with a pass
 over the documents for each block, so a larger benchmark costs time and not memory.
 
+A document shorter than an item is one window, compared with its own number of shingles, as long
+as the similarity can still reach the threshold; such windows are verified without the radius,
+because a fingerprint of fewer shingles lies farther away.
+
 Cases: items without words are left out; items of fewer than five words match as the shingle of
 all their words. Null and empty documents have no windows. Repeated items and repeated documents
 each give their own rows; rows with a null id are matched like any other. An empty benchmark or
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .words import SHINGLE, WordHashes, hashed, mixed, shingles, texts, words
+from .words import SHINGLE, WordHashes, hashed, mixed, shingles, texts, weighted_jaccard, words
 
 BITS = 128
 BLOCKS = BITS // 8
@@ -105,6 +109,18 @@ class Items:
                 for size in self.by_size:
                     if min(size, SHINGLE) == width and len(ids) >= size:
                         yield from self._of_size(size, size - width + 1, grams, hits)
+                    elif min(size, SHINGLE) == width and len(grams) >= self.threshold * (size - width + 1):
+                        yield from self._whole(size, len(ids), grams)
+
+    def _whole(self, size: int, n_words: int, grams: np.ndarray) -> Iterator[tuple]:
+        """A document shorter than the items of this size, as one window."""
+        window, counts = np.unique(grams, return_counts=True)
+        own = fingerprints(bit_signs(grams).sum(axis=0, dtype=np.int32)[None, :])
+        differing = np.bitwise_count(own ^ self.tables[size][0]).sum(axis=1, dtype=np.int32)
+        for i, bag in enumerate(self.bags[size]):
+            similarity = weighted_jaccard((window, counts), bag)
+            if similarity >= self.threshold:
+                yield self.by_size[size][i][0], 0, n_words, int(differing[i]), similarity
 
     def _of_size(self, size: int, n: int, grams: np.ndarray, hits: np.ndarray) -> Iterator[tuple]:
         last = len(grams) - n

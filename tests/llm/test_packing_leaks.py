@@ -120,6 +120,30 @@ def test_leaks_match_brute_force(spark, leak_case):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in leaking)
 
 
+def test_items_cut_by_some_words_standing_alone(spark):
+    def similarity(cut, size):  # of distinct words
+        return (cut - 4) / (size - 4)
+
+    docs, expected = [], {}
+    items = [(size, " ".join(f"i{size}w{k}" for k in range(size))) for size in (16, 39, 59)]
+    for size, item in items:
+        for less in range(1, 15):
+            for side, tokens in enumerate((item.split()[less:], item.split()[:-less])):
+                doc = size * 100 + less * 2 + side
+                docs.append((doc, " ".join(tokens)))
+                if similarity(size - less, size) >= 0.8:
+                    expected[doc] = (size, size - less, similarity(size - less, size))
+    docs += [(1, "other words that no item holds"), (2, "i16w0"), (3, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (4, "only four words here")], "item_id long, text string")
+    rows = decontamination.find_leaks(frame, bench).collect()
+    found = {r.doc_id: (r.item_id, r.n_words, pytest.approx(r.similarity)) for r in rows}
+    assert len(rows) == len(expected) and found == expected
+    assert {r.first_word for r in rows} == {0}
+    kept = {r.doc_id for r in decontamination.decontaminate(frame, bench).collect()}
+    assert kept == {d for d, _ in docs} - set(expected)
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 256, (5, 16), dtype=np.uint8)
