@@ -13,7 +13,7 @@ from ..domain import Domain
 from ..functions.expressions import clip_probability, expit, indicator
 from ..operators.clean import clean_loans, region_of
 from ..operators.panel import county_value_panel
-from ..plans.folds import Fold, fold_table, join_targets, reverse_folds
+from ..plans.folds import Fold, fold_table, forward_fold, join_targets, reverse_folds
 
 # The label is observed in every order year; the earliest year plays the
 # unlabelled period where a query needs one.
@@ -176,6 +176,17 @@ def labelled_folds(frame: DataFrame, window: int = 4) -> list[Fold]:
     return reverse_folds(row["first"], row["last"], window)
 
 
+def labelled_forward_folds(frame: DataFrame, window: int = 4) -> list[Fold]:
+    """The forward fold from the first labelled years to all later ones (one small row)."""
+    row = (
+        frame.where(F.col(DOMAIN.label).isNotNull())
+        .agg(F.min("year").alias("first"), F.max("year").alias("last"))
+        .first()
+    )
+    cut = row["first"] + window
+    return [forward_fold(range(row["first"], cut), range(cut, row["last"] + 1))]
+
+
 def positive() -> Column:
     return F.col(DOMAIN.label) == DOMAIN.positive_class
 

@@ -1288,6 +1288,27 @@ def _(spark, sf):
     return reports.run_threshold_report(scored, domain=DOMAIN)["threshold_summary"]
 
 
+def forward_scored(spark, sf):
+    records, _ = training(spark, sf)
+    return reports.scored_estimators(records, inputs.labelled_forward_folds(records), SPLINE, 0.1, DOMAIN)
+
+
+@query("rpt2_forward_calibration")
+def _(spark, sf):
+    return reports.run_calibration_report(forward_scored(spark, sf), domain=DOMAIN)["forward_summary"]
+
+
+@query("rpt3_forward_calibration")
+def _(spark, sf):
+    scored = forward_scored(spark, sf)
+    return reports.run_calibration_report(scored, probability="probability", domain=DOMAIN)["forward_summary"]
+
+
+@query("rpt4_forward_thresholds")
+def _(spark, sf):
+    return reports.run_threshold_report(forward_scored(spark, sf), domain=DOMAIN)["threshold_summary"]
+
+
 @query("rpt5_historical_application")
 def _(spark, sf):
     domain = Domain(first_labelled_year=1996)
@@ -1433,6 +1454,12 @@ def _(spark, sf):
     return reports.run_forest_comparison(records, labelled_folds(records)[-1:], DOMAIN)["metrics"]
 
 
+@query("rpt6_forward_forest")
+def _(spark, sf):
+    records = inputs.core(spark, sf).persist()
+    return reports.run_forest_comparison(records, inputs.labelled_forward_folds(records), DOMAIN)["metrics"]
+
+
 @query("sel1_candidate_grid")
 def _(spark, sf):
     records, folds = training(spark, sf)

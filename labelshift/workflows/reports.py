@@ -195,7 +195,10 @@ def scored_estimators(
 def run_calibration_report(
     scored: DataFrame, *, probability: str = "raw_probability", domain: Domain = DEFAULT
 ) -> dict[str, DataFrame]:
-    """Metric cells and bins of one estimator with their horizon roll-ups."""
+    """Metric cells and bins of one estimator with their horizon roll-ups.
+
+    Roll-ups by horizon hold the reverse cells, the forward summary and bins the forward ones.
+    """
     frame = scored.select(
         *FOLD_COLUMNS, domain.label, F.col(probability).alias("_p"), "log_ratio"
     ).persist()
@@ -203,9 +206,12 @@ def run_calibration_report(
     tables = diagnostic_cells(
         frame, FOLD_COLUMNS, is_positive(domain), probability="_p", log_ratio=ratio
     )
-    tables["horizons"], tables["summary"] = aggregate.reverse_metric_summary(tables["metrics"])
-    tables["forward_summary"] = aggregate.forward_metric_summary(tables["metrics"])
-    tables["horizon_bins"] = aggregate.pooled_reliability(tables["bins"], ["horizon"])
+    forward = F.col("validation_year") > F.col("train_end")
+    reverse_metrics, reverse_bins = tables["metrics"].where(~forward), tables["bins"].where(~forward)
+    tables["horizons"], tables["summary"] = aggregate.reverse_metric_summary(reverse_metrics)
+    tables["forward_summary"] = aggregate.forward_metric_summary(tables["metrics"].where(forward))
+    tables["horizon_bins"] = aggregate.pooled_reliability(reverse_bins, ["horizon"])
+    tables["forward_bins"] = aggregate.pooled_reliability(tables["bins"].where(forward), ["horizon"])
     return tables
 
 

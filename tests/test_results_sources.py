@@ -264,3 +264,26 @@ def test_upsert_replaces_one_key_and_keeps_the_rest(spark, tmp_path):
 def test_absent_table_is_empty_with_its_schema(spark, tmp_path):
     frame = sinks.read_or_empty(spark, str(tmp_path / "none"), "a int, b string")
     assert frame.isEmpty() and frame.columns == ["a", "b"]
+
+
+def test_forward_summary_holds_forward_cells_only(spark):
+    from labelshift.workflows.reports import run_calibration_report
+
+    rows = []
+    for fold, start, end, year, horizon, p in (
+        ("reverse", 2004, 2007, 2003, 1, 0.2), ("forward", 2000, 2003, 2005, 2, 0.6)
+    ):
+        for k in range(40):
+            q = p + 0.01 * (k % 5)
+            rows.append((fold, start, end, year, horizon, 2 if k % 3 == 0 else 1, q, 0.1 * (k % 7)))
+    frame = spark.createDataFrame(
+        rows,
+        "fold_id string, train_start int, train_end int, validation_year int, horizon int, lien_status int,"
+        " raw_probability double, log_ratio double",
+    )
+    tables = run_calibration_report(frame)
+    cells = {r.fold_id: r for r in tables["metrics"].collect()}
+    forward = tables["forward_summary"].first()
+    assert forward.n_cells == 1
+    assert abs(forward.brier_score - cells["forward"].brier_score) < 1e-12
+    assert [r.horizon for r in tables["horizons"].collect()] == [1]
