@@ -5,7 +5,7 @@ Rows with equal texts form a group that no shard boundary divides. Groups of at
 these. Smaller groups go by hash into bundles of about a fifth of that size, which are items
 too. So the packing sees a number of items bounded by the shards, whatever the input.
 Items in descending size enter the bin with the tightest remaining capacity that holds them,
-found in an ordered tree; the capacity is the smallest (by bisection) at which the shards
+found in a sorted list, which stands for the balanced tree; the capacity is the smallest (by bisection) at which the shards
 suffice. A group of an even share or more has a shard of its own, and the rest are evened out.
 
 Cases: a null text has no bytes, and counts as equal to the empty text. Repeated rows and rows
