@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline."""
 
 from . import (  # noqa: F401
+    clustering,
     decontamination,
     exact_dedup,
     importance,
