@@ -12,6 +12,7 @@ from . import (  # noqa: F401
     ppm,
     sharding,
     toxicity,
+    warc,
 )
 from .book import ORACLES, QUERIES
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .near import split_among
+from .skew import split_among
 from .storage import stored
 
 PREFIX_CHARS = 64

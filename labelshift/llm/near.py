@@ -25,18 +25,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .components import components
+from .skew import split_among
 from .storage import stored
 from .words import MULTIPLIER, WordHashes, mixed, texts
 
 THRESHOLD = 0.8
 BLOCK_MEMBERS = 1024
 CELL_ROWS = 2_000
-FILTER_BITS = 1 << 23
 
 
 class Banding(NamedTuple):
@@ -166,31 +166,6 @@ def sketch_units(
     return chosen.mapInArrow(run, schema)
 
 
-def split_among(rows: DataFrame, value: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose long ``value`` may be among the keys (one long column), and the others.
-
-    The keys set bits in a filter of one MB at any number of keys, so no row is shuffled; a few
-    rows whose value is no key are among the first. ``rows`` must not use the names below.
-    """
-    spot = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)) + 1
-    bitmaps = (
-        keys.select(spot.alias("spot"))
-        .groupBy(F.bitmap_bucket_number("spot").alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("_bitmap"))
-    )
-    own = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS)) + 1
-    byte = F.substring(F.col("_bitmap"), F.expr("cast(_bit div 8 as int) + 1"), F.lit(1))
-    bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))"))
-    marked = (
-        rows.withColumn("_spot", own)
-        .withColumn("_bucket", F.bitmap_bucket_number("_spot"))
-        .withColumn("_bit", F.bitmap_bit_position("_spot").cast("int"))
-        .join(F.broadcast(stored(bitmaps)), "_bucket", "left")
-        .withColumn("_among", F.coalesce(bit != 0, F.lit(False)))
-    )
-    return marked.where("_among").select(*rows.columns), marked.where("not _among").select(*rows.columns)
-
-
 def _bags(docs: DataFrame, wanted: DataFrame, split: Splitter, bag: Bagger, id_col: str, text_col: str) -> DataFrame:
     """(key, bag) of the wanted contents (key, id), read from one row that holds each of them."""
     from .words import hashed

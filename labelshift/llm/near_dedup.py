@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .near import THRESHOLD, Unit, expanded, link_classes, split_among, tune
+from .near import THRESHOLD, Unit, expanded, link_classes, tune
+from .skew import join_groups, split_among
 from .storage import stored
 from .words import MULTIPLIER, mixed, shingles, words
 
