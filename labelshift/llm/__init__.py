@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     packing,
     paragraph_dedup,
     ppm,
+    prefix_trie,
     sharding,
     toxicity,
     warc,
