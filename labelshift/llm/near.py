@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -107,6 +107,19 @@ def prefix_keys(elements: np.ndarray, threshold: float) -> np.ndarray:
     return mixed(elements[:kept] * MULTIPLIER).view(np.int64)
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (with a hash of the text, so that equal and null ids are told apart) and text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(
+        F.struct(F.col(id_col).alias("id"), text_hash(text_col).alias("text")).alias("id"), text.alias("text")
+    )
+
+
+def text_hash(text_col: str) -> Column:
+    """The hash in an ``identified`` id; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def id_type(frame: DataFrame, name: str) -> str:
     return frame.schema[name].dataType.simpleString()
 
@@ -278,13 +291,16 @@ def link_classes(
     text_col: str = "text",
     small: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """All units (as ``sketch_units``, without sketches), and (key, label) of linked contents.
+    """All units (as ``sketch_units``, without sketches), and (key, n, label) of all contents.
 
-    Contents without a link are absent from the second table.
+    ``n`` counts the units of a content; the label of one without a link is its key.
     """
     made = stored(sketch_units(docs, split, bag, sketch, banding, id_col, text_col, small, threshold))
     contents = made.groupBy("key").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("low").alias("low")
+        F.min("id").alias("id"),
+        F.count(F.lit(1)).alias("n"),
+        F.first("bands").alias("bands"),
+        F.first("low").alias("low"),
     )
     contents = stored(contents)
     placed = contents.select("key", F.explode("bands").alias("bucket"))
@@ -332,5 +348,6 @@ def link_classes(
         .groupBy("at", "cell")
         .applyInPandas(_across(threshold), "a binary, b binary")
     )
-    everything = components(links.unionAll(across))
-    return made.drop("bands", "low"), stored(everything.toDF("key", "label"))
+    everything = components(links.unionAll(across)).toDF("key", "label")
+    labelled = contents.select("key", "n").join(everything, "key", "left")
+    return made.drop("bands", "low"), stored(labelled.withColumn("label", F.coalesce("label", "key")))

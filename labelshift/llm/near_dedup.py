@@ -10,9 +10,10 @@ weighted Jaccard similarity. Signatures are banded; candidates are verified exac
 
 Cases: null and empty texts, and texts of white space only, have no shingles; they form one class.
 Texts of fewer than five words are one shingle. Repeated rows and equal texts fall in one class.
-The document with the smallest id stays; where a class has only null ids, all its rows stay, and
-rows that repeat the id and the text of the one that stays do too. An empty table gives no
-rows. Columns other than the id and the text are not read.
+The document with the smallest id stays; a null id comes after all others, and rows that share an id
+are told apart by their texts, of which one stays. Rows that repeat the id and the text of the one
+that stays do too. An empty table gives no rows. Columns other than the id and the text are passed
+through by ``keep_first`` and otherwise not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .near import THRESHOLD, Unit, expanded, link_classes, tune
+from .near import THRESHOLD, Unit, expanded, identified, link_classes, text_hash, tune
 from .skew import join_groups, split_among
 from .storage import stored
 from .words import MULTIPLIER, mixed, shingles, words
@@ -87,10 +88,8 @@ def whole_text(text: bytes) -> Iterator[Unit]:
         yield Unit(0, 0, len(text), tokens)
 
 
-def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
-) -> DataFrame:
-    """id, class_id (least id of its class), class_size, kept of each row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """id (as ``identified``), class_id, class_size, kept of each row."""
     banding = tune(threshold)
     k = banding.size
 
@@ -101,35 +100,42 @@ def near_classes(
     def bag(ids: np.ndarray) -> np.ndarray:
         return expanded(shingles(ids))
 
-    units, labels = link_classes(docs, whole_text, bag, sketch, banding, threshold, id_col, text_col)
-    blank = docs.where(F.coalesce(F.trim(F.regexp_replace(F.col(text_col), r"[\x09-\x0D]", " ")), F.lit("")) == "")
-    empty = blank.select(F.col(id_col).alias("id"), F.lit(b"").cast("binary").alias("key"))
+    named = identified(docs, id_col, text_col)
+    units, labels = link_classes(named, whole_text, bag, sketch, banding, threshold, "id", "text")
+    blank = named.where(F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == "")
     rows = stored(
-        units.select("id", "key")
-        .unionAll(empty)
-        .join(labels, "key", "left")
-        .select("id", F.coalesce("label", "key").alias("label"))
+        join_groups(units.select("id", "key"), labels, "key")
+        .select("id", "label")
+        .unionAll(blank.select("id", F.lit(b"").cast("binary").alias("label")))
     )
-    classes = rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(classes, "label").select(
-        "id", "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
+    place = F.struct(F.col("id.id").isNull().alias("unnamed"), F.col("id.id").alias("id"), F.col("id.text").alias("text"))
+    classes = stored(rows.groupBy("label").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size")))
+    return join_groups(rows, classes, "label", "class_size").select(
+        "id", F.col("first.id").alias("class_id"), "class_size", place.eqNullSafe(F.col("first")).alias("kept")
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
+    """id, class_id (id of the row of its class that stays), class_size, kept of each row."""
+    return _classes(docs, id_col, text_col, threshold).withColumn("id", F.col("id.id"))
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
     """The documents, with all columns, that stay: one of each class.
 
-    The classes of one row need no join: only rows whose id may be a removed one are moved.
-    Ids should tell texts apart; rows that share an id and a fate are all kept or all removed.
+    The classes of one row need no join: only rows whose id and text may be removed ones are moved.
     """
-    removed = near_classes(docs, id_col, text_col, **options).where("not kept").select("id").distinct()
-    removed = stored(removed)
-    spot = F.xxhash64(F.col("id"))
-    rows = docs.select(F.struct("*").alias("row"))
-    here = F.xxhash64(F.col(f"row.{id_col}"))
-    maybe, others = split_among(rows, here, removed.select(spot.alias("spot")))
-    stays = maybe.join(removed, maybe[f"row.{id_col}"].eqNullSafe(removed["id"]), "left_anti")
-    return others.unionAll(stays).select("row.*")
+    gone = _classes(docs, id_col, text_col, threshold).where("not kept")
+    gone = stored(gone.select(F.col("id.id").alias("gone"), F.col("id.text").alias("gone_text")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), text_hash(text_col).alias("text"))
+    here = F.xxhash64(F.col(f"row.`{id_col}`"), F.col("text"))
+    maybe, others = split_among(rows, here, gone.select(F.xxhash64("gone", "gone_text").alias("spot")))
+    same = maybe[f"row.`{id_col}`"].eqNullSafe(gone["gone"]) & (maybe["text"] == gone["gone_text"])
+    return others.unionAll(maybe.join(gone, same, "left_anti")).select("row.*")
 
 
 @query("op3_dart_minhash")

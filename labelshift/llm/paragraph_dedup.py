@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .near import THRESHOLD, Splitter, Unit, link_classes, tune
+from .near import THRESHOLD, Splitter, Unit, identified, link_classes, text_hash, tune
 from .skew import join_groups, split_among
 from .storage import stored
 from .words import MULTIPLIER, WordHashes, hashed, mixed, shingles, texts, words
@@ -72,21 +72,17 @@ def min_hashes(k: int) -> Callable[[np.ndarray], np.ndarray]:
     return sketch
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (with a hash of the text, so that equal and null ids are told apart) and text."""
-    text = F.col(text_col).cast("string")
-    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias("id"), text.alias("text"))
-
-
 def _clustered(placed: DataFrame, unit: str) -> DataFrame:
     """The rows of each ``label`` with two places or more: cluster_id, cluster_size, removed."""
-    place = F.struct(F.col("id.id").isNull(), F.col("id.id"), F.col(unit))
+    place = F.struct(
+        F.col("id.id").isNull().alias("unnamed"), F.col("id.id").alias("id"), F.col("id.text").alias("text"), F.col(unit)
+    )
     clusters = (
         placed.groupBy("label")
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("cluster_size"))
         .where("cluster_size > 1")
     )
-    return placed.join(clusters, "label").select(
+    return join_groups(placed, stored(clusters), "label", "cluster_size").select(
         "id",
         F.col("unit").alias("paragraph"),
         "start",
@@ -104,9 +100,7 @@ def _repeated_lines(identified: DataFrame, min_words: int, threshold: float) ->
         identified, paragraphs(min_words), shingle_set, min_hashes(banding.size), banding, threshold, "id", "text", SMALL
     )
     placed = stored(
-        units.join(labels, "key", "left").select(
-            "id", "unit", "start", "stop", "n_words", F.coalesce("label", "key").alias("label")
-        )
+        join_groups(units, labels, "key").select("id", "unit", "start", "stop", "n_words", "label")
     )
     return _clustered(placed, "unit")
 
@@ -120,7 +114,7 @@ def repeated_paragraphs(
 ) -> DataFrame:
     """id, paragraph, start, stop (bytes), n_words, cluster_id, cluster_size, removed of each
     paragraph that others repeat; cluster_id is the id of the document whose paragraph stays."""
-    lines = _repeated_lines(_identified(docs, id_col, text_col), min_words, threshold)
+    lines = _repeated_lines(identified(docs, id_col, text_col), min_words, threshold)
     return lines.withColumn("id", F.col("id.id"))
 
 
@@ -194,6 +188,12 @@ def _repeated_windows(identified: DataFrame, lines: DataFrame) -> DataFrame:
     return _clustered(stored(windows.join(gone, "id", "left").where(apart).drop("gone")), "start")
 
 
+def _passages(named: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    lines = stored(_repeated_lines(named, min_words, threshold))
+    windows = _repeated_windows(named, lines)
+    return lines.withColumn("kind", F.lit("line")).unionAll(windows.withColumn("kind", F.lit("window")))
+
+
 def repeated_passages(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -203,31 +203,40 @@ def repeated_passages(
 ) -> DataFrame:
     """The rows of ``repeated_paragraphs`` (kind ``line``), and of the windows across and inside lines
     that others repeat (kind ``window``; ``paragraph`` is the line in which it starts)."""
-    identified = _identified(docs, id_col, text_col)
-    lines = stored(_repeated_lines(identified, min_words, threshold))
-    windows = _repeated_windows(identified, lines)
-    both = lines.withColumn("kind", F.lit("line")).unionAll(windows.withColumn("kind", F.lit("window")))
-    return both.withColumn("id", F.col("id.id"))
+    found = _passages(identified(docs, id_col, text_col), min_words, threshold)
+    return found.withColumn("id", F.col("id.id"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
     """The documents with all their columns, without the lines and windows found to repeat others.
 
-    Rows with the same id have the same spans cut, so ids should tell texts apart.
+    Spans belong to an id and its text; only rows that may have some are moved.
     """
-    found = repeated_passages(docs, id_col, text_col, **options).where("removed")
-    spans = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind"))).alias("spans"))
-    rows = docs.select(F.struct("*").alias("row"))
-    joined = rows.join(spans, rows[f"row.{id_col}"].eqNullSafe(spans["id"]), "left")
-    cut = joined.select(F.col(f"row.{text_col}").cast("string").alias("text"), "spans", "row").mapInArrow(
+    found = _passages(identified(docs, id_col, text_col), min_words, threshold).where("removed")
+    spans = stored(
+        found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind"))).alias("spans"))
+    ).select(F.col("id.id").alias("cut_id"), F.col("id.text").alias("cut_text"), "spans")
+    rows = docs.select(F.struct("*").alias("row"), text_hash(text_col).alias("own"))
+    here = F.xxhash64(F.col(f"row.`{id_col}`"), F.col("own"))
+    maybe, others = split_among(rows, here, spans.select(F.xxhash64("cut_id", "cut_text").alias("spot")))
+    same = maybe[f"row.`{id_col}`"].eqNullSafe(spans["cut_id"]) & (maybe["own"] == spans["cut_text"])
+    joined = maybe.join(spans, same, "left")
+    cut = joined.select(F.col(f"row.`{text_col}`").cast("string").alias("text"), "spans", "row").mapInArrow(
         _without_spans, "text string, row " + rows.schema[0].dataType.simpleString()
     )
-    return cut.select(
+    changed = cut.select(
         *[
             F.col("text").alias(name) if name == text_col else F.col(f"row.`{name}`").alias(name)
             for name in docs.columns
         ]
     )
+    return others.select("row.*").unionAll(changed)
 
 
 def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,3 +243,32 @@ def test_prefix_keys_lose_no_pair():
         common = len(np.intersect1d(a, b))
         if common / (len(a) + len(b) - common) >= 0.8:
             assert np.intersect1d(near.prefix_keys(a, 0.8), near.prefix_keys(b, 0.8)).size
+
+
+A, B = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+
+
+@pytest.mark.parametrize(
+    "rows, kept",
+    [
+        ([(0, A), (None, A), (None, B)], [(0, A), (None, B)]),
+        ([(0, A), (1, A), (1, B)], [(0, A), (1, B)]),
+        ([(None, A), (None, A), (None, B)], [(None, A), (None, A), (None, B)]),
+        ([(3, A + " x"), (3, A + " x"), (3, B)], [(3, A + " x"), (3, A + " x"), (3, B)]),
+    ],
+)
+def test_unique_documents_with_null_or_shared_ids_stay(spark, rows, kept):
+    frame = spark.createDataFrame([(*row, "own") for row in rows], "doc_id long, text string, row string").repartition(2)
+    found = near_dedup.keep_first(frame)
+    assert found.columns == frame.columns
+    assert sorted(map(repr, [(r.doc_id, r.text) for r in found.collect()])) == sorted(map(repr, kept))
+
+
+def test_spans_belong_to_an_id_and_its_text(spark):
+    odd = "é" * 40
+    rows = [(0, A), (None, A + "\nxx"), (None, odd), (0, "yy\n" + A)]
+    frame = spark.createDataFrame([(*row, "own") for row in rows], "doc_id long, text string, own string").repartition(2)
+    found = paragraph_dedup.remove_repeats(frame)
+    kept = sorted(r.text for r in found.collect())
+    # The line stays in one of the two rows with id 0 and goes everywhere else.
+    assert kept in (sorted([A, "xx", odd, "yy\n"]), sorted(["", "xx", odd, "yy\n" + A]))
