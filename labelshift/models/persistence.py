@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ..functions.local import small_table
 from ..plans.specifications import parse_specification
 from ..sources.loans import path_exists
 from .logistic import LogisticModel
+from .cells import make_grid
 from .trees import TreeModel
 
 METADATA_SCHEMA = (
@@ -21,12 +21,6 @@ METADATA_SCHEMA = (
     " train_years array<int>, n_training long, n_first long, n_second long,"
     " feature_names array<string>, weighting string, source_prior string, body string"
 )
-READERS = {
-    "hist_gradient_boosting": GBTClassificationModel,
-    "random_forest": RandomForestClassificationModel,
-}
-
-
 def domain_document(domain: Domain) -> dict:
     """The domain a model was fitted with, as plain values."""
     # Pairs, not an object: the order of the categories is that of the features.
@@ -122,10 +116,13 @@ def save_tree(
     feature_names: tuple[str, ...],
     hyperparameters: dict,
 ) -> None:
-    model.fitted.write().overwrite().save(f"{path}/model")
+    """The score of every cell is a table of its own; the cuts of the cells are in the metadata."""
+    model.score_table(spark).write.mode("overwrite").parquet(f"{path}/model")
     body = {
         "identifier": model.identifier,
         "feature_set": model.feature_set,
+        "bins": model.grid.bins,
+        "cuts": model.cuts,
         "domain": domain_document(model.domain),
     }
     row = _metadata(model, counts, feature_names, hyperparameters, body)
@@ -135,10 +132,21 @@ def save_tree(
 def load_tree(spark: SparkSession, path: str, expected_id: str | None = None) -> TreeModel:
     row = load_metadata(spark, f"{path}/metadata").first()
     body = json.loads(row["body"])
-    fitted = READERS[row.family].load(f"{path}/model")
-    years = tuple(row.train_years)
     domain = restored_domain(body["domain"])
-    model = TreeModel(row.family, body["identifier"], years, fitted, body["feature_set"], domain)
+    grid = make_grid(body["bins"], body["feature_set"], domain)
+    scores = [r["_score"] for r in spark.read.parquet(f"{path}/model").orderBy("_cell").collect()]  # one a cell
+    if len(scores) != grid.n_cells:
+        raise ValueError(f"Stored model {row.model_id!r} has {len(scores)} of {grid.n_cells} cells")
+    model = TreeModel(
+        row.family,
+        body["identifier"],
+        tuple(row.train_years),
+        grid,
+        tuple(map(tuple, body["cuts"])),
+        tuple(scores),
+        body["feature_set"],
+        domain,
+    )
     _check_identity(row.model_id, model.model_id, expected_id)
     return model
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..domain import Domain
 from ..functions.local import small_table
 from ..models import logistic, persistence, trees
-from ..operators import aggregate, bins, features, metrics, mixture, quantiles, weights
+from ..operators import aggregate, bins, features, metrics, mixture, quantiles, results, weights
 from ..plans.folds import fold_table, join_targets
 from ..plans.specifications import (
+    BOOSTING_SURVIVORS,
     COARSE_C,
     BoostingParameters,
     FeatureSpec,
+    boosting_refinements,
     parse_specification,
     restricted_specifications,
+    structure_grid,
 )
 from ..workflows import reports, selection
 from . import inputs
@@ -1215,27 +1220,83 @@ def _(spark, sf):
     return selection.coefficient_stability(records, folds, {region: 0.1}, DOMAIN)
 
 
-SMALL_BOOSTING = BoostingParameters(7, 0.1, 10, 1.0, 20)
+STUMP_CUTS = tuple(round(-1.5 + 0.25 * step, 2) for step in range(16))
+STUMP = BoostingParameters(2, 1.0, 1, 1.0, 20)
+
+
+def stump_parts(l2: float) -> dict[str, str]:
+    """All splits of one tree with two leaves: cuts of the input, and level sets ordered by their value."""
+    listed = ", ".join(f"({cut!r}::DOUBLE)" for cut in STUMP_CUTS)
+    level = """SELECT '{c}' AS feature, {place} AS rank, v, row_number() OVER (ORDER BY g / (h + {l2} + 0.001), v) AS place,
+      n, g, h FROM (SELECT {c} AS v, count(*) AS n, sum(g) AS g, sum(h) AS h FROM stump_rows GROUP BY 1) q"""
+    levels = " UNION ALL ".join(level.format(c=c, l2=l2, place=i) for i, c in enumerate(DOMAIN.categories, 1))
+    return {
+        "stump_shares": """SELECT year, avg(CASE WHEN lien_status = 2 THEN 1.0 ELSE 0.0 END) AS share FROM clean
+      GROUP BY year""",
+        "stump_weights": """SELECT c.*, CASE WHEN lien_status = 2 THEN 0.5 / share ELSE 0.5 / (1 - share) END AS w,
+      CASE WHEN lien_status = 2 THEN 1.0 ELSE 0.0 END AS y FROM clean c JOIN stump_shares s ON s.year = c.year
+      WHERE c.year BETWEEN 1998 AND 2001""",
+        "stump_base": "SELECT sum(w * y) / sum(w) AS p FROM stump_weights",
+        "stump_rows": "SELECT *, w * (p - y) AS g, w * p * (1 - p) AS h FROM stump_weights CROSS JOIN stump_base",
+        "stump_totals": "SELECT count(*) AS n, sum(g) AS g, sum(h) AS h FROM stump_rows",
+        "stump_levels": levels,
+        "stump_splits": f"""SELECT 0 AS rank, 'log_lti' AS feature, cut, NULL::BIGINT AS place, count(*) AS n, sum(g) AS g,
+        sum(h) AS h FROM stump_rows JOIN (VALUES {listed}) v(cut) ON log_lti <= cut GROUP BY cut
+      UNION ALL SELECT a.rank, a.feature, NULL, a.place, sum(b.n), sum(b.g), sum(b.h)
+        FROM stump_levels a JOIN stump_levels b ON a.feature = b.feature AND b.place <= a.place
+        GROUP BY a.rank, a.feature, a.place""",
+        "stump_best": f"""SELECT s.*, t.g - s.g AS rg, t.h - s.h AS rh FROM stump_splits s CROSS JOIN stump_totals t
+      WHERE s.n >= 20 AND t.n - s.n >= 20
+      ORDER BY s.g * s.g / (s.h + {l2}) + (t.g - s.g) * (t.g - s.g) / (t.h - s.h + {l2}) DESC, rank, cut, s.place LIMIT 1""",
+    }
+
+
+def stump_scores(l2: float) -> str:
+    own = " ".join(f"WHEN '{c}' THEN c.{c}" for c in DOMAIN.categories)
+    return f"""SELECT c.year, c.lien_status, count(*) AS n, round(avg(ln(p / (1 - p)) +
+      CASE WHEN CASE WHEN b.feature = 'log_lti' THEN c.log_lti <= b.cut ELSE l.place <= b.place END
+           THEN -b.g / (b.h + {l2}) ELSE -b.rg / (b.rh + {l2}) END), 6) + 0.0 AS mean_log_ratio
+    FROM clean c CROSS JOIN stump_best b CROSS JOIN stump_base
+      LEFT JOIN stump_levels l ON l.feature = b.feature AND l.v = CASE b.feature {own} END
+    GROUP BY 1, 2"""
+
+
+def mean_ratios(fitted, records):
+    return fitted.log_ratio(records).groupBy("year", "lien_status").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("log_ratio").alias("mean_log_ratio")
+    )
+
+
+def stump(l2):
+    def run(spark, sf):
+        records, _ = training(spark, sf)
+        parameters = replace(STUMP, l2_regularization=l2)
+        fitted = trees.fit_boosting(
+            records, parameters, (1998, 1999, 2000, 2001), feature_set="restricted", domain=DOMAIN, cuts=[STUMP_CUTS]
+        )
+        return mean_ratios(fitted, records)
+
+    return run
+
+
+for _l2, _name in ((0.0, "est8_one_split"), (100.0, "est8_one_split_penalty")):
+    query(_name, stump_scores(_l2), **stump_parts(_l2))(stump(_l2))
 
 
 @query("est8_boosting_ratio")
 def _(spark, sf):
     records, _ = training(spark, sf)
+    parameters = replace(structure_grid()[1], min_samples_leaf=20)
     fitted = trees.fit_boosting(
-        records, SMALL_BOOSTING, (1998, 1999, 2000, 2001), feature_set="restricted", domain=DOMAIN
-    )
-    return fitted.log_ratio(records).groupBy("year", "lien_status").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("log_ratio").alias("mean_log_ratio")
+        records, parameters, (1998, 1999, 2000, 2001), feature_set="restricted", domain=DOMAIN
     )
+    return mean_ratios(fitted, records)
 
 
 @query("est9_forest_ratio")
 def _(spark, sf):
     records = inputs.core(spark, sf).persist()
-    fitted = trees.fit_forest(records, (1998, 1999, 2000, 2001), domain=DOMAIN)
-    return fitted.log_ratio(records).groupBy("year", "lien_status").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("log_ratio").alias("mean_log_ratio")
-    )
+    return mean_ratios(trees.fit_forest(records, (1998, 1999, 2000, 2001), domain=DOMAIN), records)
 
 
 @query("snk7_stored_model")
@@ -1451,7 +1512,13 @@ def _(spark, sf):
 @query("rpt6_forest_mixture")
 def _(spark, sf):
     records = inputs.core(spark, sf).persist()
-    return reports.run_forest_comparison(records, labelled_folds(records)[-1:], DOMAIN)["metrics"]
+    return reports.run_forest_comparison(records, labelled_folds(records), DOMAIN)["metrics"]
+
+
+@query("rpt6_forest_bins")
+def _(spark, sf):
+    records = inputs.core(spark, sf).persist()
+    return reports.run_forest_comparison(records, labelled_folds(records), DOMAIN)["bins"]
 
 
 @query("rpt6_forward_forest")
@@ -1512,41 +1579,80 @@ def _(spark, sf):
     return outputs["summary"]
 
 
-@query("sel8_boosting_challenger")
-def _(spark, sf):
+# The whole plan; only the least leaf follows the size of these tables.
+LEAST_LEAF = 20
+STRUCTURES = [replace(p, min_samples_leaf=LEAST_LEAF) for p in structure_grid()]
+
+
+def challenger(spark, sf):
     records, folds = training(spark, sf)
-    outputs = selection.run_boosting_challenger(
+    forward = inputs.labelled_forward_folds(records)[0]
+    return selection.run_boosting_challenger(
         records,
-        folds[:1],
-        structures=[SMALL_BOOSTING, BoostingParameters(15, 0.1, 5, 1.0, 20)],
-        refinements=lambda best: [BoostingParameters(7, 0.1, 5, 1.0, 20)],
-        n_survivors=1,
+        folds,
+        forward.train_years,
+        forward.target_years,
+        structures=STRUCTURES,
         feature_set="restricted",
         domain=DOMAIN,
     )
-    return outputs["summary"]
+
+
+@query("sel8_boosting_challenger")
+def _(spark, sf):
+    return challenger(spark, sf)["summary"]
+
+
+@query("sel8_refitted_winner")
+def _(spark, sf):
+    records, _ = training(spark, sf)
+    return mean_ratios(challenger(spark, sf)["model"], records)
+
+
+@query("sel8_boosting_diagnostics")
+def _(spark, sf):
+    return challenger(spark, sf)["diagnostics"]["metrics"]
+
+
+def staged(records, folds, feature_set):
+    """Survivors and refinements of the whole plan as two finished stages."""
+    options = {"feature_set": feature_set, "domain": DOMAIN}
+    latest = max(folds, key=lambda fold: fold.train_start)
+    screen = selection.evaluate_boosting_grid(records, [latest], STRUCTURES, **options)
+    top = results.top_candidates(aggregate.boosting_summary(screen)[1], BOOSTING_SURVIVORS, "parameter_id").collect()
+    survivors = [p for p in STRUCTURES if p.identifier in {row.parameter_id for row in top}]
+    first = selection.evaluate_boosting_grid(records, folds, survivors, **options)
+    best = results.top_candidates(aggregate.boosting_summary(first)[1], 1, "parameter_id").first().parameter_id
+    refined = boosting_refinements(next(p for p in survivors if p.identifier == best))
+    second = selection.evaluate_boosting_grid(records, folds, refined, **options)
+    return selection.staged_tables(
+        first,
+        second,
+        expected_candidates=len(survivors) + len(refined),
+        expected_cells=sum(len(fold.target_years) for fold in folds),
+    )
 
 
 @query("sel9_staged_tables")
 def _(spark, sf):
     records, folds = training(spark, sf)
-    options = {"feature_set": "restricted", "domain": DOMAIN}
-    first = selection.evaluate_boosting_grid(records, folds[:1], [SMALL_BOOSTING], **options)
-    other = [BoostingParameters(7, 0.1, 5, 1.0, 20)]
-    second = selection.evaluate_boosting_grid(records, folds[:1], other, **options)
-    tables = selection.staged_tables(first, second, expected_candidates=2, expected_cells=1)
-    return tables["decision"]
+    return staged(records, folds, "restricted")["decision"]
+
+
+@query("sel9_staged_core_tables")
+def _(spark, sf):
+    records = inputs.core(spark, sf).persist()
+    return staged(records, labelled_folds(records), "core")["decision"]
 
 
 @query("sel12_family_grid")
 def _(spark, sf):
-    records, folds = training(spark, sf)
+    records = inputs.core(spark, sf).persist()
     configurations = [
         {"family": "logistic", "specification": LINEAR.name, "C": (0.1, 1.0)},
-        {
-            "family": "hist_gradient_boosting",
-            "specification": "restricted",
-            "parameters": SMALL_BOOSTING,
-        },
+        {"family": "hist_gradient_boosting", "specification": "core", "parameters": STRUCTURES[0]},
+        {"family": "random_forest", "specification": "one_hot_categories"},
     ]
-    return selection.run_grid(records, folds[:1], configurations, DOMAIN)
+    store = f"{workspace(spark)}/cells"
+    selection.run_grid(records, labelled_folds(records), configurations[:1], DOMAIN, store)
+    return selection.run_grid(records, labelled_folds(records), configurations, DOMAIN, store)

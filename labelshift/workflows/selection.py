@@ -16,10 +16,11 @@ from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
 from ..functions.local import freeze, small_table
 from ..models.logistic import coefficient_table, fit_grid, fit_model, score_grid
-from ..models.trees import fit_boosting, fit_forest
+from ..models.trees import boosted_log_ratios, fit_boosting, fit_forest
 from ..operators import aggregate, results
 from ..operators.clean import geographic_support
 from ..operators.metrics import evaluate_log_ratios
+from ..operators.mixture import adjust_cells
 from ..operators.weights import is_positive
 from ..plans.folds import Fold, fold_table, forward_fold, join_targets
 from ..plans.specifications import (
@@ -32,10 +33,12 @@ from ..plans.specifications import (
     boosting_refinements,
     candidate_specifications,
     core_specifications,
+    label_number,
     parse_specification,
     refinement_values,
     structure_grid,
 )
+from ..sources.loans import path_exists
 
 FOLD_COLUMNS = ("fold_id", "train_start", "train_end", "validation_year", "horizon")
 CELL_KEYS = ("specification", "regularization_c", "train_start", "validation_year")
@@ -361,28 +364,28 @@ def evaluate_boosting_grid(
     done: DataFrame | None = None,
     domain: Domain = DEFAULT,
 ) -> DataFrame:
-    """Adjusted cells of boosting candidates; every fit is a distributed one."""
+    """Adjusted cells of boosting candidates.
+
+    Records are reduced to class sums of cells once a fold; each fold and structure is then a fit in
+    a task of its own, and candidates that differ in their rounds share one.
+    """
     held = set()
     if done is not None:
         held = {(row.parameter_id, row.train_start) for row in done.select(*BOOSTING_KEYS).collect()}
-    scored, spark = None, records.sparkSession
+    # Folds that lack the same candidates are fitted and scored together.
+    lacking: dict[tuple[BoostingParameters, ...], list[Fold]] = {}
     for fold in folds:
-        targets = target_rows(records, [fold], domain)
-        for parameters in candidates:
-            if (parameters.identifier, fold.train_start) in held:
-                continue
-            model = fit_boosting(
-                records, parameters, fold.train_years, feature_set=feature_set, domain=domain
-            )
-            part = model.log_ratio(targets).select(
-                F.lit(parameters.identifier).alias("parameter_id"),
-                *FOLD_COLUMNS,
-                domain.label,
-                "log_ratio",
-            )
-            scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
+        rest = tuple(p for p in candidates if (p.identifier, fold.train_start) not in held)
+        if rest:
+            lacking.setdefault(rest, []).append(fold)
+    if not lacking:
         return done
+    scored, spark = None, records.sparkSession
+    for rest, own in lacking.items():
+        part = boosted_log_ratios(
+            records, target_rows(records, own, domain), own, rest, feature_set=feature_set, domain=domain
+        ).select("parameter_id", *FOLD_COLUMNS, domain.label, "log_ratio")
+        scored = part if scored is None else scored.unionByName(part)
     cells = evaluate_log_ratios(scored, ["parameter_id", *FOLD_COLUMNS], is_positive(domain))
     rows = [
         (
@@ -414,14 +417,16 @@ def evaluate_boosting_grid(
 def run_boosting_challenger(
     records: DataFrame,
     folds: Sequence[Fold],
+    train_years: Sequence[int],
+    forward_years: Sequence[int],
     *,
     structures: Sequence[BoostingParameters] | None = None,
     refinements=boosting_refinements,
     n_survivors: int = BOOSTING_SURVIVORS,
     feature_set: str = "core",
     domain: Domain = DEFAULT,
-) -> dict[str, DataFrame]:
-    """Structure screen on the latest fold, survivors, refinement, decision."""
+) -> dict[str, object]:
+    """Structure screen on the latest fold, survivors, refinement, decision, refit and diagnostics."""
     grid = list(structures or structure_grid())
     by_id = {p.identifier: p for p in grid}
     latest = max(folds, key=lambda fold: fold.train_start)
@@ -444,15 +449,42 @@ def run_boosting_challenger(
         "screen_survivors": n_survivors,
         "selection_metric": "mixture_adjusted_brier_equal_horizon_weight",
     }
+    decision = results.decision_row(summary, ["parameter_id"], facts)
+    by_id |= {p.identifier: p for p in refined}
+    winner = by_id[decision.first().parameter_id]
     return {
         "screen_summary": screen_summary,
         "cells": cells,
         "horizons": horizons,
         "summary": summary,
-        "decision": results.decision_row(summary, ["parameter_id"], facts),
+        "decision": decision,
+        "model": fit_boosting(records, winner, train_years, **options),
+        "diagnostics": boosting_diagnostics(records, winner, folds, train_years, forward_years, **options),
     }
 
 
+def boosting_diagnostics(
+    records: DataFrame,
+    parameters: BoostingParameters,
+    folds: Sequence[Fold],
+    train_years: Sequence[int],
+    forward_years: Sequence[int],
+    *,
+    feature_set: str = "core",
+    domain: Domain = DEFAULT,
+) -> dict[str, DataFrame]:
+    """Metrics, reliability bins and ratio tails of one configuration on every reverse cell and, by
+    the model of the training years, on every later labelled year."""
+    from .reports import run_calibration_report
+
+    every = [*folds, forward_fold(train_years, sorted(forward_years))]
+    scored = boosted_log_ratios(
+        records, target_rows(records, every, domain), every, [parameters], feature_set=feature_set, domain=domain
+    )
+    adjusted = adjust_cells(scored.select(*FOLD_COLUMNS, domain.label, "log_ratio").persist(), FOLD_COLUMNS)
+    return run_calibration_report(adjusted, probability="probability", domain=domain)
+
+
 def staged_tables(
     survivors: DataFrame,
     refinement: DataFrame,
@@ -477,63 +509,95 @@ def staged_tables(
 # -- family-neutral runs -------------------------------------------------------
 
 
+GRID_KEYS = ("family", "specification", "hyperparameters", *FOLD_COLUMNS)
+
+
+def job_name(configuration: Mapping[str, object]) -> str:
+    """What a configuration fits, without its folds."""
+    family, name = configuration["family"], configuration["specification"]
+    if family == "logistic":
+        return f"{family}__{name}__C_{'_'.join(map(label_number, configuration['C']))}"
+    if family == "hist_gradient_boosting":
+        return f"{family}__{name}__{configuration['parameters'].identifier}"
+    if family == "random_forest":
+        return f"{family}__{name}"
+    raise ValueError(f"Unknown density-ratio family {family!r}")
+
+
+def _grid_job(
+    records: DataFrame, folds: Sequence[Fold], configuration: Mapping[str, object], domain: Domain
+) -> DataFrame:
+    """The cells of one configuration on the folds."""
+    family, name = configuration["family"], configuration["specification"]
+    targets = target_rows(records, folds, domain)
+    if family == "logistic":
+        models = fit_grid(
+            records,
+            folds,
+            parse_specification(name),
+            configuration["C"],
+            variant="known_source_prior",
+            domain=domain,
+        )
+        scored = score_grid(targets, models, domain=domain)
+        label = F.to_json(F.create_map(F.lit("C"), F.col("regularization_c")))
+    elif family == "hist_gradient_boosting":
+        values = configuration["parameters"]
+        scored = boosted_log_ratios(records, targets, folds, [values], feature_set=name, domain=domain)
+        label = F.lit(values.identifier)
+    else:
+        scored = None
+        for fold in folds:
+            model = fit_forest(records, fold.train_years, domain=domain)
+            part = model.log_ratio(targets.where(F.col("fold_id") == fold.fold_id))
+            scored = part if scored is None else scored.unionByName(part)
+            label = F.lit(model.identifier)
+    named = scored.select(
+        F.lit(family).alias("family"),
+        F.lit(name).alias("specification"),
+        label.alias("hyperparameters"),
+        *FOLD_COLUMNS,
+        domain.label,
+        "log_ratio",
+    )
+    return evaluate_log_ratios(named, GRID_KEYS, is_positive(domain))
+
+
 def run_grid(
     records: DataFrame,
     folds: Sequence[Fold],
     configurations: Sequence[Mapping[str, object]],
     domain: Domain = DEFAULT,
+    store: str | None = None,
 ) -> DataFrame:
-    """Fit any mix of families on every fold and evaluate all targets together.
+    """Fit any mix of families on every fold; the result is the family-neutral cell table.
 
-    A configuration names ``family`` and ``specification`` and its parameters;
-    the result is the family-neutral cell table.
+    A configuration names ``family`` and ``specification`` and its parameters. With ``store``, the cells
+    of each configuration are appended to a table there as soon as they are known, and
+    configurations or folds that it already holds are not fitted again.
     """
-    keys = ["family", "specification", "hyperparameters", *FOLD_COLUMNS]
-    targets = target_rows(records, folds, domain)
-    scored = None
-
-    def add(frame: DataFrame, family: str, specification: str, parameters) -> None:
-        nonlocal scored
-        part = frame.select(
-            F.lit(family).alias("family"),
-            F.lit(specification).alias("specification"),
-            parameters.alias("hyperparameters"),
-            *FOLD_COLUMNS,
-            domain.label,
-            "log_ratio",
-        )
-        scored = part if scored is None else scored.unionByName(part)
-
-    for configuration in configurations:
-        family, name = configuration["family"], configuration["specification"]
-        if family == "logistic":
-            models = fit_grid(
-                records,
-                folds,
-                parse_specification(name),
-                configuration["C"],
-                variant="known_source_prior",
-                domain=domain,
-            )
-            scores = score_grid(targets, models, domain=domain)
-            parameters = F.to_json(F.create_map(F.lit("C"), F.col("regularization_c")))
-            add(scores, family, name, parameters)
+    spark = records.sparkSession
+    jobs = {job_name(configuration): configuration for configuration in configurations}
+    held: set[tuple[str, str]] = set()
+    if store is not None and path_exists(spark, store):
+        held = {(row.job, row.fold_id) for row in spark.read.parquet(store).select("job", "fold_id").distinct().collect()}
+    fresh = None
+    for job, configuration in jobs.items():
+        missing = [fold for fold in folds if (job, fold.fold_id) not in held]
+        if not missing:
             continue
-        for fold in folds:
-            rows = targets.where(F.col("fold_id") == fold.fold_id)
-            if family == "hist_gradient_boosting":
-                values = configuration["parameters"]
-                model = fit_boosting(
-                    records, values, fold.train_years, feature_set=name, domain=domain
-                )
-                label = values.identifier
-            elif family == "random_forest":
-                model = fit_forest(records, fold.train_years, domain=domain)
-                label = model.identifier
-            else:
-                raise ValueError(f"Unknown density-ratio family {family!r}")
-            add(model.log_ratio(rows), family, name, F.lit(label))
-    return evaluate_log_ratios(scored, keys, is_positive(domain))
+        cells = _grid_job(records, missing, configuration, domain).withColumn("job", F.lit(job))
+        if store is not None:
+            cells.write.mode("append").parquet(store)
+        else:
+            cells = freeze(cells)
+            fresh = cells if fresh is None else fresh.unionByName(cells)
+    if store is not None:
+        planned = small_table(
+            spark, [(job, fold.fold_id) for job in jobs for fold in folds], "job string, fold_id string"
+        )
+        fresh = spark.read.parquet(store).join(F.broadcast(planned), ["job", "fold_id"], "left_semi")
+    return fresh.drop("job")
 
 
 def published_problems(
