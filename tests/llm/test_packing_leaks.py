@@ -176,3 +176,63 @@ def test_items_in_several_blocks(spark, leak_case, monkeypatch):
 def test_words_are_lowered_and_split_on_control_space_only():
     assert words("A\x0bÉ\xa0b".encode()) == [b"a", "É\xa0b".encode()]
     assert len(hashed(words(b"a b a"), WordHashes())) == 3
+
+
+def test_many_tasks_leave_little_padding(spark):
+    texts = ["word " * (10 + i % 90) for i in range(600)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(97)
+    pieces = packing.pack_documents(frame, packing.vocabulary_path(), length=512).collect()
+    check_pieces(pieces, dict(enumerate(texts)), 512)
+    sequences = {p.sequence_id for p in pieces}
+    assert sum(p.length for p in pieces) > (len(sequences) - 1) * 512
+
+
+def check_pieces(pieces, texts, length):
+    """Each id in one piece, each sequence gapless and within its length."""
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    assert by_doc.keys() == texts.keys()
+    for doc_id, own in by_doc.items():
+        ids, at = reference_ids(texts[doc_id]), 0
+        for p in sorted(own, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    for own in by_sequence.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= length
+
+
+ODD = [
+    "İstanbul İ", "ﬁne ½ ²x x²", "é é É ÉTÉ", "a b  c", "don't I'M we'LL 'tis", "...!? (x) [y] x.y,z.",
+    "한국어 말 한", "<|endoftext|> <|ENDOFTEXT|> <|startoftext|>x", "ªº ǅ ß ẞ ŉ", "١٢٣ 12ab3", "\x1c\x1f\x0b a\x85b",
+    "word, WORD. Word;; word?!", "😀 a😀b 👨‍👩‍👧", "ſ K Å", "x" * 5000, "</w> a</w>", "﻿b ​c",
+]
+
+
+def test_odd_words_have_the_ids_of_the_whole_text(spark):
+    texts = [*ODD, " ".join(ODD), *(o + " " + p for o in ODD for p in ODD[:5])]
+    tokens = packing.WordTokens(packing.vocabulary_path())
+    tokens.LIMIT = 50
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        for text, ids in zip(part, tokens.encode([t.encode() for t in part]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == reference_ids(text)[:-1].tolist(), text
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(packing.vocabulary_path(), encoding="utf-8") as file:
+        rules = json.load(file)
+    rules["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules))
+    with pytest.raises(ValueError, match="does not split"):
+        packing.WordTokens(str(path))
