@@ -32,11 +32,12 @@ from pyspark.sql.types import DoubleType
 from .components import components
 from .skew import split_among
 from .storage import stored
-from .words import MULTIPLIER, WordHashes, mixed, texts
+from .words import MULTIPLIER, WordHashes, hashed, mixed, texts
 
 THRESHOLD = 0.8
 BLOCK_MEMBERS = 1024
 CELL_ROWS = 2_000
+TOKENS_TOGETHER = 100_000
 
 
 class Banding(NamedTuple):
@@ -71,9 +72,10 @@ class Unit(NamedTuple):
 
 
 Splitter = Callable[[bytes], Iterator[Unit]]
-# bag: sorted distinct elements of a unit's words; sketch: its values, one for each coordinate
+# bag: sorted distinct elements of a unit's word hashes
 Bagger = Callable[[np.ndarray], np.ndarray]
-Sketcher = Callable[[np.ndarray], np.ndarray]
+# sketches, one row a unit, of units given by their joined word hashes and their lengths
+Sketcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def content_key(tokens: list[bytes]) -> bytes:
@@ -93,20 +95,15 @@ def expanded(elements: np.ndarray) -> np.ndarray:
     return np.sort(np.where(nth == 0, repeated, mixed(repeated + nth.astype(np.uint64) * MULTIPLIER)))
 
 
-def band_keys(sketch: np.ndarray, banding: Banding) -> np.ndarray:
-    values = sketch.reshape(banding.bands, banding.rows)
+def band_keys(sketches: np.ndarray, banding: Banding) -> np.ndarray:
+    """A key for each band of each sketch (a row of the matrix)."""
+    values = sketches.reshape(-1, banding.bands, banding.rows)
     keys = np.arange(1, banding.bands + 1, dtype=np.uint64) * MULTIPLIER
     for row in range(banding.rows):
-        keys = mixed(keys * MULTIPLIER + values[:, row])
+        keys = mixed(keys * MULTIPLIER + values[:, :, row])
     return keys.view(np.int64)
 
 
-def prefix_keys(elements: np.ndarray, threshold: float) -> np.ndarray:
-    """Keys of a small bag's least elements; two bags that reach the threshold share one for certain."""
-    kept = len(elements) - math.ceil(threshold * len(elements) - 1e-9) + 1
-    return mixed(elements[:kept] * MULTIPLIER).view(np.int64)
-
-
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id (with a hash of the text, so that equal and null ids are told apart) and text."""
     text = F.col(text_col).cast("string")
@@ -124,24 +121,23 @@ def id_type(frame: DataFrame, name: str) -> str:
     return frame.schema[name].dataType.simpleString()
 
 
+def one_by_one(bag: Bagger, sketch: Callable[[np.ndarray], np.ndarray]) -> Sketcher:
+    """A sketcher of many units from one of a single bag."""
+
+    def run(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(lengths)
+        return np.stack([sketch(bag(ids[end - n : end])) for n, end in zip(lengths, ends, strict=True)])
+
+    return run
+
+
 def sketch_units(
-    docs: DataFrame,
-    split: Splitter,
-    bag: Bagger,
-    sketch: Sketcher,
-    banding: Banding,
-    id_col: str,
-    text_col: str,
-    small: int = 0,
-    threshold: float = THRESHOLD,
+    docs: DataFrame, split: Splitter, sketch: Sketcher, banding: Banding, id_col: str, text_col: str
 ) -> DataFrame:
     """id, unit, start, stop, n_words, key, bands, low (lowest byte of each value) of each unit.
 
-    Bags of up to ``small`` elements have prefix keys for bands and an empty ``low``; those that can
-    still reach the threshold with one of them have both.
+    Units are gathered to about ``TOKENS_TOGETHER`` words and sketched together.
     """
-    from .words import hashed
-
     schema = (
         f"id {id_type(docs, id_col)}, unit int, start long, stop long, n_words int, key binary,"
         " bands array<long>, low binary"
@@ -150,30 +146,35 @@ def sketch_units(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        rows: list[tuple] = []
+        tokens: list[bytes] = []
+
+        def gathered(id_kind: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            kinds = [id_kind, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            values = sketch(hashed(tokens, hashes), np.array(columns[4]))
+            offsets = np.arange(0, len(rows) * banding.bands + 1, banding.bands, dtype=np.int32)
+            arrays.append(pa.ListArray.from_arrays(offsets, band_keys(values, banding).reshape(-1)))
+            low = (values & np.uint64(255)).astype(np.uint8)
+            arrays.append(pa.array([row.tobytes() for row in low], pa.binary()))
+            rows.clear()
+            tokens.clear()
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        id_kind = None
         for batch in batches:
-            rows, bands, n_bands = [], [], []
+            id_kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 for unit in split(text):
-                    elements, low, own = bag(hashed(unit.tokens, hashes)), b"", []
-                    if not small or len(elements) > small:
-                        values = sketch(elements)
-                        own.append(band_keys(values, banding))
-                        low = (values & np.uint64(255)).astype(np.uint8).tobytes()
-                    if small and len(elements) * threshold <= small:
-                        own.append(prefix_keys(elements, threshold))
-                    bands.extend(own)
-                    n_bands.append(sum(map(len, own)))
                     rows.append(
-                        (doc_id, unit.number, unit.start, unit.end, len(unit.tokens), content_key(unit.tokens), low)
+                        (doc_id, unit.number, unit.start, unit.end, len(unit.tokens), content_key(unit.tokens))
                     )
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-                offsets = np.concatenate([[0], np.cumsum(n_bands)]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(bands)))
-                arrays.append(pa.array(columns[6], pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                    tokens.extend(unit.tokens)
+                    if len(tokens) >= TOKENS_TOGETHER:
+                        yield gathered(id_kind)
+        if rows:
+            yield gathered(id_kind)
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, schema)
@@ -181,7 +182,6 @@ def sketch_units(
 
 def _bags(docs: DataFrame, wanted: DataFrame, split: Splitter, bag: Bagger, id_col: str, text_col: str) -> DataFrame:
     """(key, bag) of the wanted contents (key, id), read from one row that holds each of them."""
-    from .words import hashed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -208,8 +208,7 @@ def _bags(docs: DataFrame, wanted: DataFrame, split: Splitter, bag: Bagger, id_c
 @F.pandas_udf(DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     same = [
-        np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) if x and y else 1.0  # small: no sketch
-        for x, y in zip(a, b)
+        np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) for x, y in zip(a, b)
     ]
     return pd.Series(same, dtype="float64")
 
@@ -289,13 +288,12 @@ def link_classes(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
-    small: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """All units (as ``sketch_units``, without sketches), and (key, n, label) of all contents.
 
     ``n`` counts the units of a content; the label of one without a link is its key.
     """
-    made = stored(sketch_units(docs, split, bag, sketch, banding, id_col, text_col, small, threshold))
+    made = stored(sketch_units(docs, split, sketch, banding, id_col, text_col))
     contents = made.groupBy("key").agg(
         F.min("id").alias("id"),
         F.count(F.lit(1)).alias("n"),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .near import THRESHOLD, Unit, expanded, identified, link_classes, text_hash, tune
+from .near import THRESHOLD, Unit, expanded, identified, link_classes, one_by_one, text_hash, tune
 from .skew import join_groups, split_among
 from .storage import stored
 from .words import MULTIPLIER, mixed, shingles, words
@@ -101,7 +101,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         return expanded(shingles(ids))
 
     named = identified(docs, id_col, text_col)
-    units, labels = link_classes(named, whole_text, bag, sketch, banding, threshold, "id", "text")
+    units, labels = link_classes(named, whole_text, bag, one_by_one(bag, sketch), banding, threshold, "id", "text")
     blank = named.where(F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == "")
     rows = stored(
         join_groups(units.select("id", "key"), labels, "key")

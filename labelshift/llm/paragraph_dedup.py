@@ -1,10 +1,9 @@
 """Repeated passages: lines that are equal or nearly equal, and runs of words across and inside lines.
 
 *Lines.* A paragraph is a line of at least ``min_words`` words. Its set of five-word shingles is
-compared by exact Jaccard similarity with those it meets: lines of more than ``SMALL`` shingles
-by MinHash banding tuned for high recall at the threshold, smaller ones by the least elements of
-their sets, which loses no pair. The removals are clustered by connected components. The first
-paragraph of a cluster, by document id and place, stays.
+compared by exact Jaccard similarity with those it meets by MinHash banding, tuned for a recall of
+``RECALL`` at the threshold and more above it. The removals are clustered by connected components. The
+first paragraph of a cluster, by document id and place, stays.
 
 *Passages.* Whatever the line ends, windows of ``WINDOW`` words are compared by their words. They
 start where the hash of a five-word shingle is the least of ``REACH`` neighbours, so every run of
@@ -23,7 +22,7 @@ through by ``remove_repeats`` and otherwise not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .book import query, table
-from .near import THRESHOLD, Splitter, Unit, identified, link_classes, text_hash, tune
+from .near import THRESHOLD, Sketcher, Splitter, Unit, identified, link_classes, text_hash, tune
 from .skew import join_groups, split_among
 from .storage import stored
-from .words import MULTIPLIER, WordHashes, hashed, mixed, shingles, texts, words
+from .words import MULTIPLIER, WordHashes, hashed, mixed, shingles, shingles_of_units, texts, words
 
 MIN_WORDS = 5
-SMALL = 45
+RECALL = 0.995
+SKETCH = 24
 WINDOW = 13
 REACH = 13
 _WORD = re.compile(rb"[^\t-\r ]+")
@@ -62,12 +62,17 @@ def shingle_set(ids: np.ndarray) -> np.ndarray:
     return np.unique(shingles(ids))
 
 
-def min_hashes(k: int) -> Callable[[np.ndarray], np.ndarray]:
+def min_hashes(k: int) -> Sketcher:
     seeds = mixed(np.arange(1, k + 1, dtype=np.uint64) * MULTIPLIER)
 
-    def sketch(elements: np.ndarray) -> np.ndarray:
-        values = (elements[None, :] ^ seeds[:, None]) * (seeds[:, None] | np.uint64(1))
-        return mixed((values ^ (values >> np.uint64(32))).min(axis=1))
+    def sketch(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        elements, counts = shingles_of_units(ids, lengths)
+        firsts = np.cumsum(counts) - counts
+        out = np.empty((len(lengths), k), np.uint64)
+        for place, seed in enumerate(seeds):
+            values = (elements ^ seed) * (seed | np.uint64(1))
+            out[:, place] = np.minimum.reduceat(values ^ (values >> np.uint64(32)), firsts)
+        return mixed(out)
 
     return sketch
 
@@ -95,9 +100,9 @@ def _clustered(placed: DataFrame, unit: str) -> DataFrame:
 
 
 def _repeated_lines(identified: DataFrame, min_words: int, threshold: float) -> DataFrame:
-    banding = tune(threshold)
+    banding = tune(threshold, RECALL, SKETCH)
     units, labels = link_classes(
-        identified, paragraphs(min_words), shingle_set, min_hashes(banding.size), banding, threshold, "id", "text", SMALL
+        identified, paragraphs(min_words), shingle_set, min_hashes(banding.size), banding, threshold, "id", "text"
     )
     placed = stored(
         join_groups(units, labels, "key").select("id", "unit", "start", "stop", "n_words", "label")
@@ -171,12 +176,12 @@ def _placed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _repeated_windows(identified: DataFrame, lines: DataFrame) -> DataFrame:
     kind = identified.schema["id"].dataType.simpleString()
-    found = identified.mapInArrow(_windows, f"id {kind}, hash array<long>, first array<int>")
-    twice = found.select(F.explode("hash").alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
-    twice = stored(twice)
+    found = stored(identified.mapInArrow(_windows, f"id {kind}, hash array<long>, first array<int>"))
+    counted = found.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    twice = stored(counted.where("n > 1"))
     each = found.select("id", F.inline(F.arrays_zip("hash", "first")))
     near, _ = split_among(each, F.xxhash64("hash"), twice.select(F.xxhash64("hash").alias("spot")))
-    wanted = near.join(twice, "hash", "left_semi").groupBy("id").agg(F.collect_set("first").alias("wanted"))
+    wanted = join_groups(near, twice, "hash").groupBy("id").agg(F.collect_set("first").alias("wanted"))
     wanted = stored(wanted)
     spot = F.xxhash64("id")
     held, _ = split_among(identified, spot, wanted.select(spot.alias("spot")))

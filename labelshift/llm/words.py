@@ -6,8 +6,6 @@ lower-cased. Null and empty texts have no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -87,6 +85,25 @@ def shingles(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mixed(rolled + np.uint64(size))
 
 
+def shingles_of_units(ids: np.ndarray, lengths: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of many texts with one word or more, joined, and how many each has."""
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    counts = np.maximum(lengths - size + 1, 1)
+    rolled = np.zeros(len(ids), np.uint64)
+    if len(ids) >= size:
+        whole = ids[: len(ids) - size + 1].copy()
+        for i in range(1, size):
+            whole = whole * MULTIPLIER + ids[i : len(ids) - size + 1 + i]
+        rolled[: len(whole)] = whole
+    first = np.cumsum(counts) - counts
+    at = np.repeat(starts - first, counts) + np.arange(counts.sum())
+    values = mixed(rolled[at] + np.uint64(size))
+    for unit in np.flatnonzero(lengths < size):
+        values[first[unit]] = shingles(ids[starts[unit] : ends[unit]], size)[0]
+    return values, counts
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of smaller over sum of larger weights; each side is sorted elements with weights.
 
@@ -98,9 +115,3 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     common = float(np.minimum(a[1][i], b[1][j]).sum())
     return common / (total - common)
-
-
-def row_slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what is made from one stays small."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)

@@ -3,7 +3,7 @@ import pytest
 
 from labelshift.llm import near, near_dedup, paragraph_dedup
 from labelshift.llm.components import components
-from labelshift.llm.words import WordHashes, hashed, shingles, weighted_jaccard, words
+from labelshift.llm.words import WordHashes, hashed, shingles, shingles_of_units, weighted_jaccard, words
 
 H = WordHashes()
 
@@ -235,14 +235,33 @@ def test_every_shared_run_holds_a_shared_window():
         assert found[0] & found[1]
 
 
-def test_prefix_keys_lose_no_pair():
-    rng = np.random.default_rng(6)
-    for _ in range(500):
-        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 46))).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 2).astype(np.uint64)]))
-        common = len(np.intersect1d(a, b))
-        if common / (len(a) + len(b) - common) >= 0.8:
-            assert np.intersect1d(near.prefix_keys(a, 0.8), near.prefix_keys(b, 0.8)).size
+def test_units_sketched_together_have_their_own_sketches():
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 5, 4, 30, 2, 6, 5, 77])
+    ids = rng.integers(0, 40, lengths.sum()).astype(np.uint64)
+    values, counts = shingles_of_units(ids, lengths)
+    together = paragraph_dedup.min_hashes(12)(ids, lengths)
+    ends = np.cumsum(lengths)
+    for unit, (n, end) in enumerate(zip(lengths, ends)):
+        own = ids[end - n : end]
+        at = counts[:unit].sum()
+        assert values[at : at + counts[unit]].tolist() == shingles(own).tolist()
+        assert together[unit].tolist() == paragraph_dedup.min_hashes(12)(own, np.array([n]))[0].tolist()
+
+
+def test_lines_that_share_a_frequent_shingle_do_not_meet(spark):
+    """Rows of the comparison across components grow no faster than the lines."""
+    rows = []
+    for n in (300, 1200):
+        lines = ["all lines share this start " + " ".join(f"w{i * 31 + j}" for j in range(20)) for i in range(n)]
+        frame = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+        banding = near.tune(0.8, paragraph_dedup.RECALL, paragraph_dedup.SKETCH)
+        made = near.sketch_units(
+            frame, paragraph_dedup.paragraphs(5), paragraph_dedup.min_hashes(banding.size), banding, "id", "text"
+        )
+        placed = made.selectExpr("key", "explode(bands) as bucket")
+        rows.append(placed.groupBy("bucket").count().where("count > 1").selectExpr("coalesce(sum(count), 0)").first()[0])
+    assert rows[1] <= 8 * rows[0] + 100
 
 
 A, B = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
