@@ -177,13 +177,16 @@ def calibration_coefficients(
     """Intercept and slope of ``y ~ logit(p)`` for every cell.
 
     A pass yields objective, gradient and information of the candidate point of
-    each unfinished cell, so an accepted step costs one scan. Cells whose fit
-    does not exist get null.
+    each unfinished cell, so an accepted step costs one scan. A cell with one
+    class is refused; cells whose fit does not exist for other reasons get null.
     """
     keys = list(keys)
     rows = []
     for part in cell_slices(frame, keys):
         shares = part.groupBy(*keys).agg(F.avg(indicator(positive)).alias("_share")).collect()
+        single = [tuple(r[k] for k in keys) for r in shares if r["_share"] in (0.0, 1.0)]
+        if single:
+            raise ValueError(f"Cells with records of one class cannot be calibrated: {single[:5]}")
         fits = {tuple(r[k] for k in keys): _CalibrationFit(r["_share"]) for r in shares}
         for _ in range(max_iterations):
             state = {key: fit.candidate for key, fit in fits.items() if not fit.done}

@@ -251,3 +251,33 @@ def test_scores_refuse_unlabelled_and_invalid_records(spark):
             metrics.threshold_metrics(frame, [], F.col("y"), include_average_precision=False).collect()
     row = metrics.proper_scores(spark.createDataFrame(good, "y boolean, probability double"), [], F.col("y")).first()
     assert row.n == 2 and row.observed_second_share == 0.5
+
+
+@pytest.mark.parametrize("shape", ["normal", "outliers", "ties"])
+def test_brackets_are_narrowed_until_few_values_are_ordered(spark, monkeypatch, shape):
+    draw = np.random.default_rng(6)
+    p = {
+        "normal": draw.normal(size=6_000),
+        "outliers": np.r_[draw.normal(size=5_997), 10.0 ** np.arange(10, 40, 10)],
+        "ties": np.repeat(draw.normal(size=3), 2_000),
+    }[shape]
+    frame = cells(spark, np.arange(6_000) % 2, p).repartition(3)
+    ordered = []
+    real = quantiles._ranked
+
+    def counted(zones, keys, probabilities, key):
+        ordered.append((key, zones.groupBy(*keys, "_j").count().agg({"count": "max"}).first()[0]))
+        return real(zones, keys, probabilities, key)
+
+    monkeypatch.setattr(quantiles, "_ranked", counted)
+    levels = [0.0, 0.05, 0.5, 0.9, 1.0]
+    row = quantiles.exact_quantiles(frame, ["cell"], "probability", levels, "q", 20, most_ordered=40).first()
+    assert row.q == pytest.approx(np.quantile(p, levels), rel=1e-12)
+    assert ordered[-1][0] == "_key" and ordered[-1][1] <= 2 * 40 + 2
+    assert len(ordered) > 1 and max(n for key, n in ordered if key == "_part") <= quantiles.SUB_RANGES + 2
+
+
+def test_cells_with_one_class_are_refused(spark):
+    frame = cells(spark, [0, 0, 0, 0], [0.2, 0.2, 0.3, 0.4])
+    with pytest.raises(ValueError, match="one class"):
+        metrics.evaluate_probabilities(frame, ["cell"], yes())
