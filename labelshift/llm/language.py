@@ -35,7 +35,7 @@ from .storage import stored
 from .words import mixed, texts
 
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 512
+LANGUAGES_TOGETHER = 256
 TEXT_WEIGHT = 1 / 3
 SMOOTHING = 0.5
 HOST_STRENGTH = 5.0
@@ -70,8 +70,20 @@ def host_of(url: str | None) -> str:
 
 
 class TextModel:
-    def __init__(self, languages: list[str], log_likelihood: np.ndarray):
-        self.languages, self.log_likelihood = languages, log_likelihood  # buckets x languages
+    """Languages, in order, and the counts of their trigram buckets (lang, bucket, n)."""
+
+    def __init__(self, languages: list[str], counts: DataFrame):
+        self.languages, self.counts = languages, counts
+
+    def block(self, start: int) -> np.ndarray:
+        """Log likelihoods, buckets x languages, of up to ``LANGUAGES_TOGETHER`` languages."""
+        chosen = self.languages[start : start + LANGUAGES_TOGETHER]
+        place = {lang: i for i, lang in enumerate(chosen)}
+        smooth = np.full((BUCKETS, len(chosen)), SMOOTHING)
+        own = self.counts.where(F.col("lang").between(chosen[0], chosen[-1]))
+        for row in own.toLocalIterator():  # at most BUCKETS rows a language
+            smooth[row.bucket, place[row.lang]] += row.n
+        return np.log(smooth / smooth.sum(axis=0, keepdims=True))
 
 
 def train_text(docs: DataFrame, language_col: str = "lang", text_col: str = "text") -> TextModel:
@@ -97,39 +109,67 @@ def train_text(docs: DataFrame, language_col: str = "lang", text_col: str = "tex
     counts = stored(
         chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
-    languages = sorted(row.lang for row in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"More than {MAX_LANGUAGES} languages")
-    table_ = np.zeros((BUCKETS, len(languages)))
-    for row in counts.toLocalIterator():  # at most BUCKETS rows a language
-        table_[row.bucket, languages.index(row.lang)] = row.n
-    smooth = table_ + SMOOTHING
-    return TextModel(languages, np.log(smooth / smooth.sum(axis=0, keepdims=True)))
+    languages = sorted(row.lang for row in counts.select("lang").distinct().collect())
+    return TextModel(languages, counts)
 
 
 def text_evidence(pages: DataFrame, model: TextModel, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """id, host, domain, suffix, declared, log likelihoods and text posterior of each page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages doubles
+    """id, host, domain, suffix, declared, log likelihoods and text posterior of each page.
+
+    Up to ``LANGUAGES_TOGETHER`` languages are one pass with one table of likelihoods in each worker;
+    more are added pass by pass, with the pages stored in between.
+    """
     chosen = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
+        F.col(id_col).alias("id"),
+        F.col(url_col).cast("string").alias("url"),
+        F.col(html_col).cast("string").alias("html"),
+        F.array().cast("array<double>").alias("scores"),
     )
-    kind = chosen.schema["id"].dataType.simpleString()
+    last = (len(model.languages) - 1) // LANGUAGES_TOGETHER * LANGUAGES_TOGETHER
+    for start in range(0, last, LANGUAGES_TOGETHER):
+        chosen = stored(_with_scores(chosen, model.block(start)))
+    return _with_facts(chosen, model.block(last))
+
+
+def _page_scores(batch: pa.RecordBatch, log_likelihood: np.ndarray) -> list[np.ndarray]:
+    """The scores so far, and those of one block of languages, of each page."""
+    found = []
+    for page, before in zip(texts(batch, "html"), batch.column(3).to_pylist(), strict=True):
+        text = visible(page)
+        score = np.zeros(log_likelihood.shape[1])
+        if text.strip():
+            score = TEXT_WEIGHT * log_likelihood[trigrams(text)].sum(axis=0)
+        found.append(np.concatenate([before or [], score]))
+    return found
+
+
+def _with_scores(pages: DataFrame, log_likelihood: np.ndarray) -> DataFrame:
+    shared = pages.sparkSession.sparkContext.broadcast(log_likelihood)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array(_page_scores(batch, shared.value), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], scores], batch.schema.names)
+
+    return pages.mapInArrow(run, pages.schema)
+
+
+def _with_facts(pages: DataFrame, log_likelihood: np.ndarray) -> DataFrame:
+    shared = pages.sparkSession.sparkContext.broadcast(log_likelihood)
     schema = (
-        f"id {kind}, host string, domain string, suffix string, declared string,"
+        f"id {pages.schema['id'].dataType.simpleString()}, host string, domain string, suffix string, declared string,"
         " evidence array<double>, posterior array<double>"
     )
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             hosts = [host_of(url) for url in batch.column(1).to_pylist()]
             declared, evidence, posterior = [], [], []
             for page in texts(batch, "html"):
                 found = _DECLARED.search(page)
                 declared.append(found.group(1).decode().lower() if found else "")
-                text = visible(page)
-                score = TEXT_WEIGHT * known.log_likelihood[trigrams(text)].sum(axis=0) if text.strip() else np.zeros(len(known.languages))
+            for score in _page_scores(batch, shared.value):
                 share = np.exp(score - score.max())
                 evidence.append(score - score.max())
                 posterior.append(share / share.sum())
@@ -144,7 +184,7 @@ def text_evidence(pages: DataFrame, model: TextModel, id_col: str, url_col: str,
             ]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return chosen.mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema)
 
 
 def classify_pages(

@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType
 from .components import components
 from .skew import split_among
 from .storage import stored
-from .words import MULTIPLIER, WordHashes, hashed, mixed, texts
+from .words import MULTIPLIER, mixed, texts, word_hashes
 
 THRESHOLD = 0.8
 BLOCK_MEMBERS = 1024
@@ -78,8 +78,9 @@ Bagger = Callable[[np.ndarray], np.ndarray]
 Sketcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def content_key(tokens: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(tokens))
+def content_key(content: bytes) -> bytes:
+    """Key of a unit's words, joined by spaces."""
+    return xxhash.xxh3_128_digest(content)
 
 
 def expanded(elements: np.ndarray) -> np.ndarray:
@@ -145,21 +146,21 @@ def sketch_units(
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         rows: list[tuple] = []
-        tokens: list[bytes] = []
+        contents: list[bytes] = []
+        n_words = 0
 
         def gathered(id_kind: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             kinds = [id_kind, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            values = sketch(hashed(tokens, hashes), np.array(columns[4]))
+            values = sketch(word_hashes(b" ".join(contents)), np.array(columns[4]))
             offsets = np.arange(0, len(rows) * banding.bands + 1, banding.bands, dtype=np.int32)
             arrays.append(pa.ListArray.from_arrays(offsets, band_keys(values, banding).reshape(-1)))
             low = (values & np.uint64(255)).astype(np.uint8)
             arrays.append(pa.array([row.tobytes() for row in low], pa.binary()))
             rows.clear()
-            tokens.clear()
+            contents.clear()
             return pa.RecordBatch.from_arrays(arrays, names)
 
         id_kind = None
@@ -167,12 +168,14 @@ def sketch_units(
             id_kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 for unit in split(text):
-                    rows.append(
-                        (doc_id, unit.number, unit.start, unit.end, len(unit.tokens), content_key(unit.tokens))
-                    )
-                    tokens.extend(unit.tokens)
-                    if len(tokens) >= TOKENS_TOGETHER:
+                    content = b" ".join(unit.tokens)
+                    key = content_key(content)
+                    rows.append((doc_id, unit.number, unit.start, unit.end, len(unit.tokens), key))
+                    contents.append(content)
+                    n_words += len(unit.tokens)
+                    if n_words >= TOKENS_TOGETHER:
                         yield gathered(id_kind)
+                        n_words = 0
         if rows:
             yield gathered(id_kind)
 
@@ -184,17 +187,17 @@ def _bags(docs: DataFrame, wanted: DataFrame, split: Splitter, bag: Bagger, id_c
     """(key, bag) of the wanted contents (key, id), read from one row that holds each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             keys, bags = [], []
             for wish, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 wish = set(wish)
                 for unit in split(text):
-                    key = content_key(unit.tokens)
+                    content = b" ".join(unit.tokens)
+                    key = content_key(content)
                     if key in wish:
                         wish.discard(key)
                         keys.append(key)
-                        bags.append(bag(hashed(unit.tokens, hashes)).tobytes())
+                        bags.append(bag(word_hashes(content)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bags, pa.binary())], ["key", "bag"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -6,7 +6,7 @@ compared by exact Jaccard similarity with those it meets by MinHash banding, tun
 first paragraph of a cluster, by document id and place, stays.
 
 *Passages.* Whatever the line ends, windows of ``WINDOW`` words are compared by their words. They
-start where the hash of a five-word shingle is the least of ``REACH`` neighbours, so every run of
+start where the hash of a five-word shingle is the least of ``REACH`` in a row, so every run of
 ``WINDOW + REACH - 1`` = 25 words that two places share holds a window that both have. A passage of
 50 words or more with words replaced and a Jaccard similarity of 0.8 or more keeps such a run, as
 each replaced word costs five shingles. Windows that overlap a removed line are set aside first;
@@ -21,7 +21,6 @@ through by ``remove_repeats`` and otherwise not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +33,13 @@ from .book import query, table
 from .near import THRESHOLD, Sketcher, Splitter, Unit, identified, link_classes, text_hash, tune
 from .skew import join_groups, split_among
 from .storage import stored
-from .words import MULTIPLIER, WordHashes, hashed, mixed, shingles, shingles_of_units, texts, words
+from .words import MULTIPLIER, mixed, shingles, shingles_of_units, texts, word_hashes, word_spans, words
 
 MIN_WORDS = 5
 RECALL = 0.995
 SKETCH = 24
 WINDOW = 13
 REACH = 13
-_WORD = re.compile(rb"[^\t-\r ]+")
 
 
 def paragraphs(min_words: int) -> Splitter:
@@ -123,24 +121,32 @@ def repeated_paragraphs(
     return lines.withColumn("id", F.col("id.id"))
 
 
+def _sliding(values: np.ndarray, size: int, better: np.ufunc) -> np.ndarray:
+    """The best of every ``size`` values in a row, by doubling."""
+    found, reach = values, 1
+    while 2 * reach <= size:
+        found, reach = better(found[: len(found) - reach], found[reach:]), 2 * reach
+    rest = size - reach
+    return better(found[: len(found) - rest], found[rest:]) if rest else found
+
+
 def anchors(grams: np.ndarray) -> np.ndarray:
-    """Places of the least of every ``REACH`` shingles in a row, the last among equals."""
+    """Places that are the least of some ``REACH`` shingles in a row."""
     if len(grams) < REACH:
         return np.empty(0, np.int64)
-    # Least value with the last place: scan the reversed values, where argmin takes the first.
-    spans = np.lib.stride_tricks.sliding_window_view(grams[::-1], REACH)
-    return np.unique(len(grams) - 1 - (spans.argmin(axis=1) + np.arange(len(spans))))
+    least = _sliding(grams, REACH, np.minimum)
+    # A place is least in one of its rows if the greatest of their least values is its own.
+    edge = np.zeros(REACH - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), REACH, np.maximum) == grams)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and the windows of each text: hash of the words, first and end word."""
-    hashes = WordHashes()
+    """id and the windows of each text: hash of the words, first word."""
     for batch in batches:
         keys, firsts, counts = [], [], []
         for text in texts(batch):
-            ids = hashed(words(text), hashes)
-            grams = shingles(ids)
-            at = anchors(grams)
+            ids = word_hashes(text)
+            at = anchors(shingles(ids))
             at = at[at + WINDOW <= len(ids)]
             keys.append(shingles(ids, WINDOW)[at] if len(at) else np.empty(0, np.uint64))
             firsts.append(at)
@@ -161,12 +167,13 @@ def _placed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows = []
         ids = batch.column(0)
         for row, (text, wanted) in enumerate(zip(texts(batch), batch.column(2).to_pylist(), strict=True)):
-            places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-            ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-            for first in wanted:
-                start, stop = places[first][0], places[first + WINDOW - 1][1]
+            starts, ends = word_spans(text)
+            places = np.array(wanted)
+            begins, stops = starts[places], ends[places + WINDOW - 1]
+            lines = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), begins)
+            for start, stop, line in zip(begins.tolist(), stops.tolist(), lines.tolist(), strict=True):
                 content = xxhash.xxh3_128_digest(b" ".join(words(text[start:stop])))
-                rows.append((row, int(np.searchsorted(ends, start)), start, stop, WINDOW, content))
+                rows.append((row, line, start, stop, WINDOW, content))
         if rows:
             row, *columns = zip(*rows, strict=True)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]

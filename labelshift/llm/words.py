@@ -61,6 +61,18 @@ def hashed(tokens: list[bytes], hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    inside = np.zeros(len(text) + 2, np.int8)
+    inside[1:-1] = ~_IS_SPACE[np.frombuffer(text, np.uint8)]
+    turns = np.diff(inside)
+    return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     values = values ^ (values >> np.uint64(30))
@@ -70,6 +82,30 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def _byte_values() -> np.ndarray:
+    """A 64-bit value for each byte, the same for a letter A-Z and its lower case."""
+    codes = np.arange(256, dtype=np.uint64)
+    codes[65:91] += np.uint64(32)
+    return mixed(codes + MULTIPLIER)
+
+
+_BYTE_VALUES = _byte_values()
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (letters A-Z lower-cased), from all bytes of the text at once."""
+    starts, ends = word_spans(text)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(text, np.uint8)
+    sizes = ends - starts
+    firsts = np.cumsum(sizes) - sizes
+    place = np.arange(firsts[-1] + sizes[-1]) - np.repeat(firsts, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), MULTIPLIER), dtype=np.uint64)
+    values = _BYTE_VALUES[data[~_IS_SPACE[data]]] * powers[place]
+    return mixed(np.add.reduceat(values, firsts) + sizes.astype(np.uint64))
+
+
 def shingles(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """A hash for each run of ``size`` words, in text order.
 
