@@ -79,6 +79,7 @@ STAGES = (
     "finite_model_features",
 )
 
+# Inputs that are numbers.
 NUMERIC_INPUTS = (
     "year",
     "action_taken",
@@ -94,6 +95,7 @@ NUMERIC_INPUTS = (
     "edit_status",
 )
 
+# Columns of a clean record, and those read for one.
 BASE_COLUMNS = (
     "year",
     "agency_code",
@@ -117,7 +119,10 @@ def _levels() -> dict[str, tuple[int, ...]]:
 
 @dataclass(frozen=True)
 class Domain:
-    """Column roles and codes of one partly labelled record table."""
+    """Column roles and codes of one partly labelled record table.
+
+    Fixed values: the defaults are the codes, states and years of the declared study.
+    """
 
     label: str = "lien_status"
     negative_class: int = 1

@@ -52,6 +52,6 @@ def workspace(spark: SparkSession) -> str:
     if shared:
         name = spark.range(1).select(F.expr("uuid()")).first()[0]
         return f"{shared.rstrip('/')}/labelshift/{name}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix="spark-")

@@ -1478,6 +1478,79 @@ def _(spark, sf):
     return reports.run_calibration_report(scored, domain=PLAIN)["metrics"]
 
 
+@query(
+    "evl6_pooled_variant",
+    f"""SELECT {CELL_FIELDS}, count(*) AS n_validation, round(any_value(s), 6) AS mixture_share_pooled,
+    round(avg(power(q - CAST(y AS INTEGER), 2)), 6) AS adjusted_brier_pooled
+    FROM (SELECT o.*, p.s, 1 / (1 + exp(-(log_ratio + ln(p.s / (1 - p.s))))) AS q FROM pooled o
+      JOIN {SHARE} p ON o.cell = p.cell) g GROUP BY {CELL_FIELDS}""",
+    pooled=f"""SELECT v.cell, {', '.join(f'v.{name}' for name in CELL_FIELDS.split(', '))}, v.y, n.mean_offset + v.slope AS log_ratio
+      FROM (SELECT t.fold_id || '|' || t.validation_year AS cell, t.*, lien_status = 2 AS y, r.b * (log_lti - mean) / sd AS slope
+        FROM clean c JOIN targets t ON c.year = t.validation_year JOIN fit f ON f.fold_id = t.fold_id
+        JOIN {RIDGE} r ON r.fold_id = t.fold_id) v
+      JOIN (SELECT t.fold_id, -ln(avg(exp(b * z))) AS mean_offset FROM train_z t JOIN {RIDGE} r ON t.fold_id = r.fold_id
+        WHERE NOT y GROUP BY t.fold_id) n ON n.fold_id = v.fold_id""",
+    **ridge_parts((0.1,)),
+    **share_parts("pooled", "cell"),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    cells = reports.run_mixture_validation(records, folds, LINEAR, 0.1, PLAIN)["cells"]
+    return cells.select(*CELL_FIELDS.split(", "), "n_validation", "mixture_share_pooled", "adjusted_brier_pooled")
+
+
+@query(
+    "rpt3_ratio_tail_cells",
+    f"""SELECT {CELL_FIELDS}, {TAILS},
+    round(avg(CASE WHEN log_ratio > 10 THEN 1.0 ELSE 0.0 END), 6) AS share_log_ratio_gt_10,
+    round(avg(CASE WHEN log_ratio < -10 THEN 1.0 ELSE 0.0 END), 6) AS share_log_ratio_lt_minus_10
+    FROM validated GROUP BY {CELL_FIELDS}""",
+    **VALIDATED_PARTS,
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    scored = reports.scored_estimators(records, folds, LINEAR, 0.1, PLAIN)
+    return reports.run_calibration_report(scored, probability="probability", domain=PLAIN)["ratio_tails"]
+
+
+@query(
+    "rpt3_adjusted_cells",
+    f"""SELECT {CELL_FIELDS}, {SCORES} FROM (SELECT o.*, 1 / (1 + exp(-(log_ratio + ln(p.s / (1 - p.s))))) AS p
+      FROM validated o JOIN {SHARE} p ON o.cell = p.cell) g GROUP BY {CELL_FIELDS}""",
+    **VALIDATED_PARTS,
+    **share_parts("validated", "cell"),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    scored = reports.scored_estimators(records, folds, LINEAR, 0.1, PLAIN)
+    tables = reports.run_calibration_report(scored, probability="probability", domain=PLAIN)
+    return tables["metrics"].drop("calibration_intercept", "calibration_slope")
+
+
+REPORT_ROWS = f"""SELECT 'raw_logistic' AS estimator, {CELL_FIELDS}, y, probability FROM validated
+    UNION ALL SELECT 'known_source_prior_mixture', {', '.join(f'o.{name}' for name in CELL_FIELDS.split(', '))}, o.y,
+      1 / (1 + exp(-(log_ratio + ln(p.s / (1 - p.s))))) FROM validated o JOIN {SHARE} p ON o.cell = p.cell"""
+
+
+@query(
+    "rpt4_threshold_cells",
+    f"""SELECT {', '.join(f't.{name}' for name in ESTIMATOR_LIST)}, {COUNT_NAMES}, {r(*RATIO_NAMES)},
+    round(average_precision, 6) AS average_precision FROM threshold_cells t JOIN average_precisions a
+      ON t.estimator = a.estimator AND t.fold_id = a.fold_id AND t.validation_year = a.validation_year""",
+    estimator_rows=REPORT_ROWS,
+    confusion=f"""SELECT {ESTIMATOR_KEYS}, {confusion_sql('probability', 0.5)} FROM estimator_rows
+      GROUP BY {ESTIMATOR_KEYS}""",
+    threshold_cells=ratios_sql(ESTIMATOR_KEYS, "confusion", 0.5),
+    average_precisions=AP,
+    **VALIDATED_PARTS,
+    **share_parts("validated", "cell"),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    scored = reports.scored_estimators(records, folds, LINEAR, 0.1, PLAIN)
+    return reports.run_threshold_report(scored, domain=PLAIN)["threshold_cells"]
+
+
 SEARCHED = (0.001, 0.01, 0.1, 1.0, 10.0)
 
 
@@ -1509,6 +1582,39 @@ def _(spark, sf):
     )
 
 
+@query(
+    "sel6_searched_penalties",
+    """SELECT c AS regularization_c, round(avg(b), 6) AS selection_brier, count(*) AS n_horizons, sum(k)::BIGINT AS n_cells
+    FROM mixed WHERE c IN (0.01, 1.0) OR abs(c - 0.1 * (SELECT best FROM preferred)) < 1e-9
+      OR abs(c - 10 * (SELECT best FROM preferred)) < 1e-9 GROUP BY c""",
+    known_rows="""SELECT t.fold_id || '|' || t.validation_year || '|' || r.c AS cell, t.horizon, r.c, lien_status = 2 AS y,
+      r.a + r.b * (log_lti - mean) / sd AS log_ratio FROM clean c JOIN targets t ON c.year = t.validation_year
+      JOIN fit f ON f.fold_id = t.fold_id JOIN ridge12 r ON r.fold_id = t.fold_id""",
+    mixed=f"""SELECT c, horizon, avg(brier) AS b, count(*) AS k FROM (SELECT o.cell, o.c, o.horizon,
+      avg(power(1 / (1 + exp(-(log_ratio + ln(p.s / (1 - p.s))))) - CAST(y AS INTEGER), 2)) AS brier
+      FROM known_rows o JOIN {SHARE} p ON o.cell = p.cell GROUP BY ALL) g GROUP BY c, horizon""",
+    preferred="""SELECT arg_min(c, score) AS best FROM (SELECT c, avg(b) AS score FROM mixed WHERE c IN (0.01, 1.0)
+      GROUP BY c) h""",
+    **ridge_parts(SEARCHED, weighted=True),
+    **share_parts("known_rows", "cell"),
+)
+def _(spark, sf):
+    records, folds = training(spark, sf)
+    outputs = selection.run_mixture_selection(
+        records,
+        folds,
+        LINEAR,
+        (1995, 1996, 1997, 1998),
+        (1999, 2000, 2001),
+        specifications=[LINEAR],
+        coarse_c=(0.01, 1.0),
+        domain=PLAIN,
+    )
+    return outputs["summary"].select(
+        F.round("regularization_c", 6).alias("regularization_c"), "selection_brier", "n_horizons", "n_cells"
+    )
+
+
 @query("rpt6_forest_mixture")
 def _(spark, sf):
     records = inputs.core(spark, sf).persist()
