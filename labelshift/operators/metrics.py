@@ -11,27 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
-
-from ..functions.expressions import (
-    clip_probability,
-    expit,
-    indicator,
-    log_add_exp,
-    logit,
-    ratio,
-)
-from ..functions.joins import join_bounded
-from ..functions.local import freeze, small_table
-from .mixture import (
-    SHARE_TOLERANCE,
-    adjusted_probability,
-    attach_state,
-    cell_slices,
-    estimate_shares,
-    key_fields,
-)
+
+from ..functions.expressions import clip_probability, indicator, logit, ratio
+from ..functions.storage import written
+from .mixture import SHARE_TOLERANCE, adjusted_probability, share_table
 from .quantiles import score_ranks
+from .solvers import CalibrationSolver, ShareSolver, solve
 
 THRESHOLD = 0.5
 GRID_STEPS = 241
@@ -103,67 +88,9 @@ def validate_probabilities(
 # -- calibration -------------------------------------------------------------
 
 
-class _CalibrationFit:
-    """Step-halving Newton state of one two-parameter logistic fit."""
-
-    def __init__(self, prevalence: float) -> None:
-        held = min(max(prevalence, 1e-12), 1.0 - 1e-12)
-        self.accepted = (math.log(held / (1.0 - held)), 0.0)
-        self.candidate = self.accepted
-        self.objective = -math.inf
-        self.step, self.scale = (0.0, 0.0), 1.0
-        self.started = self.done = False
-        self.failed = False
-
-    def update(self, objective, g0, g1, h00, h01, h11, tolerance: float) -> None:
-        if self.started and not objective >= self.objective - 1e-8:
-            self.scale /= 2.0
-            if self.scale < 2.0**-20:
-                self.done = self.failed = True
-                return
-        else:
-            moved = max(abs(self.step[0]), abs(self.step[1])) * self.scale
-            self.accepted, self.objective = self.candidate, objective
-            if self.started and moved < tolerance:
-                self.done = True
-                return
-            determinant = h00 * h11 - h01 * h01
-            if determinant == 0:
-                self.done = self.failed = True
-                return
-            self.step = (
-                (h11 * g0 - h01 * g1) / determinant,
-                (h00 * g1 - h01 * g0) / determinant,
-            )
-            self.scale, self.started = 1.0, True
-        self.candidate = (
-            self.accepted[0] + self.scale * self.step[0],
-            self.accepted[1] + self.scale * self.step[1],
-        )
-
-
-def _calibration_pass(frame, keys, positive, probability, state):
-    p = clip_probability(F.col(probability))
-    score, y = logit(p), indicator(positive)
-    rows = attach_state(
-        frame.select(*keys, score.alias("_x"), y.alias("_y")), keys, state, ["_a", "_b"]
-    )
-    x, y = F.col("_x"), F.col("_y")
-    linear = F.col("_a") + F.col("_b") * x
-    fitted = expit(linear)
-    weight = fitted * (1.0 - fitted)
-    return (
-        rows.groupBy(*keys)
-        .agg(
-            F.sum(y * linear - log_add_exp(F.lit(0.0), linear)).alias("objective"),
-            F.sum(y - fitted).alias("g0"),
-            F.sum(x * (y - fitted)).alias("g1"),
-            F.sum(weight).alias("h00"),
-            F.sum(weight * x).alias("h01"),
-            F.sum(weight * x * x).alias("h11"),
-        )
-        .collect()
-    )
+CALIBRATION_TOLERANCE = 1e-10
+CALIBRATION_STEPS = 100
+PRECISE_BELOW, PRECISE_ABOVE = -27.0, 12.0
 
 
 def calibration_coefficients(
@@ -171,8 +98,8 @@ def calibration_coefficients(
     keys: Sequence[str],
     positive: Column,
     probability: str = "probability",
-    tolerance: float = 1e-10,
-    max_iterations: int = 100,
+    tolerance: float = CALIBRATION_TOLERANCE,
+    max_iterations: int = CALIBRATION_STEPS,
 ) -> DataFrame:
     """Intercept and slope of ``y ~ logit(p)`` for every cell.
 
@@ -180,34 +107,12 @@ def calibration_coefficients(
     each unfinished cell, so an accepted step costs one scan. A cell with one
     class is refused; cells whose fit does not exist for other reasons get null.
     """
-    keys = list(keys)
-    rows = []
-    for part in cell_slices(frame, keys):
-        shares = part.groupBy(*keys).agg(F.avg(indicator(positive)).alias("_share")).collect()
-        single = [tuple(r[k] for k in keys) for r in shares if r["_share"] in (0.0, 1.0)]
-        if single:
-            raise ValueError(f"Cells with records of one class cannot be calibrated: {single[:5]}")
-        fits = {tuple(r[k] for k in keys): _CalibrationFit(r["_share"]) for r in shares}
-        for _ in range(max_iterations):
-            state = {key: fit.candidate for key, fit in fits.items() if not fit.done}
-            if not state:
-                break
-            for row in _calibration_pass(part, keys, positive, probability, state):
-                fits[tuple(row[k] for k in keys)].update(
-                    row.objective, row.g0, row.g1, row.h00, row.h01, row.h11, tolerance
-                )
-        for key, fit in fits.items():
-            values = (None, None) if fit.failed else fit.accepted
-            finite = values[0] is not None and all(map(math.isfinite, values))
-            rows.append((*key, *(values if finite else (None, None))))
-    schema = StructType(
-        [
-            *key_fields(frame, keys),
-            StructField("calibration_intercept", DoubleType()),
-            StructField("calibration_slope", DoubleType()),
-        ]
-    )
-    return small_table(frame.sparkSession, rows, schema)
+    score = logit(clip_probability(F.col(probability)))
+    rows = frame.select(*keys, score.alias("_x"), indicator(positive).alias("_y")).persist()
+    state = solve(rows, keys, [CalibrationSolver("_x", "_y", tolerance, max_iterations)])
+    rows.unpersist()
+    intercept, slope = CalibrationSolver.coefficients(state)
+    return state.select(*keys, intercept.alias("calibration_intercept"), slope.alias("calibration_slope"))
 
 
 def evaluate_probabilities(
@@ -226,11 +131,47 @@ def evaluate_probabilities(
 def cell_numbers(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number the cells, so that records carry one integer and not all keys.
 
-    The window runs over the distinct cells only, one row each.
+    Numbers are unique but not gapless; written, they stay what they are.
     """
-    ordered = Window.orderBy(*keys)
     distinct = frame.select(*keys).distinct()
-    return distinct.withColumn("_cell", F.row_number().over(ordered)).persist()
+    return written(distinct.withColumn("_cell", F.monotonically_increasing_id()))
+
+
+def solve_cells(kept: DataFrame) -> DataFrame:
+    """Share and calibration of (cell, label, log ratio) rows, both in the same passes.
+
+    The score of a record is its log ratio plus the logit of its cell's share. So the fit on log
+    ratios has the same slope, and its intercept differs by slope times that logit: it need not wait
+    for the share. Where a probability is so near to 0 or 1 that it is clipped or loses digits,
+    the cell is fitted again on its probabilities.
+    """
+    rows = kept.withColumn("_y", indicator(F.col("_positive")))
+    fit = CalibrationSolver("log_ratio", "_y", CALIBRATION_TOLERANCE, CALIBRATION_STEPS)
+    state = solve(rows, ["_cell"], [ShareSolver("log_ratio", SHARE_TOLERANCE, 60), fit])
+    intercept, slope = CalibrationSolver.coefficients(state)
+    shift = logit(F.col("mixture_share"))
+    extreme = (F.col("_least_score") + shift < PRECISE_BELOW) | (F.col("_most_score") + shift > PRECISE_ABOVE)
+    solved = share_table(state, ["_cell"]).join(
+        state.select(
+            "_cell",
+            (intercept - slope * shift).alias("calibration_intercept"),
+            slope.alias("calibration_slope"),
+            extreme.alias("_extreme"),
+        ),
+        "_cell",
+    )
+    again = state.where(extreme).select("_cell", "mixture_share")
+    if again.isEmpty():
+        return solved.drop("_extreme")
+    probability = adjusted_probability(F.col("log_ratio"), F.col("mixture_share"))
+    exact = calibration_coefficients(
+        kept.join(again, "_cell").withColumn("probability", probability), ["_cell"], F.col("_positive")
+    )
+    coefficients = exact.select("_cell", F.struct("calibration_intercept", "calibration_slope").alias("_exact"))
+    joined = solved.join(coefficients, "_cell", "left")
+    for name in ("calibration_intercept", "calibration_slope"):
+        joined = joined.withColumn(name, F.when(F.col("_extreme"), F.col(f"_exact.{name}")).otherwise(F.col(name)))
+    return joined.drop("_exact", "_extreme")
 
 
 def evaluate_log_ratios(
@@ -250,12 +191,12 @@ def evaluate_log_ratios(
         raise ValueError("threshold must lie in [0, 1]")
     keys = list(keys)
     cells = cell_numbers(scored, keys)
-    kept = join_bounded(scored, cells, keys).select(
+    kept = scored.join(cells, keys).select(
         "_cell", positive.alias("_positive"), F.col(log_ratio).alias("log_ratio")
     ).persist()
     number = ["_cell"]
-    shares = estimate_shares(kept, number)
-    adjusted = join_bounded(kept, shares.select("_cell", "mixture_share"), number).withColumn(
+    solved = solve_cells(kept)
+    adjusted = kept.join(solved.select("_cell", "mixture_share"), number).withColumn(
         "probability", adjusted_probability(F.col("log_ratio"), F.col("mixture_share"))
     )
     y = F.col("_positive")
@@ -263,11 +204,9 @@ def evaluate_log_ratios(
     scores = adjusted.groupBy(*number).agg(
         *score_aggregates(y, p), F.avg(indicator(p >= threshold)).alias("hard_share_050")
     )
-    slopes = calibration_coefficients(adjusted, number, y)
     difference = F.col("mixture_share") - F.col("mean_predicted_second_share")
     table = (
-        scores.join(shares.drop("n"), number)
-        .join(slopes, number)
+        scores.join(solved.drop("n"), number)
         .join(cells, number)
         .select(
             *keys,
@@ -289,9 +228,9 @@ def evaluate_log_ratios(
             (F.abs(difference) < SHARE_TOLERANCE).alias("em_converged"),
         )
     )
-    frozen = freeze(table)
+    result = written(table)
     kept.unpersist()
-    return frozen
+    return result
 
 
 def cell_violations(cells: DataFrame) -> DataFrame:

@@ -1,35 +1,22 @@
 """Class-share estimation of unlabelled cells from log density ratios.
 
-Each solver step is one grouped aggregate over all cells at once. The driver
-holds one small state row per cell; records never leave the executors. When
-there are more cells than one slice may hold, slices of cells are solved one
-after the other, so the number of cells is not limited.
+Each solver step is one grouped aggregate over all cells at once. The state of the cells is a
+table (:mod:`.solvers`), so neither records nor cells reach the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    BooleanType,
-    DoubleType,
-    IntegerType,
-    LongType,
-    StructField,
-    StructType,
-)
 
 from ..functions.expressions import expit, log_add_exp
 from ..functions.joins import join_bounded
-from ..functions.local import small_table
+from .solvers import SHARE_BOUND, PosteriorSolver, ShareSolver, cell_values, solve
 
-SHARE_BOUND = 1e-9
 SHARE_TOLERANCE = 1e-8
 EXP_BAND = 64.0
-CELLS_PER_SLICE = 50_000
 
 
 def adjusted_probability(log_ratio: Column, share: Column) -> Column:
@@ -87,123 +74,6 @@ def ratio_normalisation(
     )
 
 
-def cell_slices(frame: DataFrame, keys: Sequence[str], per_slice: int = CELLS_PER_SLICE):
-    """Split the cells of a frame so that each slice fits the driver."""
-    n_cells = frame.select(*keys).distinct().count()
-    n_slices = max(1, math.ceil(n_cells / per_slice))
-    if n_slices == 1:
-        return [frame]
-    slot = F.pmod(F.xxhash64(*keys), F.lit(n_slices))
-    return [frame.where(slot == position) for position in range(n_slices)]
-
-
-def key_fields(frame: DataFrame, keys: Sequence[str]) -> list[StructField]:
-    return [StructField(key, frame.schema[key].dataType, True) for key in keys]
-
-
-def attach_state(
-    frame: DataFrame, keys: Sequence[str], state: Mapping[tuple, Sequence[float]], names: Sequence[str]
-) -> DataFrame:
-    """Join the current per-cell values; cells without one drop out.
-
-    The state has at most one slice of cells, which bounds the broadcast.
-    """
-    fields = key_fields(frame, keys) + [StructField(name, DoubleType(), True) for name in names]
-    rows = [(*key, *map(float, values)) for key, values in state.items()]
-    table = small_table(frame.sparkSession, rows, StructType(fields))
-    return frame.join(F.broadcast(table), list(keys))
-
-
-def _share_pass(
-    frame: DataFrame, keys: Sequence[str], log_ratio: str, shares: Mapping[tuple, float] | None
-) -> dict[tuple, tuple]:
-    """Count, likelihood and its first two share derivatives for every cell."""
-    if shares is None:
-        rows, share = frame, F.lit(0.5)
-    else:
-        rows = attach_state(frame, keys, {k: (s,) for k, s in shares.items()}, ["_share"])
-        share = F.col("_share")
-    value = F.col(log_ratio)
-    small = F.exp(-F.abs(value))
-    slope = F.when(value > 0, (1.0 - small) / ((1.0 - share) * small + share)).otherwise(
-        (small - 1.0) / (1.0 - share + share * small)
-    )
-    table = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(mixture_log_likelihood(value, share)).alias("likelihood"),
-        F.avg(slope).alias("gradient"),
-        F.avg(slope * slope).alias("curvature"),
-        F.count_if(value.isNull() | F.isnan(value)).alias("n_bad"),
-    )
-    result = {}
-    for row in table.collect():
-        key = tuple(row[name] for name in keys)
-        if row.n_bad:
-            raise ValueError(f"{log_ratio} contains non-finite values in cell {key}")
-        result[key] = (row.n, row.likelihood, row.gradient, row.curvature)
-    return result
-
-
-class _ShareSearch:
-    """Safeguarded Newton search of one concave share likelihood."""
-
-    def __init__(self) -> None:
-        self.share, self.low, self.high = 0.5, SHARE_BOUND, 1.0 - SHARE_BOUND
-        self.tested_low = self.tested_high = False
-        self.done = self.converged = False
-        self.n = self.passes = 0
-        self.likelihood = math.nan
-
-    def update(self, n: int, likelihood: float, gradient: float, curvature: float, tol: float):
-        self.n, self.likelihood, self.passes = n, likelihood, self.passes + 1
-        at_low = self.share <= SHARE_BOUND and gradient <= 0
-        at_high = self.share >= 1.0 - SHARE_BOUND and gradient >= 0
-        if at_low or at_high or curvature == 0:
-            self.done = self.converged = True
-            return
-        if gradient > 0:
-            self.low = max(self.low, self.share)
-        else:
-            self.high = min(self.high, self.share)
-        step = gradient / curvature
-        proposal = self.share + step
-        if proposal <= self.low:
-            proposal = 0.5 * (self.low + self.high)
-            if not self.tested_low:
-                self.tested_low, proposal = True, self.low
-        elif proposal >= self.high:
-            proposal = 0.5 * (self.low + self.high)
-            if not self.tested_high:
-                self.tested_high, proposal = True, self.high
-        moved = abs(proposal - self.share)
-        self.share = proposal
-        if moved < tol:
-            self.done = self.converged = True
-
-    @property
-    def at_boundary(self) -> bool:
-        return self.share <= 10 * SHARE_BOUND or self.share >= 1.0 - 10 * SHARE_BOUND
-
-
-def solve_shares(
-    frame: DataFrame,
-    keys: Sequence[str],
-    log_ratio: str = "log_ratio",
-    tolerance: float = SHARE_TOLERANCE,
-    max_iterations: int = 60,
-) -> dict[tuple, _ShareSearch]:
-    cells: dict[tuple, _ShareSearch] = {}
-    active = None
-    for _ in range(max_iterations):
-        shares = None if active is None else {key: cells[key].share for key in active}
-        for key, values in _share_pass(frame, keys, log_ratio, shares).items():
-            cells.setdefault(key, _ShareSearch()).update(*values, tolerance)
-        active = [key for key, cell in cells.items() if not cell.done]
-        if not active:
-            break
-    return cells
-
-
 def estimate_shares(
     scored: DataFrame,
     keys: Sequence[str],
@@ -212,42 +82,25 @@ def estimate_shares(
     max_iterations: int = 60,
 ) -> DataFrame:
     """Maximum-likelihood share of every cell with its diagnostics."""
-    keys = list(keys)
-    schema = StructType(
-        [
-            *key_fields(scored, keys),
-            StructField("n", LongType()),
-            StructField("mixture_share", DoubleType()),
-            StructField("mean_log_likelihood", DoubleType()),
-            StructField("optimizer_converged", BooleanType()),
-            StructField("optimizer_iterations", IntegerType()),
-            StructField("mixture_at_boundary", BooleanType()),
-        ]
-    )
-    rows = []
-    for part in cell_slices(scored, keys):
-        for key, cell in solve_shares(part, keys, log_ratio, tolerance, max_iterations).items():
-            rows.append(
-                (
-                    *key,
-                    cell.n,
-                    cell.share,
-                    cell.likelihood,
-                    cell.converged,
-                    cell.passes,
-                    cell.at_boundary,
-                )
-            )
-    return small_table(scored.sparkSession, rows, schema)
+    rows = scored.select(*keys, log_ratio).persist()
+    state = solve(rows, keys, [ShareSolver(log_ratio, tolerance, max_iterations)])
+    rows.unpersist()
+    return share_table(state, keys)
 
 
-def extrapolated(first: float, second: float, third: float) -> float:
-    """Aitken's limit of three successive shares, or the last where it lies outside (0, 1)."""
-    curvature = (third - second) - (second - first)
-    if curvature == 0.0:
-        return third
-    limit = first - (second - first) ** 2 / curvature
-    return limit if SHARE_BOUND < limit < 1.0 - SHARE_BOUND else third
+def share_table(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shares and their diagnostics from the state of a finished run."""
+    share = F.col("mixture_share")
+    edge = 10 * SHARE_BOUND
+    return state.select(
+        *keys,
+        "n",
+        "mixture_share",
+        "mean_log_likelihood",
+        "optimizer_converged",
+        "optimizer_iterations",
+        ((share <= edge) | (share >= 1.0 - edge)).alias("mixture_at_boundary"),
+    )
 
 
 def estimate_shares_em(
@@ -263,55 +116,18 @@ def estimate_shares_em(
 
     With ``accelerate`` each third update starts from Aitken's extrapolation of the two before.
     A cell still ends only where a plain update leaves its share in place, so the result is the
-    same fixed point after far fewer scans.
+    same fixed point after far fewer scans. Given starts restrict the run to their cells.
     """
-    keys = list(keys)
-    if not isinstance(initial, Mapping):
+    if isinstance(initial, Mapping):
+        begin = cell_values(scored, keys, initial, "em_share")
+    else:
         check_share(initial)
-    schema = StructType(
-        [
-            *key_fields(scored, keys),
-            StructField("em_share", DoubleType()),
-            StructField("em_converged", BooleanType()),
-            StructField("em_iterations", IntegerType()),
-        ]
-    )
-    rows = []
-    for part in cell_slices(scored.select(*keys, log_ratio), keys):
-        part = part.persist()  # read once for each update
-        if isinstance(initial, Mapping):
-            active = dict(initial)
-        else:
-            cells = part.select(*keys).distinct().collect()
-            active = {tuple(row): initial for row in cells}
-        before: dict[tuple, float] = {}
-        for iteration in range(1, max_iterations + 1):
-            state = {key: (share,) for key, share in active.items()}
-            posterior = adjusted_probability(F.col(log_ratio), F.col("_share"))
-            means = (
-                attach_state(part, keys, state, ["_share"])
-                .groupBy(*keys)
-                .agg(F.avg(posterior).alias("updated"))
-                .collect()
-            )
-            following = {}
-            for row in means:
-                key = tuple(row[name] for name in keys)
-                if abs(row.updated - active[key]) < tolerance:
-                    rows.append((*key, row.updated, True, iteration))
-                else:
-                    following[key] = min(max(row.updated, SHARE_BOUND), 1.0 - SHARE_BOUND)
-            if accelerate and iteration % 3 == 0:
-                following = {
-                    key: extrapolated(before.get(key, active[key]), active[key], share)
-                    for key, share in following.items()
-                }
-            before, active = active, following
-            if not active:
-                break
-        part.unpersist()
-        rows.extend((*key, share, False, max_iterations) for key, share in active.items())
-    return small_table(scored.sparkSession, rows, schema)
+        begin = initial
+    rows = scored.select(*keys, log_ratio).persist()
+    solver = PosteriorSolver(log_ratio, begin, keys, tolerance, max_iterations, accelerate)
+    state = solve(rows, keys, [solver])
+    rows.unpersist()
+    return state.select(*keys, "em_share", "em_converged", "em_iterations")
 
 
 def adjust_cells(

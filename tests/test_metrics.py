@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelshift.operators import bins, metrics, mixture, quantiles
+from labelshift.operators import bins, metrics, mixture, quantiles, solvers
 
 def yes():
     return F.col("y")
@@ -208,12 +208,9 @@ def test_mean_adjusted_probability_is_the_share(mixed):
     ).isEmpty()
 
 
-def test_many_cells_and_boundaries_in_slices(spark, monkeypatch):
-    split = mixture.cell_slices
-    monkeypatch.setattr(mixture, "cell_slices", lambda frame, keys: split(frame, keys, 2))
+def test_boundaries_and_inner_optima(spark):
     rows = [("low", -3.0), ("low", -1.0), ("high", 2.0), ("high", 1.0), ("in", -1.0), ("in", 1.5), ("x", 0.1), ("x", -0.1)]
     frame = spark.createDataFrame(rows, "cell string, log_ratio double")
-    assert len(mixture.cell_slices(frame, ["cell"])) == 2
     found = {r.cell: r for r in mixture.estimate_shares(frame, ["cell"]).collect()}
     assert found["low"].mixture_share == pytest.approx(1e-9) and found["low"].mixture_at_boundary
     assert found["high"].mixture_share == pytest.approx(1 - 1e-9)
@@ -281,3 +278,61 @@ def test_cells_with_one_class_are_refused(spark):
     frame = cells(spark, [0, 0, 0, 0], [0.2, 0.2, 0.3, 0.4])
     with pytest.raises(ValueError, match="one class"):
         metrics.evaluate_probabilities(frame, ["cell"], yes())
+
+
+def test_two_hundred_thousand_cells_stay_off_the_driver(spark, monkeypatch):
+    n_cells = 200_000
+    cell = F.floor(F.col("id") / 4)
+    z = F.element_at(F.array(*[F.lit(v) for v in (-1.5, 0.75, -0.4, 1.0)]), (F.col("id") % 4 + 1).cast("int"))
+    frame = spark.range(4 * n_cells).select(
+        cell.alias("cell"), (z + (cell % 7) / 50).alias("log_ratio"), (F.col("id") % 4).isin(1, 2).alias("y")
+    )
+    rows = []
+    real = type(frame).collect
+    monkeypatch.setattr(type(frame), "collect", lambda self: rows.append(real(self)) or rows[-1])
+    found = metrics.evaluate_log_ratios(frame, ["cell"], yes())
+    assert sum(map(len, rows)) == 0
+    monkeypatch.undo()
+    assert found.count() == n_cells
+    few = frame.where("cell < 7").persist()
+    single = {r.cell: r for r in found.where("cell < 7").collect()}
+    for r in metrics.evaluate_log_ratios(few, ["cell"], yes()).collect():
+        assert single[r.cell].mixture_share == pytest.approx(r.mixture_share, abs=1e-9)
+        assert single[r.cell].calibration_slope == pytest.approx(r.calibration_slope, abs=1e-8)
+
+
+def test_both_solvers_share_their_passes_and_match_the_separate_fit(mixed, monkeypatch):
+    passes = []
+    real = solvers.written_with
+    monkeypatch.setattr(solvers, "written_with", lambda *a: passes.append(1) or real(*a))
+    row = metrics.evaluate_log_ratios(mixed, ["cell"], yes()).first()
+    together = len(passes)
+    passes.clear()
+    mixture.estimate_shares(mixed, ["cell"])
+    share_only = len(passes)
+    passes.clear()
+    share = row.mixture_share
+    p = mixed.withColumn("probability", mixture.adjusted_probability(F.col("log_ratio"), F.lit(share)))
+    fit = metrics.calibration_coefficients(p, ["cell"], yes()).first()
+    assert together == max(share_only, len(passes))
+    assert row.calibration_intercept == pytest.approx(fit.calibration_intercept, abs=1e-8)
+    assert row.calibration_slope == pytest.approx(fit.calibration_slope, abs=1e-8)
+
+
+def test_clipped_probabilities_are_fitted_as_probabilities(spark):
+    draw = np.random.default_rng(5)
+    y = draw.random(4_000) < 0.4
+    z = draw.normal(np.where(y, 6.0, -6.0), 12.0)
+    frame = spark.createDataFrame([("c", bool(a), float(b)) for a, b in zip(y, z)], "cell string, y boolean, log_ratio double")
+    row = metrics.evaluate_log_ratios(frame, ["cell"], yes()).first()
+    p = frame.withColumn("probability", mixture.adjusted_probability(F.col("log_ratio"), F.lit(row.mixture_share)))
+    fit = metrics.calibration_coefficients(p, ["cell"], yes()).first()
+    assert row.calibration_slope == pytest.approx(fit.calibration_slope, abs=1e-9)
+    assert row.calibration_intercept == pytest.approx(fit.calibration_intercept, abs=1e-9)
+
+
+def test_null_keys_are_a_cell(spark):
+    rows = [(None, True, 1.0), (None, False, -0.5), (None, True, -0.2), (None, False, 0.9)]
+    frame = spark.createDataFrame(rows, "cell string, y boolean, log_ratio double")
+    assert mixture.estimate_shares(frame, ["cell"]).first().optimizer_converged
+    assert mixture.estimate_shares(frame.where("false"), ["cell"]).count() == 0
