@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from ..domain import Domain
+from ..functions.expressions import expit
 from ..functions.local import small_table
 from ..models import logistic, persistence, trees
 from ..operators import aggregate, bins, features, metrics, mixture, quantiles, results, weights
@@ -961,7 +962,7 @@ def _(spark, sf):
 def _(spark, sf):
     records, _ = training(spark, sf)
     fitted = logistic.fit_model(records, LINEAR, 0.1, (1998, 1999, 2000, 2001), domain=PLAIN)
-    probability = metrics.expit(fitted.linear_predictor())
+    probability = expit(fitted.linear_predictor())
     return records.groupBy("year", "lien_status").agg(
         F.count(F.lit(1)).alias("n"), F.avg(probability).alias("mean_probability")
     )
