@@ -864,7 +864,7 @@ PAIRED = """SELECT a.validation_year, a.train_start, a.y, a.probability AS pa, b
 )
 def _(spark, sf):
     first = F.lit(0.28) - F.lit(0.95) * F.col("log_lti") + F.lit(inputs.LABEL_SHIFT)
-    frame = inputs.one_model(spark, sf).withColumn("other", metrics.expit(first))
+    frame = inputs.one_model(spark, sf).withColumn("other", expit(first))
     paired = metrics.paired_comparison(frame, ["year"], positive(), "other", "probability", 0.25)
     ranked = metrics.rank_metrics(frame, ["year"], positive(), "other").select("year", "roc_auc")
     return paired.join(ranked, "year")

@@ -49,7 +49,7 @@ def tables(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["est2_selected_model"])
+@pytest.mark.parametrize("name", ["est2_selected_model", "rpt8_paired_comparison"])
 def test_query_gives_what_its_sql_gives(spark, tables, name):
     connection = duckdb.connect()
     for table in ("customer", "orders"):
