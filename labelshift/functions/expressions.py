@@ -31,6 +31,20 @@ def expit(value: Column) -> Column:
     )
 
 
+def counted(weight: Column | None = None) -> Column:
+    """Number of records; ``weight`` is the number of equal records that a row stands for."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
+def total(value: Column, weight: Column | None = None) -> Column:
+    return F.sum(value) if weight is None else F.sum(weight * value)
+
+
+def mean(value: Column, weight: Column | None = None) -> Column:
+    """Mean over the records whose value is not null."""
+    return F.avg(value) if weight is None else F.sum(weight * value) / F.sum(F.when(value.isNotNull(), weight))
+
+
 def logit(value: Column) -> Column:
     return F.log(value / (1.0 - value))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, Domain
 from ..functions.joins import bounded
+from ..functions.places import with_place
 
 SKETCH_ACCURACY = 10_000
 MOST_CELLS = 1 << 20
@@ -51,20 +52,25 @@ class Grid:
         """Code of each feature in each cell: a row for each cell."""
         return np.stack(np.unravel_index(cells, self.sizes), axis=1).astype(np.int32)
 
-    def cell(self, cuts: Sequence[Column]) -> Column:
-        """Cell number of a record, from the cut arrays of the inputs; null where an input is missing
-        or a level is not declared."""
-        number = F.lit(0)
-        for name, own in zip(self.inputs, cuts, strict=True):
-            number = number * self.bins + interval(F.col(name).cast("double"), own, self.bins)
-        for name, levels in self.categories:
-            place = F.array_position(F.array(*map(F.lit, levels)), F.col(name).cast("int"))
+    def with_cell(self, frame: DataFrame, cuts: Sequence[Column], name: str) -> DataFrame:
+        """Add the cell number of a record, from the cut arrays of the inputs; null where an input is
+        missing or a level is not declared."""
+        placed, number, places = frame, F.lit(0), []
+        for position, (source, own) in enumerate(zip(self.inputs, cuts, strict=True)):
+            places.append(f"_place_{position}")
+            placed = with_place(placed, F.col(source).cast("double"), own, self.bins - 1, places[-1])
+            number = number * self.bins + F.when(F.col(source).isNotNull(), F.col(places[-1]))
+        for source, levels in self.categories:
+            place = F.array_position(F.array(*map(F.lit, levels)), F.col(source).cast("int"))
             number = number * len(levels) + F.nullif(place, F.lit(0)).cast("int") - 1
-        return number.cast("int")
+        return placed.withColumn(name, number.cast("int")).drop(*places)
 
 
 def interval(value: Column, cuts: Column, bins: int) -> Column:
-    """Number of cuts below the value, by a coarse and a fine comparison; null stays null."""
+    """Number of cuts below the value, by a coarse and a fine comparison; null stays null.
+
+    One expression, for few rows; ``Grid.with_cell`` places records.
+    """
     side = math.isqrt(bins - 1) + 1
 
     def below(place: Column) -> Column:

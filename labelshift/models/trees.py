@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
 from ..functions.local import small_table
+from ..functions.storage import written
 from ..operators.features import require_inputs
 from ..operators.weights import equal_prior_weights, is_positive
 from ..plans.folds import Fold
@@ -30,6 +31,8 @@ LEAST_PROBABILITY = 1e-12
 LARGEST_LOG_ODDS = float(np.log((1 - LEAST_PROBABILITY) / LEAST_PROBABILITY))
 BOOSTING_BINS = 64
 FOREST_BINS = 32
+# Column of counted targets: the number of records of a row.
+RECORDS = "n_records"
 
 
 @dataclass(frozen=True)
@@ -58,11 +61,18 @@ class TreeModel:
 
     def log_ratio(self, frame: DataFrame, name: str = "log_ratio") -> DataFrame:
         """Null where an input is missing or a level is not declared."""
-        cell = self.grid.cell([cut_column(c) for c in self.cuts])
+        placed = self.grid.with_cell(frame, [cut_column(c) for c in self.cuts], "_cell")
         table = F.broadcast(self.score_table(frame.sparkSession))
-        scored = frame.withColumn("_cell", cell).join(table, "_cell", "left")
+        scored = placed.join(table, "_cell", "left")
         return scored.select(*[F.col(f"`{c}`") for c in frame.columns if c != name], F.col("_score").alias(name))
 
+    def counted_log_ratio(self, frame: DataFrame, keys: Sequence[str], name: str = "log_ratio") -> DataFrame:
+        """Records counted by the keys and the cell, with the cell's log ratio."""
+        placed = self.grid.with_cell(frame, [cut_column(c) for c in self.cuts], "_cell")
+        counts = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias(RECORDS))
+        table = F.broadcast(self.score_table(frame.sparkSession))
+        return counts.join(table, "_cell", "left").select(*keys, F.col("_score").alias(name), RECORDS)
+
     def probability(self, frame: DataFrame, name: str = "probability") -> DataFrame:
         return self.log_ratio(frame, "_ratio").withColumn(name, expit(F.col("_ratio"))).drop("_ratio")
 
@@ -81,7 +91,7 @@ def _in_folds(rows: DataFrame, folds: Sequence[Fold]) -> DataFrame:
 
 def _with_cells(rows: DataFrame, grid: Grid, cuts: DataFrame) -> DataFrame:
     columns = [F.col(f"_cuts_{place}") for place in range(len(grid.inputs))]
-    placed = rows.join(F.broadcast(cuts), "fold_id").withColumn("cell", grid.cell(columns))
+    placed = grid.with_cell(rows.join(F.broadcast(cuts), "fold_id"), columns, "cell")
     return placed.drop(*[f"_cuts_{place}" for place in range(len(grid.inputs))])
 
 
@@ -175,11 +185,19 @@ def boosted_log_ratios(
     feature_set: str = "core",
     domain: Domain = DEFAULT,
     bins: int = BOOSTING_BINS,
+    counted: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The target records (with ``fold_id``) once for each candidate, with its log ratio."""
+    """The target records (with ``fold_id``) once for each candidate, with its log ratio.
+
+    Records that agree in a cell have the same log ratios. With ``counted``, columns that include
+    ``fold_id``, they are counted by these and the cell first (``RECORDS``), and a candidate's rows
+    are bounded by the cells of the grid, whatever the number of records.
+    """
     grid = make_grid(bins, feature_set, domain)
     sums, _, cuts = fold_cells(records, folds, grid, feature_set, domain)
     placed = _with_cells(targets, grid, cuts)
+    if counted is not None:
+        placed = written(placed.groupBy(*counted, "cell").agg(F.count(F.lit(1)).alias(RECORDS)))
     other = placed.select(
         "fold_id", "cell", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("positive"), F.lit(0.0).alias("negative")
     ).distinct()
@@ -228,7 +246,7 @@ def fit_forest(
     rows = training_rows(records, years, "core", domain)
     cuts = quantile_cuts(rows.withColumn("_all", F.lit(0)), ["_all"], bins, "core", domain)[(0,)]
     counted = (
-        rows.withColumn("cell", grid.cell([cut_column(c) for c in cuts]))
+        grid.with_cell(rows, [cut_column(c) for c in cuts], "cell")
         .groupBy("cell", "year", indicator(is_positive(domain)).alias("positive"))
         .agg(F.count(F.lit(1)).alias("n"), F.first("source_weight").alias("weight"))
         .toPandas()

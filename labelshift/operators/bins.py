@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, REGION_LEVELS, Domain
-from ..functions.expressions import bucket_right, indicator
+from ..functions.expressions import bucket_right, counted, indicator, mean
 from ..functions.joins import join_bounded
 from .clean import region_of
 from .metrics import THRESHOLD, confusion_aggregates, confusion_ratios
-from .quantiles import decile_probabilities, exact_quantiles, interior_cuts
+from .quantiles import counted_quantiles, decile_probabilities, exact_quantiles, interior_cuts
 
 TAIL_LEVELS = {
     "min": 0.0,
@@ -25,13 +25,21 @@ TAIL_LEVELS = {
 }
 
 
+def _quantiles(
+    frame: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], weight: str | None
+) -> DataFrame:
+    if weight is None:
+        return exact_quantiles(frame, keys, value, levels, "_q")
+    return counted_quantiles(frame, keys, value, weight, levels, "_q")
+
+
 def with_bins(
-    frame: DataFrame, keys: Sequence[str], value: str, n_bins: int, name: str
+    frame: DataFrame, keys: Sequence[str], value: str, n_bins: int, name: str, weight: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Attach a zero-based equal-count bin; also return each cell's cuts."""
     keys = list(keys)
     levels = decile_probabilities(n_bins)
-    cuts = exact_quantiles(frame, keys, value, levels, "_q").select(
+    cuts = _quantiles(frame, keys, value, levels, weight).select(
         *keys, interior_cuts(F.col("_q")).alias(f"{name}_cuts")
     )
     joined = join_bounded(frame, cuts, keys)
@@ -45,32 +53,46 @@ def reliability_bins(
     positive: Column,
     probability: str = "probability",
     n_bins: int = 10,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Observed and predicted shares of equal-count probability bins."""
+    """Observed and predicted shares of equal-count probability bins.
+
+    With ``weight``, a row stands for that many equal records.
+    """
     if n_bins < 2:
         raise ValueError("One bin is no binning")
     keys = list(keys)
-    rows = frame.select(*keys, positive.alias("_y"), F.col(probability).alias("_p"))
-    binned, _ = with_bins(rows, keys, "_p", n_bins, "_bin")
+    held = None if weight is None else F.col("_w")
+    rows = frame.select(
+        *keys,
+        positive.alias("_y"),
+        F.col(probability).alias("_p"),
+        *([] if weight is None else [F.col(weight).alias("_w")]),
+    )
+    binned, _ = with_bins(rows, keys, "_p", n_bins, "_bin", None if weight is None else "_w")
     return binned.groupBy(*keys, (F.col("_bin") + 1).alias("probability_bin")).agg(
-        F.count(F.lit(1)).alias("n"),
+        counted(held).alias("n"),
         F.min("_p").alias("min_probability"),
         F.max("_p").alias("max_probability"),
-        F.avg("_p").alias("mean_predicted_probability"),
-        F.avg(indicator(F.col("_y"))).alias("observed_second_share"),
+        mean(F.col("_p"), held).alias("mean_predicted_probability"),
+        mean(indicator(F.col("_y")), held).alias("observed_second_share"),
     )
 
 
 def tail_metrics(
-    frame: DataFrame, keys: Sequence[str], log_ratio: str = "log_ratio", limit: float = 10.0
+    frame: DataFrame,
+    keys: Sequence[str],
+    log_ratio: str = "log_ratio",
+    limit: float = 10.0,
+    weight: str | None = None,
 ) -> DataFrame:
     """Tail quantiles and extreme shares of the log ratio."""
     keys = list(keys)
-    quantiles = exact_quantiles(frame, keys, log_ratio, list(TAIL_LEVELS.values()), "_q")
-    value = F.col(log_ratio)
+    quantiles = _quantiles(frame, keys, log_ratio, list(TAIL_LEVELS.values()), weight)
+    value, held = F.col(log_ratio), None if weight is None else F.col(weight)
     extremes = frame.groupBy(*keys).agg(
-        F.avg(indicator(value > limit)).alias("share_log_ratio_gt_10"),
-        F.avg(indicator(value < -limit)).alias("share_log_ratio_lt_minus_10"),
+        mean(indicator(value > limit), held).alias("share_log_ratio_gt_10"),
+        mean(indicator(value < -limit), held).alias("share_log_ratio_lt_minus_10"),
     )
     return quantiles.join(extremes, keys).select(
         *keys,

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clip_probability, indicator, logit, ratio
+from ..functions.expressions import clip_probability, counted, indicator, logit, mean, ratio
 from ..functions.storage import written
 from .mixture import SHARE_TOLERANCE, adjusted_probability, share_table
 from .quantiles import score_ranks
@@ -37,25 +37,30 @@ def checked(aggregate: Column, positive: Column, probability: Column) -> Column:
     return F.when(bad == 0, aggregate).otherwise(F.raise_error(message))
 
 
-def score_aggregates(positive: Column, probability: Column) -> list[Column]:
+def score_aggregates(positive: Column, probability: Column, weight: Column | None = None) -> list[Column]:
     """Aggregates shared by every report of one cell."""
     y = indicator(positive)
     clipped = clip_probability(probability)
     loss = -(y * F.log(clipped) + (1.0 - y) * F.log1p(-clipped))
     return [
-        checked(F.count(F.lit(1)), positive, probability).alias("n"),
-        checked(F.avg((probability - y) * (probability - y)), positive, probability).alias("brier_score"),
-        F.avg(loss).alias("log_loss"),
-        F.avg(y).alias("observed_second_share"),
-        F.avg(probability).alias("mean_predicted_second_share"),
-        (F.avg(probability) - F.avg(y)).alias("calibration_mean_error"),
+        checked(counted(weight), positive, probability).alias("n"),
+        checked(mean((probability - y) * (probability - y), weight), positive, probability).alias("brier_score"),
+        mean(loss, weight).alias("log_loss"),
+        mean(y, weight).alias("observed_second_share"),
+        mean(probability, weight).alias("mean_predicted_second_share"),
+        (mean(probability, weight) - mean(y, weight)).alias("calibration_mean_error"),
     ]
 
 
 def proper_scores(
-    frame: DataFrame, keys: Sequence[str], positive: Column, probability: str = "probability"
+    frame: DataFrame,
+    keys: Sequence[str],
+    positive: Column,
+    probability: str = "probability",
+    weight: str | None = None,
 ) -> DataFrame:
-    return frame.groupBy(*keys).agg(*score_aggregates(positive, F.col(probability)))
+    held = None if weight is None else F.col(weight)
+    return frame.groupBy(*keys).agg(*score_aggregates(positive, F.col(probability), held))
 
 
 def probability_violations(
@@ -100,28 +105,35 @@ def calibration_coefficients(
     probability: str = "probability",
     tolerance: float = CALIBRATION_TOLERANCE,
     max_iterations: int = CALIBRATION_STEPS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Intercept and slope of ``y ~ logit(p)`` for every cell.
 
     A pass yields objective, gradient and information of the candidate point of
     each unfinished cell, so an accepted step costs one scan. A cell with one
-    class is refused; cells whose fit does not exist for other reasons get null.
+    class is refused; cells whose fit does not exist for other reasons get null. With ``weight``, a
+    row stands for that many equal records.
     """
     score = logit(clip_probability(F.col(probability)))
-    rows = frame.select(*keys, score.alias("_x"), indicator(positive).alias("_y")).persist()
-    state = solve(rows, keys, [CalibrationSolver("_x", "_y", tolerance, max_iterations)])
+    held = [] if weight is None else [F.col(weight)]
+    rows = frame.select(*keys, score.alias("_x"), indicator(positive).alias("_y"), *held).persist()
+    state = solve(rows, keys, [CalibrationSolver("_x", "_y", tolerance, max_iterations, weight)])
     rows.unpersist()
     intercept, slope = CalibrationSolver.coefficients(state)
     return state.select(*keys, intercept.alias("calibration_intercept"), slope.alias("calibration_slope"))
 
 
 def evaluate_probabilities(
-    frame: DataFrame, keys: Sequence[str], positive: Column, probability: str = "probability"
+    frame: DataFrame,
+    keys: Sequence[str],
+    positive: Column,
+    probability: str = "probability",
+    weight: str | None = None,
 ) -> DataFrame:
     """Proper scores and calibration of labelled probability cells."""
     keys = list(keys)
-    return proper_scores(frame, keys, positive, probability).join(
-        calibration_coefficients(frame, keys, positive, probability), keys
+    return proper_scores(frame, keys, positive, probability, weight).join(
+        calibration_coefficients(frame, keys, positive, probability, weight=weight), keys
     )
 
 
@@ -137,7 +149,7 @@ def cell_numbers(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     return written(distinct.withColumn("_cell", F.monotonically_increasing_id()))
 
 
-def solve_cells(kept: DataFrame) -> DataFrame:
+def solve_cells(kept: DataFrame, weight: str | None = None) -> DataFrame:
     """Share and calibration of (cell, label, log ratio) rows, both in the same passes.
 
     The score of a record is its log ratio plus the logit of its cell's share. So the fit on log
@@ -146,8 +158,8 @@ def solve_cells(kept: DataFrame) -> DataFrame:
     the cell is fitted again on its probabilities.
     """
     rows = kept.withColumn("_y", indicator(F.col("_positive")))
-    fit = CalibrationSolver("log_ratio", "_y", CALIBRATION_TOLERANCE, CALIBRATION_STEPS)
-    state = solve(rows, ["_cell"], [ShareSolver("log_ratio", SHARE_TOLERANCE, 60), fit])
+    fit = CalibrationSolver("log_ratio", "_y", CALIBRATION_TOLERANCE, CALIBRATION_STEPS, weight)
+    state = solve(rows, ["_cell"], [ShareSolver("log_ratio", SHARE_TOLERANCE, 60, weight), fit])
     intercept, slope = CalibrationSolver.coefficients(state)
     shift = logit(F.col("mixture_share"))
     extreme = (F.col("_least_score") + shift < PRECISE_BELOW) | (F.col("_most_score") + shift > PRECISE_ABOVE)
@@ -165,7 +177,10 @@ def solve_cells(kept: DataFrame) -> DataFrame:
         return solved.drop("_extreme")
     probability = adjusted_probability(F.col("log_ratio"), F.col("mixture_share"))
     exact = calibration_coefficients(
-        kept.join(again, "_cell").withColumn("probability", probability), ["_cell"], F.col("_positive")
+        kept.join(again, "_cell").withColumn("probability", probability),
+        ["_cell"],
+        F.col("_positive"),
+        weight=weight,
     )
     coefficients = exact.select("_cell", F.struct("calibration_intercept", "calibration_slope").alias("_exact"))
     joined = solved.join(coefficients, "_cell", "left")
@@ -180,10 +195,12 @@ def evaluate_log_ratios(
     positive: Column,
     log_ratio: str = "log_ratio",
     threshold: float = THRESHOLD,
+    weight: str | None = None,
 ) -> DataFrame:
     """Share, adjusted probability and all metrics of every cell.
 
-    Solvers and metrics run on (cell number, label, log ratio) rows only. The
+    Solvers and metrics run on (cell number, label, log ratio) rows only. With ``weight``, a row
+    stands for that many records of equal label and log ratio. The
     mean adjusted probability is the posterior-averaging update at the
     likelihood optimum, so the consistency check needs no pass of its own.
     """
@@ -191,18 +208,22 @@ def evaluate_log_ratios(
         raise ValueError("threshold must lie in [0, 1]")
     keys = list(keys)
     cells = cell_numbers(scored, keys)
+    held = None if weight is None else F.col("_n")
     kept = scored.join(cells, keys).select(
-        "_cell", positive.alias("_positive"), F.col(log_ratio).alias("log_ratio")
+        "_cell",
+        positive.alias("_positive"),
+        F.col(log_ratio).alias("log_ratio"),
+        *([] if weight is None else [F.col(weight).alias("_n")]),
     ).persist()
     number = ["_cell"]
-    solved = solve_cells(kept)
+    solved = solve_cells(kept, None if weight is None else "_n")
     adjusted = kept.join(solved.select("_cell", "mixture_share"), number).withColumn(
         "probability", adjusted_probability(F.col("log_ratio"), F.col("mixture_share"))
     )
     y = F.col("_positive")
     p = F.col("probability")
     scores = adjusted.groupBy(*number).agg(
-        *score_aggregates(y, p), F.avg(indicator(p >= threshold)).alias("hard_share_050")
+        *score_aggregates(y, p, held), mean(indicator(p >= threshold), held).alias("hard_share_050")
     )
     difference = F.col("mixture_share") - F.col("mean_predicted_second_share")
     table = (

@@ -80,10 +80,11 @@ def estimate_shares(
     log_ratio: str = "log_ratio",
     tolerance: float = SHARE_TOLERANCE,
     max_iterations: int = 60,
+    weight: str | None = None,
 ) -> DataFrame:
     """Maximum-likelihood share of every cell with its diagnostics."""
-    rows = scored.select(*keys, log_ratio).persist()
-    state = solve(rows, keys, [ShareSolver(log_ratio, tolerance, max_iterations)])
+    rows = scored.select(*keys, log_ratio, *([] if weight is None else [weight])).persist()
+    state = solve(rows, keys, [ShareSolver(log_ratio, tolerance, max_iterations, weight)])
     rows.unpersist()
     return share_table(state, keys)
 

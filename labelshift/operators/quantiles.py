@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import bounded, join_bounded
+from ..functions.places import with_place
 
 SKETCH_ACCURACY = 10_000
-CHUNK_SIDE = 16
+CHUNKS = 256
 MOST_ORDERED = 10_000
 SUB_RANGES = 256
 BELOW, INSIDE, ABOVE = 0, 1, 2
@@ -81,6 +82,38 @@ def exact_quantiles(
     return picked.groupBy(*keys).agg(listed.getField("q").alias(name))
 
 
+def counted_quantiles(
+    frame: DataFrame, keys: Sequence[str], value: str, weight: str, probabilities: Sequence[float], name: str
+) -> DataFrame:
+    """The same quantiles of rows that stand for ``weight`` equal records each.
+
+    A group's distinct values are ordered in one task, so there must be few of them: scores of a grid.
+    """
+    keys = list(keys)
+    values = (
+        frame.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("_v"))
+        .agg(F.sum(weight).alias("_c"))
+    )
+    group = Window.partitionBy(*keys)
+    levels = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(float(p)).alias("_p")) for j, p in enumerate(probabilities)])
+    ranked = (
+        values.withColumns({"_last": F.sum("_c").over(group.orderBy("_v")) - 1, "_n": F.sum("_c").over(group)})
+        .select("*", F.inline(levels))
+        .withColumns({"_first": F.col("_last") - F.col("_c") + 1, "_position": F.col("_p") * (F.col("_n") - 1)})
+    )
+
+    def statistic(rank: Column) -> Column:
+        return F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col("_v")))
+
+    picked = ranked.groupBy(*keys, "_j", "_position").agg(
+        statistic(F.floor("_position")).alias("_low"), statistic(F.ceil("_position")).alias("_high")
+    )
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_position") - F.floor("_position"))
+    listed = F.array_sort(F.collect_list(F.struct("_j", between.alias("q"))))
+    return picked.groupBy(*keys).agg(listed.getField("q").alias(name))
+
+
 def _in_zones(bracketed: DataFrame, keys: list[str], count: int, inside: Column) -> DataFrame:
     """A row for each value and quantile: its zone, and ``inside`` as the key of those within the bracket."""
     v, entries = F.col("_v"), []
@@ -181,7 +214,7 @@ def score_ranks(
     chunks: chunk totals give the offset, and the running sum stays in a chunk.
     """
     keys = list(keys)
-    n_chunks = CHUNK_SIDE * CHUNK_SIDE
+    n_chunks = CHUNKS
     rows = frame.select(*keys, F.col(score).alias("score"), positive.alias("_y"))
     levels = [position / n_chunks for position in range(1, n_chunks)]
     cuts = rows.groupBy(*keys).agg(
@@ -190,7 +223,9 @@ def score_ranks(
     counts = rows.groupBy(*keys, "score").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("_y").alias("n_positive")
     )
-    chunked = counts.join(bounded(cuts), keys).withColumn("chunk", _chunk(F.col("score"))).drop("_cuts")
+    chunked = with_place(
+        counts.join(bounded(cuts), keys), F.col("score"), F.col("_cuts"), n_chunks - 1, "chunk", lambda cut, v: cut <= v
+    ).drop("_cuts")
     totals = chunked.groupBy(*keys, "chunk").agg(
         F.sum("n").alias("_n"), F.sum("n_positive").alias("_p")
     )
@@ -221,16 +256,3 @@ def score_ranks(
         (F.col("_n0") + F.col("_cn") - F.col("n")).alias("n_above"),
         (F.col("_p0") + F.col("_cp") - F.col("n_positive")).alias("positive_above"),
     )
-
-
-def _chunk(score: Column) -> Column:
-    """Chunk of a score by a coarse and a fine comparison of the cut array."""
-    coarse = F.lit(0)
-    for step in range(1, CHUNK_SIDE):
-        cut = F.get("_cuts", F.lit(step * CHUNK_SIDE - 1))
-        coarse = coarse + F.when(cut <= score, 1).otherwise(0)
-    fine = F.lit(0)
-    for step in range(CHUNK_SIDE - 1):
-        cut = F.get("_cuts", coarse * CHUNK_SIDE + step)
-        fine = fine + F.when(cut <= score, 1).otherwise(0)
-    return coarse * CHUNK_SIDE + fine

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.expressions import clip, expit, log_add_exp, logit
+from ..functions.expressions import clip, counted, expit, log_add_exp, logit, mean, total
 from ..functions.local import small_table
 from ..functions.storage import written_with
 
@@ -36,6 +36,11 @@ class Solver:
 
     open: str
     bound: tuple[str, ...]  # state columns that the moments read
+    weight: str | None = None  # number of equal records that a row stands for
+
+    @property
+    def held(self) -> Column | None:
+        return None if self.weight is None else F.col(self.weight)
 
     def first(self) -> list[Column]:
         """Aggregates of the first scan."""
@@ -69,8 +74,8 @@ class ShareSolver(Solver):
     open = "_share_open"
     bound = ("mixture_share",)
 
-    def __init__(self, value: str, tolerance: float, most: int) -> None:
-        self.value, self.tolerance, self.most = value, tolerance, most
+    def __init__(self, value: str, tolerance: float, most: int, weight: str | None = None) -> None:
+        self.value, self.tolerance, self.most, self.weight = value, tolerance, most, weight
 
     def _at(self, share: Column, moving: Column) -> list[Column]:
         value = F.col(self.value)
@@ -80,15 +85,15 @@ class ShareSolver(Solver):
         )
         likelihood = log_add_exp(F.log1p(-share), F.log(share) + value)
         return [
-            F.avg(F.when(moving, likelihood)).alias("_likelihood"),
-            F.avg(F.when(moving, slope)).alias("_gradient"),
-            F.avg(F.when(moving, slope * slope)).alias("_curvature"),
+            mean(F.when(moving, likelihood), self.held).alias("_likelihood"),
+            mean(F.when(moving, slope), self.held).alias("_gradient"),
+            mean(F.when(moving, slope * slope), self.held).alias("_curvature"),
         ]
 
     def first(self) -> list[Column]:
         value = F.col(self.value)
         bad = F.count_if(value.isNull() | F.isnan(value)).alias("_n_bad")
-        return [F.count(F.lit(1)).alias("n"), bad, *self._at(F.lit(0.5), F.lit(True))]
+        return [counted(self.held).alias("n"), bad, *self._at(F.lit(0.5), F.lit(True))]
 
     def refused(self) -> tuple[Column, str]:
         return F.col("_n_bad") > 0, f"{self.value} contains non-finite values in cells"
@@ -159,17 +164,17 @@ class CalibrationSolver(Solver):
     open = "_fit_open"
     bound = ("_c0", "_c1")
 
-    def __init__(self, score: str, label: str, tolerance: float, most: int) -> None:
-        self.score, self.label, self.tolerance, self.most = score, label, tolerance, most
+    def __init__(self, score: str, label: str, tolerance: float, most: int, weight: str | None = None) -> None:
+        self.score, self.label, self.tolerance, self.most, self.weight = score, label, tolerance, most, weight
 
     def first(self) -> list[Column]:
         x, y = F.col(self.score), F.col(self.label)
         return [
-            F.count(F.lit(1)).alias("_m"),
-            F.avg(y).alias("_prevalence"),
-            F.sum(x).alias("_sx"),
-            F.sum(x * y).alias("_sxy"),
-            F.sum(x * x).alias("_sxx"),
+            counted(self.held).alias("_m"),
+            mean(y, self.held).alias("_prevalence"),
+            total(x, self.held).alias("_sx"),
+            total(x * y, self.held).alias("_sxy"),
+            total(x * x, self.held).alias("_sxx"),
             F.min(x).alias("_least_score"),
             F.max(x).alias("_most_score"),
         ]
@@ -216,7 +221,7 @@ class CalibrationSolver(Solver):
             "_h01": weight * x,
             "_h11": weight * x * x,
         }
-        return [F.sum(F.when(moving, part)).alias(name) for name, part in parts.items()]
+        return [total(F.when(moving, part), self.held).alias(name) for name, part in parts.items()]
 
     def move(self, table: DataFrame) -> DataFrame:
         g0, g1 = F.col("_g0"), F.col("_g1")
@@ -332,7 +337,8 @@ class PosteriorSolver(Solver):
 def solve(rows: DataFrame, keys: Sequence[str], solvers: Sequence[Solver]) -> DataFrame:
     """State of all cells of ``rows`` when no solver has an open cell any more.
 
-    ``rows`` holds the keys and the inputs of the solvers and is read once a step: persist it.
+    ``rows`` holds the keys and the inputs of the solvers and is read once a step: persist it. Solvers
+    with a weight take a row for that many equal records.
     Cells with null keys are cells like others.
     """
     keys = list(keys)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
 from ..functions.local import freeze
+from ..functions.storage import written
 from ..models.logistic import (
     LogisticModel,
     fit_grid,
@@ -20,7 +21,7 @@ from ..models.logistic import (
     score_grid,
     source_year_diagnostics,
 )
-from ..models.trees import fit_forest
+from ..models.trees import RECORDS, fit_forest
 from ..operators import aggregate
 from ..operators.bins import reliability_bins, subgroup_metrics, tail_metrics
 from ..operators.metrics import (
@@ -67,15 +68,16 @@ def diagnostic_cells(
     log_ratio: str | None = None,
     n_bins: int = 10,
     calibrated: bool = True,
+    weight: str | None = None,
 ) -> dict[str, DataFrame]:
     """Metric row, reliability bins and, given a log ratio, its tails."""
     scores = evaluate_probabilities if calibrated else proper_scores
     tables = {
-        "metrics": scores(frame, keys, positive, probability),
-        "bins": reliability_bins(frame, keys, positive, probability, n_bins),
+        "metrics": scores(frame, keys, positive, probability, weight=weight),
+        "bins": reliability_bins(frame, keys, positive, probability, n_bins, weight),
     }
     if log_ratio is not None:
-        tables["ratio_tails"] = tail_metrics(frame, keys, log_ratio)
+        tables["ratio_tails"] = tail_metrics(frame, keys, log_ratio, weight=weight)
     return tables
 
 
@@ -193,18 +195,24 @@ def scored_estimators(
 
 
 def run_calibration_report(
-    scored: DataFrame, *, probability: str = "raw_probability", domain: Domain = DEFAULT
+    scored: DataFrame,
+    *,
+    probability: str = "raw_probability",
+    weight: str | None = None,
+    domain: Domain = DEFAULT,
 ) -> dict[str, DataFrame]:
     """Metric cells and bins of one estimator with their horizon roll-ups.
 
-    Roll-ups by horizon hold the reverse cells, the forward summary and bins the forward ones.
+    Roll-ups by horizon hold the reverse cells, the forward summary and bins the forward ones. With
+    ``weight``, a row stands for that many equal records.
     """
+    held = [] if weight is None else [weight]
     frame = scored.select(
-        *FOLD_COLUMNS, domain.label, F.col(probability).alias("_p"), "log_ratio"
+        *FOLD_COLUMNS, domain.label, F.col(probability).alias("_p"), "log_ratio", *held
     ).persist()
     ratio = "log_ratio" if probability == "probability" else None
     tables = diagnostic_cells(
-        frame, FOLD_COLUMNS, is_positive(domain), probability="_p", log_ratio=ratio
+        frame, FOLD_COLUMNS, is_positive(domain), probability="_p", log_ratio=ratio, weight=weight
     )
     forward = F.col("validation_year") > F.col("train_end")
     reverse_metrics, reverse_bins = tables["metrics"].where(~forward), tables["bins"].where(~forward)
@@ -255,18 +263,20 @@ def run_threshold_report(
 def run_forest_comparison(
     records: DataFrame, folds: Sequence[Fold], domain: Domain = DEFAULT
 ) -> dict[str, DataFrame]:
-    """Forest density ratios on every cell with metrics and bins."""
+    """Forest density ratios on every cell with metrics and bins.
+
+    Target records are counted by the cell of the forest's grid, so metrics, shares and bins run on tables
+    that the grid bounds, whatever the number of records.
+    """
     scored = None
     for fold in folds:
         model = fit_forest(records, fold.train_years, domain=domain)
-        part = model.log_ratio(target_rows(records, [fold], domain)).select(
-            *FOLD_COLUMNS, domain.label, "log_ratio"
-        )
+        part = model.counted_log_ratio(target_rows(records, [fold], domain), [*FOLD_COLUMNS, domain.label])
         scored = part if scored is None else scored.unionByName(part)
-    scored = scored.persist()
-    metrics = evaluate_log_ratios(scored, FOLD_COLUMNS, is_positive(domain))
-    adjusted = adjust_cells(scored, FOLD_COLUMNS)
-    bins = reliability_bins(adjusted, FOLD_COLUMNS, is_positive(domain))
+    scored = written(scored)
+    metrics = evaluate_log_ratios(scored, FOLD_COLUMNS, is_positive(domain), weight=RECORDS)
+    adjusted = adjust_cells(scored, FOLD_COLUMNS, estimator=lambda *_: metrics)  # the shares just found
+    bins = reliability_bins(adjusted, FOLD_COLUMNS, is_positive(domain), weight=RECORDS)
     return {"metrics": metrics, "bins": bins}
 
 

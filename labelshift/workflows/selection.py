@@ -8,6 +8,7 @@ each is turned back into a small DataFrame so later stages do not recompute it.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
 from ..functions.local import freeze, small_table
+from ..functions.storage import written
 from ..models.logistic import coefficient_table, fit_grid, fit_model, score_grid
-from ..models.trees import boosted_log_ratios, fit_boosting, fit_forest
+from ..models.trees import RECORDS, boosted_log_ratios, fit_boosting, fit_forest
 from ..operators import aggregate, results
 from ..operators.clean import geographic_support
 from ..operators.metrics import evaluate_log_ratios
-from ..operators.mixture import adjust_cells
+from ..operators.mixture import adjust_cells, estimate_shares
 from ..operators.weights import is_positive
 from ..plans.folds import Fold, fold_table, forward_fold, join_targets
 from ..plans.specifications import (
@@ -367,7 +369,8 @@ def evaluate_boosting_grid(
     """Adjusted cells of boosting candidates.
 
     Records are reduced to class sums of cells once a fold; each fold and structure is then a fit in
-    a task of its own, and candidates that differ in their rounds share one.
+    a task of its own, and candidates that differ in their rounds share one. Target records are counted
+    by cell too, so fits and metrics run on tables that the grid bounds.
     """
     held = set()
     if done is not None:
@@ -383,10 +386,18 @@ def evaluate_boosting_grid(
     scored, spark = None, records.sparkSession
     for rest, own in lacking.items():
         part = boosted_log_ratios(
-            records, target_rows(records, own, domain), own, rest, feature_set=feature_set, domain=domain
-        ).select("parameter_id", *FOLD_COLUMNS, domain.label, "log_ratio")
+            records,
+            target_rows(records, own, domain),
+            own,
+            rest,
+            feature_set=feature_set,
+            domain=domain,
+            counted=[*FOLD_COLUMNS, domain.label],
+        ).select("parameter_id", *FOLD_COLUMNS, domain.label, "log_ratio", RECORDS)
         scored = part if scored is None else scored.unionByName(part)
-    cells = evaluate_log_ratios(scored, ["parameter_id", *FOLD_COLUMNS], is_positive(domain))
+    cells = evaluate_log_ratios(
+        written(scored), ["parameter_id", *FOLD_COLUMNS], is_positive(domain), weight=RECORDS
+    )
     rows = [
         (
             p.identifier,
@@ -478,11 +489,18 @@ def boosting_diagnostics(
     from .reports import run_calibration_report
 
     every = [*folds, forward_fold(train_years, sorted(forward_years))]
+    counted = [*FOLD_COLUMNS, domain.label]
     scored = boosted_log_ratios(
-        records, target_rows(records, every, domain), every, [parameters], feature_set=feature_set, domain=domain
-    )
-    adjusted = adjust_cells(scored.select(*FOLD_COLUMNS, domain.label, "log_ratio").persist(), FOLD_COLUMNS)
-    return run_calibration_report(adjusted, probability="probability", domain=domain)
+        records,
+        target_rows(records, every, domain),
+        every,
+        [parameters],
+        feature_set=feature_set,
+        domain=domain,
+        counted=counted,
+    ).select(*counted, "log_ratio", RECORDS)
+    adjusted = adjust_cells(written(scored), FOLD_COLUMNS, estimator=partial(estimate_shares, weight=RECORDS))
+    return run_calibration_report(adjusted, probability="probability", weight=RECORDS, domain=domain)
 
 
 def staged_tables(
@@ -529,7 +547,8 @@ def _grid_job(
 ) -> DataFrame:
     """The cells of one configuration on the folds."""
     family, name = configuration["family"], configuration["specification"]
-    targets = target_rows(records, folds, domain)
+    targets, counted = target_rows(records, folds, domain), [*FOLD_COLUMNS, domain.label]
+    weight = None if family == "logistic" else RECORDS
     if family == "logistic":
         models = fit_grid(
             records,
@@ -543,13 +562,15 @@ def _grid_job(
         label = F.to_json(F.create_map(F.lit("C"), F.col("regularization_c")))
     elif family == "hist_gradient_boosting":
         values = configuration["parameters"]
-        scored = boosted_log_ratios(records, targets, folds, [values], feature_set=name, domain=domain)
+        scored = boosted_log_ratios(
+            records, targets, folds, [values], feature_set=name, domain=domain, counted=counted
+        )
         label = F.lit(values.identifier)
     else:
         scored = None
         for fold in folds:
             model = fit_forest(records, fold.train_years, domain=domain)
-            part = model.log_ratio(targets.where(F.col("fold_id") == fold.fold_id))
+            part = model.counted_log_ratio(targets.where(F.col("fold_id") == fold.fold_id), counted)
             scored = part if scored is None else scored.unionByName(part)
             label = F.lit(model.identifier)
     named = scored.select(
@@ -559,8 +580,11 @@ def _grid_job(
         *FOLD_COLUMNS,
         domain.label,
         "log_ratio",
+        *([] if weight is None else [weight]),
     )
-    return evaluate_log_ratios(named, GRID_KEYS, is_positive(domain))
+    if weight is not None:
+        named = written(named)
+    return evaluate_log_ratios(named, GRID_KEYS, is_positive(domain), weight=weight)
 
 
 def run_grid(
