@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,11 @@ from ..functions.expressions import expit, indicator
 from ..functions.local import small_table
 from ..operators.features import (
     YEAR_EFFECT_SCALE,
+    Parameter,
     category_column,
     category_levels,
     column_parameters,
     factor_columns,
-    feature_columns,
     feature_terms,
     fit_feature_parameters,
     join_parameters,
@@ -62,13 +63,15 @@ class LogisticModel:
         )
 
     def linear_predictor(self) -> Column:
-        features = feature_columns(self.spec, literal_parameters(self.parameters), self.domain)
-        if tuple(features) != self.feature_names:
-            raise ValueError("The model was fitted on other feature columns")
-        total = F.lit(self.intercept)
-        for weight, column in zip(self.coefficients, features.values(), strict=True):
-            total = total + F.lit(weight) * column
-        return total
+        design = score_design(self.spec, self.feature_names, self.domain)
+        row = design.coefficient_row(np.array([self.intercept, *self.coefficients]))
+        names = [name for name, _ in design.coefficient_columns()]
+        values = {
+            name: F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
+            for name, value in zip(names, row, strict=True)
+        }
+        values |= design_inputs(self.spec, design, literal_parameters(self.parameters), self.domain)
+        return design.linear_predictor(values.__getitem__)
 
     def log_ratio(self, frame: DataFrame, name: str = "log_ratio") -> DataFrame:
         return frame.withColumn(name, self.linear_predictor())
@@ -81,6 +84,23 @@ class LogisticModel:
         return frame.withColumn(name, hard_class(probability, domain=self.domain))
 
 
+def score_design(spec: FeatureSpec, names: Sequence[str], domain: Domain = DEFAULT) -> Design:
+    """Factors and levels of a specification whose features bear these names."""
+    terms = feature_terms(spec, domain)
+    if tuple(term.name for term in terms) != tuple(names):
+        raise ValueError("The model was fitted on other feature columns")
+    return Design(terms, category_levels(domain))
+
+
+def design_inputs(
+    spec: FeatureSpec, design: Design, parameter: Parameter, domain: Domain = DEFAULT
+) -> dict[str, Column]:
+    """Factors and level places of a record by the names that the linear predictor reads."""
+    factors = factor_columns(spec, parameter, domain)
+    values = {f"_f_{k}": factors[name] for k, name in enumerate(design.factors, start=1)}
+    return values | {f"_i_{c}": design.level_index(c, category_column(c, domain)) for c in design.categories}
+
+
 def hard_class(probability: Column, threshold: float = 0.5, domain: Domain = DEFAULT) -> Column:
     return F.when(probability >= threshold, domain.positive_class).otherwise(domain.negative_class)
 
@@ -220,13 +240,6 @@ def _model(fit: RidgeFit, variant, spec, fold: Fold, parameters, names, domain)
     )
 
 
-def coefficient_rows(models: Sequence[LogisticModel]) -> list[tuple]:
-    return [
-        (m.fold_id, m.model_id, m.regularization_c, float(m.intercept), *m.coefficients)
-        for m in models
-    ]
-
-
 def score_grid(
     frame: DataFrame,
     models: Sequence[LogisticModel],
@@ -236,26 +249,30 @@ def score_grid(
     """Score records of each fold with every model of that fold.
 
     All models share one specification. Their coefficients are columns of a
-    table with one row per model, so the dot product is plain generated code
-    and the plan does not grow with the number of models.
+    table with one row per model: a base for each factor and additions by level, as in the fit. So
+    the predictor has a term for each factor, not for each feature, and stays small enough to be
+    compiled; the plan does not grow with the number of models.
     """
     spec, names = models[0].spec, models[0].feature_names
     if any(m.spec != spec or m.feature_names != names for m in models):
         raise ValueError("score_grid needs models of one specification")
-    weights = [f"_b{i}" for i in range(len(names))]
+    design = score_design(spec, names, domain)
     schema = ", ".join(
-        ["fold_id string", "model_id string", "regularization_c double", "_b double"]
-        + [f"{weight} double" for weight in weights]
+        ["fold_id string", "model_id string", "regularization_c double"]
+        + [f"{column} {kind}" for column, kind in design.coefficient_columns()]
+    )
+    rows = [
+        (m.fold_id, m.model_id, m.regularization_c, *design.coefficient_row(np.array([m.intercept, *m.coefficients])))
+        for m in models
+    ]
+    table = small_table(frame.sparkSession, rows, schema)
+    inputs = design_inputs(spec, design, column_parameters(), domain)
+    prepared = join_parameters(frame, {m.fold_id: m.parameters for m in models}).select(
+        *[F.col(f"`{column}`") for column in frame.columns], *[value.alias(key) for key, value in inputs.items()]
     )
-    table = small_table(frame.sparkSession, coefficient_rows(models), schema)
-    joined = join_parameters(frame, {m.fold_id: m.parameters for m in models})
-    joined = joined.join(F.broadcast(table), "fold_id")
-    total = F.col("_b")
-    features = feature_columns(spec, column_parameters(), domain)
-    for weight, column in zip(weights, features.values(), strict=True):
-        total = total + F.col(weight) * column
-    kept = [*frame.columns, "model_id", "regularization_c"]
-    return joined.select(*kept, total.alias(name))
+    joined = prepared.join(F.broadcast(table), "fold_id")
+    kept = [*[F.col(f"`{column}`") for column in frame.columns], "model_id", "regularization_c"]
+    return joined.select(*kept, design.linear_predictor().alias(name))
 
 
 def _ratio_moments(models, train: DataFrame, domain: Domain):

@@ -11,7 +11,7 @@ needs about eight scans, whatever its number of folds, penalties and dummies.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -133,15 +133,15 @@ class Design:
         ]
         return names
 
-    def linear_predictor(self) -> Column:
-        """The predictor from factor columns, level places and a coefficient row."""
+    def linear_predictor(self, at: Callable[[str], Column] = F.col) -> Column:
+        """The predictor from factor columns, level places and a coefficient row, found by name."""
         total = None
         for k in range(len(self.factors) + 1):
-            weight = F.col(f"_base_{k}")
+            weight = at(f"_base_{k}")
             for c in self.categories:
                 if self.has_additions(k, c):
-                    weight = weight + F.get(f"_add_{k}_{c}", F.col(f"_i_{c}"))
-            part = weight if k == 0 else weight * F.col(f"_f_{k}")
+                    weight = weight + F.get(at(f"_add_{k}_{c}"), at(f"_i_{c}"))
+            part = weight if k == 0 else weight * at(f"_f_{k}")
             total = part if total is None else total + part
         return total
 

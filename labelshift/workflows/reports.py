@@ -185,6 +185,7 @@ def scored_estimators(
         [regularization_c],
         variant="known_source_prior",
         parameters=parameters_of(raw),
+        ratio_means=False,
         **fit,
     )
     targets = target_rows(records, folds, domain)
