@@ -31,6 +31,11 @@ def match(frame: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "i
     return frame.join(renamed, reduce(Column.__and__, same, F.lit(True)), how).drop(*[f"_of_{key}" for key in keys])
 
 
+def staged(frame: DataFrame, stages: Sequence[Mapping[str, Column]]) -> DataFrame:
+    """Add columns stage by stage, each in a projection of its own."""
+    return reduce(lambda held, stage: held.withColumns(dict(stage)), stages, frame)
+
+
 class Solver:
     """State columns of one kind of problem. ``open`` names the flag of cells that still move."""
 
@@ -42,6 +47,18 @@ class Solver:
     def held(self) -> Column | None:
         return None if self.weight is None else F.col(self.weight)
 
+    def first_values(self) -> list[dict[str, Column]]:
+        """Values of a record for the first scan, as for ``values``."""
+        return []
+
+    def values(self) -> list[dict[str, Column]]:
+        """Values of a record that the moments share, in stages that read those before.
+
+        A stage is a projection of its own, so an exponential is taken once and not once for each
+        aggregate. Null for cells that do not move.
+        """
+        return []
+
     def first(self) -> list[Column]:
         """Aggregates of the first scan."""
         raise NotImplementedError
@@ -77,23 +94,29 @@ class ShareSolver(Solver):
     def __init__(self, value: str, tolerance: float, most: int, weight: str | None = None) -> None:
         self.value, self.tolerance, self.most, self.weight = value, tolerance, most, weight
 
-    def _at(self, share: Column, moving: Column) -> list[Column]:
-        value = F.col(self.value)
-        small = F.exp(-F.abs(value))
-        slope = F.when(value > 0, (1.0 - small) / ((1.0 - share) * small + share)).otherwise(
-            (small - 1.0) / (1.0 - share + share * small)
-        )
-        likelihood = log_add_exp(F.log1p(-share), F.log(share) + value)
+    def _values(self, share: Column, moving: Column) -> list[dict[str, Column]]:
+        value, small, density = F.col(self.value), F.col("_small"), F.col("_density")
+        above = value > 0
+        mixed = F.when(above, (1.0 - share) * small + share).otherwise(1.0 - share + share * small)
         return [
-            mean(F.when(moving, likelihood), self.held).alias("_likelihood"),
-            mean(F.when(moving, slope), self.held).alias("_gradient"),
-            mean(F.when(moving, slope * slope), self.held).alias("_curvature"),
+            {"_small": F.when(moving, F.exp(-F.abs(value)))},
+            {"_density": mixed},  # relative to the larger one of the two classes
+            {
+                "_slope": F.when(above, 1.0 - small).otherwise(small - 1.0) / density,
+                "_log_density": F.log(density) + F.greatest(value, F.lit(0.0)),
+            },
         ]
 
+    def first_values(self) -> list[dict[str, Column]]:
+        return self._values(F.lit(0.5), F.lit(True))
+
+    def values(self) -> list[dict[str, Column]]:
+        return self._values(F.col("mixture_share"), F.col(self.open))
+
     def first(self) -> list[Column]:
         value = F.col(self.value)
         bad = F.count_if(value.isNull() | F.isnan(value)).alias("_n_bad")
-        return [counted(self.held).alias("n"), bad, *self._at(F.lit(0.5), F.lit(True))]
+        return [counted(self.held).alias("n"), bad, *self.moments()]
 
     def refused(self) -> tuple[Column, str]:
         return F.col("_n_bad") > 0, f"{self.value} contains non-finite values in cells"
@@ -115,7 +138,12 @@ class ShareSolver(Solver):
         return self.move(began)
 
     def moments(self) -> list[Column]:
-        return self._at(F.col("mixture_share"), F.col(self.open))
+        slope = F.col("_slope")
+        return [
+            mean(F.col("_log_density"), self.held).alias("_likelihood"),
+            mean(slope, self.held).alias("_gradient"),
+            mean(slope * slope, self.held).alias("_curvature"),
+        ]
 
     def move(self, table: DataFrame) -> DataFrame:
         share, slope, curvature = F.col("mixture_share"), F.col("_gradient"), F.col("_curvature")
@@ -208,20 +236,29 @@ class CalibrationSolver(Solver):
         ).withColumns({"_a0": F.col("_c0"), "_a1": zero})
         return self.move(began).drop("_m", "_sx", "_sxy", "_sxx")
 
+    def values(self) -> list[dict[str, Column]]:
+        linear, decay, fitted = F.col("_linear"), F.col("_decay"), F.col("_fitted")
+        return [
+            {"_linear": F.when(F.col(self.open), F.col("_c0") + F.col("_c1") * F.col(self.score))},
+            {"_decay": F.exp(-F.abs(linear))},
+            {
+                "_fitted": F.when(linear >= 0, 1.0).otherwise(decay) / (1.0 + decay),
+                "_log_sum": F.greatest(linear, F.lit(0.0)) + F.log1p(decay),
+            },
+            {"_spread": fitted * (1.0 - fitted), "_residual": F.col(self.label) - fitted},
+        ]
+
     def moments(self) -> list[Column]:
-        x, y, moving = F.col(self.score), F.col(self.label), F.col(self.open)
-        linear = F.col("_c0") + F.col("_c1") * x
-        fitted = expit(linear)
-        weight = fitted * (1.0 - fitted)
+        x, spread, residual = F.col(self.score), F.col("_spread"), F.col("_residual")
         parts = {
-            "_objective": y * linear - log_add_exp(F.lit(0.0), linear),
-            "_g0": y - fitted,
-            "_g1": x * (y - fitted),
-            "_h00": weight,
-            "_h01": weight * x,
-            "_h11": weight * x * x,
+            "_objective": F.col(self.label) * F.col("_linear") - F.col("_log_sum"),
+            "_g0": residual,
+            "_g1": x * residual,
+            "_h00": spread,
+            "_h01": spread * x,
+            "_h11": spread * x * x,
         }
-        return [total(F.when(moving, part), self.held).alias(name) for name, part in parts.items()]
+        return [total(part, self.held).alias(name) for name, part in parts.items()]
 
     def move(self, table: DataFrame) -> DataFrame:
         g0, g1 = F.col("_g0"), F.col("_g1")
@@ -344,7 +381,8 @@ def solve(rows: DataFrame, keys: Sequence[str], solvers: Sequence[Solver]) -> Da
     keys = list(keys)
     moving = reduce(Column.__or__, [F.col(solver.open) for solver in solvers])
     opened = {"moving": F.count_if(moving)}
-    table = rows.groupBy(*keys).agg(*[column for solver in solvers for column in solver.first()])
+    began = staged(rows, [stage for solver in solvers for stage in solver.first_values()])
+    table = began.groupBy(*keys).agg(*[column for solver in solvers for column in solver.first()])
     refusals = [refusal for solver in solvers if (refusal := solver.refused()) is not None]
     for position, (condition, _) in enumerate(refusals):
         table = table.withColumn(f"_refused{position}", F.coalesce(condition, F.lit(False)))
@@ -362,7 +400,8 @@ def solve(rows: DataFrame, keys: Sequence[str], solvers: Sequence[Solver]) -> Da
     while seen.get("moving"):
         active = state.where(moving).select(*keys, *bound)
         moments = [column for solver in solvers for column in solver.moments()]
-        found = match(rows, active, keys).groupBy(*keys).agg(*moments)
+        valued = staged(match(rows, active, keys), [stage for solver in solvers for stage in solver.values()])
+        found = valued.groupBy(*keys).agg(*moments)
         table = match(state, found, keys, "left")
         for solver in solvers:
             table = solver.move(table)
