@@ -25,7 +25,7 @@ from ..operators.features import (
     literal_parameters,
     year_terms,
 )
-from ..operators.mixture import log_mean_exp, ratio_normalisation
+from ..operators.mixture import ratio_log_means, ratio_normalisation
 from ..operators.weights import equal_prior_weights, is_positive
 from ..plans.folds import Fold, fold_table, join_sources
 from ..plans.specifications import FeatureSpec, label_number
@@ -275,14 +275,11 @@ def score_grid(
     return joined.select(*kept, design.linear_predictor().alias(name))
 
 
-def _ratio_moments(models, train: DataFrame, domain: Domain):
-    scored = score_grid(train, models, "score", domain)
-    return ratio_normalisation(scored, ["model_id"], "score", is_positive(domain)).collect()
-
-
 def attach_ratio_means(models, train: DataFrame, domain: Domain = DEFAULT) -> list[LogisticModel]:
     """Record E0[r] and E1[1/r], both one for a perfect ratio."""
-    found = {row.model_id: row for row in _ratio_moments(models, train, domain)}
+    scored = score_grid(train, models, "score", domain)
+    means = ratio_normalisation(scored, ["model_id"], "score", is_positive(domain)).collect()
+    found = {row.model_id: row for row in means}
     return [
         replace(
             m,
@@ -294,13 +291,34 @@ def attach_ratio_means(models, train: DataFrame, domain: Domain = DEFAULT) -> li
 
 
 def normalise_ratios(models, train: DataFrame, domain: Domain = DEFAULT) -> list[LogisticModel]:
-    """Shift each slope so that the mean ratio over the negative class is one."""
+    """Shift each slope so that the mean ratio over the negative class is one.
+
+    A shift divides the mean ratio and multiplies the mean inverse, so both follow from the means
+    of the slopes.
+    """
     slopes = [replace(m, intercept=0.0) for m in models]
-    scored = score_grid(train.where(~is_positive(domain)), slopes, "score", domain)
-    means = log_mean_exp(scored, ["model_id"], "score", "value").collect()
-    offsets = {row.model_id: -row["value"] for row in means}
-    shifted = [replace(m, intercept=offsets[m.model_id]) for m in models]
-    return attach_ratio_means(shifted, train, domain)
+    scored = score_grid(train, slopes, "score", domain)
+    means = ratio_log_means(scored, ["model_id"], "score", is_positive(domain)).collect()
+    found = {row.model_id: row for row in means}
+    return [
+        replace(
+            m,
+            intercept=-found[m.model_id].log_mean_first,
+            mean_ratio_first=1.0,
+            mean_inverse_ratio_second=float(
+                np.exp(found[m.model_id].log_mean_inverse_second + found[m.model_id].log_mean_first)
+            ),
+        )
+        for m in models
+    ]
+
+
+def pooled_models(
+    raw: Sequence[LogisticModel], records: DataFrame, folds: Sequence[Fold], domain: Domain = DEFAULT
+) -> list[LogisticModel]:
+    """The ``pooled`` variant of raw models: their fit, with the ratio normalised."""
+    models = [replace(m, variant="pooled") for m in raw]
+    return normalise_ratios(models, training_rows(records, folds, domain=domain), domain)
 
 
 def parameters_of(models: Sequence[LogisticModel]) -> dict[str, Mapping[str, float]]:

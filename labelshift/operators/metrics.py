@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clip_probability, counted, indicator, logit, mean, ratio
-from ..functions.storage import written
+from ..functions.storage import written, written_with
 from .mixture import SHARE_TOLERANCE, adjusted_probability, share_table
 from .quantiles import score_ranks
-from .solvers import CalibrationSolver, ShareSolver, solve
+from .solvers import START_RECORDS, CalibrationSolver, ShareSolver, counted_starts, solve
 
 THRESHOLD = 0.5
 GRID_STEPS = 241
@@ -140,26 +140,31 @@ def evaluate_probabilities(
 # -- mixture cells -----------------------------------------------------------
 
 
-def cell_numbers(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number the cells, so that records carry one integer and not all keys.
+def cell_numbers(frame: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, float]:
+    """Number the cells, so that records carry one integer and not all keys; and the mean of their rows.
 
     Numbers are unique but not gapless; written, they stay what they are.
     """
-    distinct = frame.select(*keys).distinct()
-    return written(distinct.withColumn("_cell", F.monotonically_increasing_id()))
+    sized = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    numbered = sized.withColumn("_cell", F.monotonically_increasing_id())
+    cells, seen = written_with(numbered, {"mean": F.avg("_rows")})
+    return cells.drop("_rows"), seen.get("mean") or 0.0
 
 
-def solve_cells(kept: DataFrame, weight: str | None = None) -> DataFrame:
+def solve_cells(kept: DataFrame, weight: str | None = None, size: float = 0.0) -> DataFrame:
     """Share and calibration of (cell, label, log ratio) rows, both in the same passes.
 
     The score of a record is its log ratio plus the logit of its cell's share. So the fit on log
     ratios has the same slope, and its intercept differs by slope times that logit: it need not wait
     for the share. Where a probability is so near to 0 or 1 that it is clipped or loses digits,
-    the cell is fitted again on its probabilities.
+    the cell is fitted again on its probabilities. ``size`` is the mean number of rows of a cell:
+    large cells start from counts.
     """
     rows = kept.withColumn("_y", indicator(F.col("_positive")))
     fit = CalibrationSolver("log_ratio", "_y", CALIBRATION_TOLERANCE, CALIBRATION_STEPS, weight)
-    state = solve(rows, ["_cell"], [ShareSolver("log_ratio", SHARE_TOLERANCE, 60, weight), fit])
+    large = weight is None and size >= START_RECORDS
+    starts = {"starts": counted_starts(rows, ["_cell"], "log_ratio", "_y")} if large else {}
+    state = solve(rows, ["_cell"], [ShareSolver("log_ratio", SHARE_TOLERANCE, 60, weight), fit], **starts)
     intercept, slope = CalibrationSolver.coefficients(state)
     shift = logit(F.col("mixture_share"))
     extreme = (F.col("_least_score") + shift < PRECISE_BELOW) | (F.col("_most_score") + shift > PRECISE_ABOVE)
@@ -207,7 +212,7 @@ def evaluate_log_ratios(
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must lie in [0, 1]")
     keys = list(keys)
-    cells = cell_numbers(scored, keys)
+    cells, size = cell_numbers(scored, keys)
     held = None if weight is None else F.col("_n")
     kept = scored.join(cells, keys).select(
         "_cell",
@@ -216,7 +221,7 @@ def evaluate_log_ratios(
         *([] if weight is None else [F.col(weight).alias("_n")]),
     ).persist()
     number = ["_cell"]
-    solved = solve_cells(kept, None if weight is None else "_n")
+    solved = solve_cells(kept, None if weight is None else "_n", size)
     adjusted = kept.join(solved.select("_cell", "mixture_share"), number).withColumn(
         "probability", adjusted_probability(F.col("log_ratio"), F.col("mixture_share"))
     )

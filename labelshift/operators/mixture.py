@@ -59,18 +59,29 @@ def log_mean_exp(frame: DataFrame, keys: Sequence[str], value: str, name: str) -
     )
 
 
+def ratio_log_means(frame: DataFrame, keys: Sequence[str], log_ratio: str, is_positive: Column) -> DataFrame:
+    """Log of the mean ratio over the negative and of the mean inverse ratio over the positive class, in one scan."""
+    keys = list(keys)
+    signed = F.when(is_positive, -F.col(log_ratio)).otherwise(F.col(log_ratio))
+    labelled = frame.where(is_positive.isNotNull()).select(
+        *keys, is_positive.alias("_positive"), signed.alias("_signed")
+    )
+    means = log_mean_exp(labelled, [*keys, "_positive"], "_signed", "_mean")
+    both = means.groupBy(*keys).agg(
+        F.max(F.when(~F.col("_positive"), F.col("_mean"))).alias("log_mean_first"),
+        F.max(F.when(F.col("_positive"), F.col("_mean"))).alias("log_mean_inverse_second"),
+    )
+    return both.dropna(subset=["log_mean_first", "log_mean_inverse_second"])
+
+
 def ratio_normalisation(
     frame: DataFrame, keys: Sequence[str], log_ratio: str, is_positive: Column
 ) -> DataFrame:
     """Mean ratio over the negative and mean inverse ratio over the positive class."""
-    keys = list(keys)
-    first = log_mean_exp(frame.where(~is_positive), keys, log_ratio, "_first")
-    inverse = frame.where(is_positive).withColumn("_inverse", -F.col(log_ratio))
-    second = log_mean_exp(inverse, keys, "_inverse", "_second")
-    return first.join(second, keys).select(
+    return ratio_log_means(frame, keys, log_ratio, is_positive).select(
         *keys,
-        F.exp("_first").alias("mean_ratio_first"),
-        F.exp("_second").alias("mean_inverse_ratio_second"),
+        F.exp("log_mean_first").alias("mean_ratio_first"),
+        F.exp("log_mean_inverse_second").alias("mean_inverse_ratio_second"),
     )
 
 

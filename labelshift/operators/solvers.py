@@ -11,17 +11,24 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.expressions import clip, counted, expit, log_add_exp, logit, mean, total
 from ..functions.local import small_table
-from ..functions.storage import written_with
+from ..functions.storage import written, written_with
 
 SHARE_BOUND = 1e-9
 LEAST_SCALE = 2.0**-20
 ASCENT_SLACK = 1e-8
+# Intervals a unit of the log ratio, and the last unit that is divided.
+START_INTERVALS = 16
+START_LIMIT = 32
+# Records a cell from which reading them once for a start saves more steps than it costs.
+START_RECORDS = 50_000
 
 
 def match(frame: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -59,12 +66,12 @@ class Solver:
         """
         return []
 
-    def first(self) -> list[Column]:
-        """Aggregates of the first scan."""
+    def first(self, started: bool = False) -> list[Column]:
+        """Aggregates of the first scan; with given starts, the moments there are among them."""
         raise NotImplementedError
 
-    def start(self, table: DataFrame) -> DataFrame:
-        """State columns from the first aggregates."""
+    def start(self, table: DataFrame, started: bool = False) -> DataFrame:
+        """State columns from the first aggregates and, if given, the starts."""
         raise NotImplementedError
 
     def refused(self) -> tuple[Column, str] | None:
@@ -113,7 +120,7 @@ class ShareSolver(Solver):
     def values(self) -> list[dict[str, Column]]:
         return self._values(F.col("mixture_share"), F.col(self.open))
 
-    def first(self) -> list[Column]:
+    def first(self, started: bool = False) -> list[Column]:
         value = F.col(self.value)
         bad = F.count_if(value.isNull() | F.isnan(value)).alias("_n_bad")
         return [counted(self.held).alias("n"), bad, *self.moments()]
@@ -121,10 +128,10 @@ class ShareSolver(Solver):
     def refused(self) -> tuple[Column, str]:
         return F.col("_n_bad") > 0, f"{self.value} contains non-finite values in cells"
 
-    def start(self, table: DataFrame) -> DataFrame:
+    def start(self, table: DataFrame, started: bool = False) -> DataFrame:
         began = table.withColumns(
             {
-                "mixture_share": F.lit(0.5),
+                "mixture_share": F.col("mixture_share") if started else F.lit(0.5),
                 "_low": F.lit(SHARE_BOUND),
                 "_high": F.lit(1.0 - SHARE_BOUND),
                 "_tested_low": F.lit(False),
@@ -195,9 +202,10 @@ class CalibrationSolver(Solver):
     def __init__(self, score: str, label: str, tolerance: float, most: int, weight: str | None = None) -> None:
         self.score, self.label, self.tolerance, self.most, self.weight = score, label, tolerance, most, weight
 
-    def first(self) -> list[Column]:
+    def first(self, started: bool = False) -> list[Column]:
         x, y = F.col(self.score), F.col(self.label)
         return [
+            *(self.moments() if started else []),
             counted(self.held).alias("_m"),
             mean(y, self.held).alias("_prevalence"),
             total(x, self.held).alias("_sx"),
@@ -210,14 +218,23 @@ class CalibrationSolver(Solver):
     def refused(self) -> tuple[Column, str]:
         return F.col("_prevalence").isin(0.0, 1.0), "Cells with records of one class cannot be calibrated:"
 
-    def start(self, table: DataFrame) -> DataFrame:
+    def start(self, table: DataFrame, started: bool = False) -> DataFrame:
         held = clip(F.col("_prevalence"), 1e-12, 1.0 - 1e-12)
         weight = held * (1.0 - held)
         zero = F.lit(0.0)
+        at_prevalence = {
+            "_c0": logit(held),
+            "_c1": zero,
+            "_objective": F.col("_m") * (held * logit(held) - log_add_exp(zero, logit(held))),
+            "_g0": zero,
+            "_g1": F.col("_sxy") - held * F.col("_sx"),
+            "_h00": F.col("_m") * weight,
+            "_h01": F.col("_sx") * weight,
+            "_h11": F.col("_sxx") * weight,
+        }
         began = table.withColumns(
             {
-                "_c0": logit(held),
-                "_c1": zero,
+                **({} if started else at_prevalence),
                 "_best": F.lit(float("-inf")),
                 "_step0": zero,
                 "_step1": zero,
@@ -226,14 +243,8 @@ class CalibrationSolver(Solver):
                 "_failed": F.lit(False),
                 "_steps": F.lit(0),
                 self.open: F.lit(True),
-                "_objective": F.col("_m") * (held * logit(held) - log_add_exp(zero, logit(held))),
-                "_g0": zero,
-                "_g1": F.col("_sxy") - held * F.col("_sx"),
-                "_h00": F.col("_m") * weight,
-                "_h01": F.col("_sx") * weight,
-                "_h11": F.col("_sxx") * weight,
             }
-        ).withColumns({"_a0": F.col("_c0"), "_a1": zero})
+        ).withColumns({"_a0": F.col("_c0"), "_a1": F.col("_c1")})
         return self.move(began).drop("_m", "_sx", "_sxy", "_sxx")
 
     def values(self) -> list[dict[str, Column]]:
@@ -325,10 +336,10 @@ class PosteriorSolver(Solver):
         self.value, self.initial, self.keys = value, initial, keys
         self.tolerance, self.most, self.accelerate = tolerance, most, accelerate
 
-    def first(self) -> list[Column]:
+    def first(self, started: bool = False) -> list[Column]:
         return [F.count(F.lit(1)).alias("n")]
 
-    def start(self, table: DataFrame) -> DataFrame:
+    def start(self, table: DataFrame, started: bool = False) -> DataFrame:
         if isinstance(self.initial, DataFrame):
             began = match(table, self.initial, self.keys)
         else:
@@ -371,24 +382,104 @@ class PosteriorSolver(Solver):
         ).drop("_settles", "_follows", "_updated")
 
 
-def solve(rows: DataFrame, keys: Sequence[str], solvers: Sequence[Solver]) -> DataFrame:
+def share_of(value: np.ndarray, weight: np.ndarray) -> float:
+    """Share at which the likelihood of weighted log ratios is greatest, by halving."""
+    small = np.exp(-np.abs(value))
+    above = value > 0
+
+    def slope(share: float) -> float:
+        density = np.where(above, (1.0 - share) * small + share, 1.0 - share + share * small)
+        return float(weight @ (np.where(above, 1.0 - small, small - 1.0) / density))
+
+    low, high = SHARE_BOUND, 1.0 - SHARE_BOUND
+    if slope(low) <= 0:
+        return low
+    if slope(high) >= 0:
+        return high
+    for _ in range(60):
+        middle = 0.5 * (low + high)
+        low, high = (middle, high) if slope(middle) > 0 else (low, middle)
+    return 0.5 * (low + high)
+
+
+def line_of(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of ``label ~ score``; those of the prevalence where Newton's steps fail."""
+    prevalence = float(np.clip((weight @ label) / weight.sum(), 1e-12, 1.0 - 1e-12))
+    first = np.array([np.log(prevalence / (1.0 - prevalence)), 0.0])
+    point, design = first, np.stack([np.ones_like(score), score])
+    for _ in range(30):
+        fitted = 1.0 / (1.0 + np.exp(-(point @ design)))
+        hessian = (design * (weight * fitted * (1.0 - fitted))) @ design.T
+        if not np.isfinite(hessian).all() or np.linalg.det(hessian) <= 0:
+            break
+        step = np.linalg.solve(hessian, design @ (weight * (label - fitted)))
+        point = point + step
+        if np.abs(step).max() < 1e-12:
+            return float(point[0]), float(point[1])
+    return float(first[0]), float(first[1])
+
+
+def counted_starts(rows: DataFrame, keys: Sequence[str], value: str, label: str) -> DataFrame:
+    """Starts of share and calibration: their results on counts by intervals of ``value``.
+
+    The rows are read once; a cell has at most two rows for each interval. Two points stand for the
+    records of an interval, with their number, mean and spread. What the points leave out costs
+    a step more, no digit: :func:`solve` goes on from here on the records themselves.
+    """
+    keys, width = list(keys), 1.0 / START_INTERVALS
+    edge = float(START_LIMIT * START_INTERVALS)
+    place = F.floor(clip(F.col(value) * START_INTERVALS, -edge, edge))
+    beyond = F.col(value) - F.col("_place") * width
+    counts = (
+        rows.withColumn("_place", place)
+        .groupBy(*keys, label, "_place")
+        .agg(F.count(F.lit(1)).alias("_n"), F.avg(beyond).alias("_mean"), F.var_pop(beyond).alias("_spread"))
+    )
+
+    def started(cell: pd.DataFrame) -> pd.DataFrame:
+        middle, spread = cell["_place"] * width + cell["_mean"], np.sqrt(cell["_spread"])
+        points = np.concatenate([middle - spread, middle + spread])
+        weight = np.tile(cell["_n"].to_numpy(dtype=float) / 2.0, 2)
+        share, line = 0.5, (0.0, 0.0)
+        if np.isfinite(points).all():
+            with np.errstate(all="ignore"):
+                share = share_of(points, weight)
+                line = line_of(points, np.tile(cell[label].to_numpy(dtype=float), 2), weight)
+        return pd.DataFrame([[*cell[keys].iloc[0], share, *line]], columns=schema.names)
+
+    names = ("mixture_share", "_c0", "_c1")
+    schema = StructType([*[rows.schema[key] for key in keys], *[StructField(n, DoubleType(), True) for n in names]])
+    return written(counts.groupBy(*keys).applyInPandas(started, schema))
+
+
+def solve(
+    rows: DataFrame, keys: Sequence[str], solvers: Sequence[Solver], starts: DataFrame | None = None
+) -> DataFrame:
     """State of all cells of ``rows`` when no solver has an open cell any more.
 
     ``rows`` holds the keys and the inputs of the solvers and is read once a step: persist it. Solvers
-    with a weight take a row for that many equal records.
+    with a weight take a row for that many equal records. ``starts`` holds, for every cell,
+    the state columns that the moments read; the nearer they are, the fewer steps follow.
     Cells with null keys are cells like others.
     """
     keys = list(keys)
     moving = reduce(Column.__or__, [F.col(solver.open) for solver in solvers])
     opened = {"moving": F.count_if(moving)}
-    began = staged(rows, [stage for solver in solvers for stage in solver.first_values()])
-    table = began.groupBy(*keys).agg(*[column for solver in solvers for column in solver.first()])
+    started = starts is not None
+    if started:
+        begun = match(rows, starts, keys).withColumns({solver.open: F.lit(True) for solver in solvers})
+        began = staged(begun, [stage for solver in solvers for stage in solver.values()])
+    else:
+        began = staged(rows, [stage for solver in solvers for stage in solver.first_values()])
+    table = began.groupBy(*keys).agg(*[column for solver in solvers for column in solver.first(started)])
+    if started:
+        table = match(table, starts, keys)
     refusals = [refusal for solver in solvers if (refusal := solver.refused()) is not None]
     for position, (condition, _) in enumerate(refusals):
         table = table.withColumn(f"_refused{position}", F.coalesce(condition, F.lit(False)))
         opened[f"refused{position}"] = F.count_if(F.col(f"_refused{position}"))
     for solver in solvers:
-        table = solver.start(table)
+        table = solver.start(table, started)
     state, seen = written_with(table, opened)
     for position, (_, message) in enumerate(refusals):
         if seen.get(f"refused{position}"):

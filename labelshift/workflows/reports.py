@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..domain import DEFAULT, Domain
 from ..functions.expressions import expit, indicator
-from ..functions.local import freeze
+from ..functions.local import freeze, small_table
 from ..functions.storage import written
 from ..models.logistic import (
     LogisticModel,
@@ -18,6 +18,7 @@ from ..models.logistic import (
     fit_table,
     hard_class,
     parameters_of,
+    pooled_models,
     score_grid,
     source_year_diagnostics,
 )
@@ -115,25 +116,18 @@ def run_mixture_validation(
         F.avg(indicator(p >= 0.5)).alias("raw_hard_share"),
         F.avg((p - y) * (p - y)).alias("raw_brier"),
     )
-    models, scored, intercepts = [], None, None
-    for variant in VARIANTS:
-        fitted = fit_grid(
-            records,
-            folds,
-            spec,
-            [regularization_c],
-            variant=variant,
-            parameters=parameters_of(raw_models),
-            domain=domain,
-        )
-        models.extend(fitted)
-        part = score_grid(targets, fitted, domain=domain).select(
-            F.lit(variant).alias("variant"), *FOLD_COLUMNS, domain.label, "log_ratio"
-        )
-        scored = part if scored is None else scored.unionByName(part)
-        if variant == "year_fixed_effect":
-            intercepts = year_intercepts(records, fitted, domain)
-    long = evaluate_log_ratios(scored, ["variant", *FOLD_COLUMNS], is_positive(domain))
+    fit = {"parameters": parameters_of(raw_models), "domain": domain}
+    fitted = {"pooled": pooled_models(raw_models, records, folds, domain)}
+    for variant in VARIANTS[1:]:
+        fitted[variant] = fit_grid(records, folds, spec, [regularization_c], variant=variant, **fit)
+    models = [model for variant in VARIANTS for model in fitted[variant]]
+    intercepts = year_intercepts(records, fitted["year_fixed_effect"], domain)
+    keys = ["model_id", *FOLD_COLUMNS]
+    scored = score_grid(targets, models, domain=domain).select(*keys, domain.label, "log_ratio")
+    named = small_table(
+        records.sparkSession, [(m.model_id, m.variant) for m in models], "model_id string, variant string"
+    ).distinct()
+    long = evaluate_log_ratios(scored, keys, is_positive(domain)).join(named, "model_id")
     wide = long.groupBy(*FOLD_COLUMNS).agg(
         *[
             F.max(F.when(F.col("variant") == variant, F.col(field))).alias(f"{name}_{variant}")

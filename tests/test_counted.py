@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelshift.domain import Domain
 from labelshift.functions.places import with_place
 from labelshift.models import cells, logistic, trees
-from labelshift.operators import bins, metrics, mixture, quantiles
+from labelshift.operators import bins, metrics, mixture, quantiles, solvers
 from labelshift.operators.features import column_parameters, feature_columns, join_parameters
 from labelshift.plans.folds import Fold
 from labelshift.plans.specifications import BoostingParameters, FeatureSpec
@@ -157,3 +157,69 @@ def test_scores_by_factors_and_levels_are_the_sums_over_features(spark, records)
         own = found.where(F.col("model_id") == model.model_id).agg(F.sum("log_ratio"), F.count("log_ratio")).first()
         single = model.log_ratio(rows).agg(F.sum("log_ratio"), F.count("log_ratio")).first()
         assert tuple(own) == pytest.approx(tuple(expected)) and tuple(single) == pytest.approx(tuple(expected))
+
+
+def test_solvers_that_start_from_counts_end_on_the_records(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    rows = []
+    for cell, shift in enumerate((-1.2, 0.0, 0.3)):
+        value = draw.normal(shift, 1.0, 3000)
+        second = draw.random(3000) < 1 / (1 + np.exp(0.4 - 0.8 * value))
+        rows += zip([cell] * 3000, map(int, 1 + second), map(float, value), strict=True)
+    scored = spark.createDataFrame(rows, "cell int, lien_status int, log_ratio double").cache()
+    steps = []
+    written_with = solvers.written_with
+    monkeypatch.setattr(solvers, "written_with", lambda *given: steps.append(1) or written_with(*given))
+    plain = metrics.evaluate_log_ratios(scored, ["cell"], yes()).orderBy("cell").collect()
+    before = len(steps)
+    monkeypatch.setattr(metrics, "START_RECORDS", 1)
+    started = metrics.evaluate_log_ratios(scored, ["cell"], yes()).orderBy("cell").collect()
+    assert len(steps) - before <= 3 < before
+    assert len(plain) == len(started) == 3 and any(row.mixture_at_boundary for row in plain)
+    for a, b in zip(plain, started, strict=True):
+        a, b = a.asDict(), b.asDict()
+        assert a.pop("optimizer_iterations") >= b.pop("optimizer_iterations")
+        assert b == pytest.approx(a, abs=1e-8)
+
+
+def test_starts_of_cells_without_a_fit_and_beyond_the_intervals(spark):
+    rows = [(0, float(i > 50), -1.0 if i <= 50 else 1.0) for i in range(100)]  # parted by the label: no fit
+    rows += [(1, float(i % 2), 900.0 * (-1) ** (i // 2)) for i in range(100)]
+    rows += [(2, float(i % 2), float("nan")) for i in range(100)]
+    rows += [(None, float(i % 4 == 0), -3.0) for i in range(100)]
+    frame = spark.createDataFrame(rows, "cell int, y double, log_ratio double")
+    found = {r.cell: r for r in solvers.counted_starts(frame, ["cell"], "log_ratio", "y").collect()}
+    assert len(found) == 4
+    assert all(np.isfinite([r.mixture_share, r._c0, r._c1]).all() for r in found.values())
+    assert found[0]._c1 == found[None]._c1 == 0.0
+    assert found[1].mixture_share == pytest.approx(0.5)
+    assert found[None].mixture_share == solvers.SHARE_BOUND
+    assert found[None]._c0 == pytest.approx(np.log(1 / 3))
+
+
+def test_starts_refuse_values_that_are_no_numbers(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "START_RECORDS", 1)
+    rows = [(0, 1, 0.5), (0, 2, float("nan")), (0, 2, 0.1), (0, 1, None)]
+    scored = spark.createDataFrame(rows, "cell int, lien_status int, log_ratio double")
+    with pytest.raises(ValueError, match="non-finite"):
+        metrics.evaluate_log_ratios(scored, ["cell"], yes())
+
+
+def test_pooled_variant_is_the_raw_fit_and_is_not_fitted_again(records, monkeypatch):
+    spec = FeatureSpec("linear", "none")
+    raw = logistic.fit_grid(records, FOLDS, spec, [0.1], domain=DOMAIN)
+    fitted = logistic.fit_grid(records, FOLDS, spec, [0.1], variant="pooled", domain=DOMAIN)[0]
+    scored = fitted.log_ratio(records.where("year in (2002, 2003)")).toPandas()
+    ratio = scored["log_ratio"].to_numpy()
+    first = (scored["lien_status"] == 1).to_numpy()
+    assert np.exp(ratio[first]).mean() == pytest.approx(fitted.mean_ratio_first, rel=1e-10)
+    assert np.exp(-ratio[~first]).mean() == pytest.approx(fitted.mean_inverse_ratio_second, rel=1e-10)
+    fits = []
+    fit_ridge_grid = logistic.fit_ridge_grid
+    monkeypatch.setattr(logistic, "fit_ridge_grid", lambda *given: fits.append(1) or fit_ridge_grid(*given))
+    pooled = logistic.pooled_models(raw, records, FOLDS, DOMAIN)[0]
+    assert not fits and pooled.model_id == fitted.model_id
+    assert pooled.coefficients == pytest.approx(fitted.coefficients, rel=1e-9)
+    assert pooled.intercept == pytest.approx(fitted.intercept, rel=1e-9)
+    reports.run_mixture_validation(records, FOLDS, spec, 0.1, DOMAIN)
+    assert len(fits) == 3  # raw, year effects and known prior
