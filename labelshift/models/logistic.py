@@ -149,6 +149,7 @@ def fit_grid(
     variant: str = "raw",
     parameters: Mapping[str, Mapping[str, float]] | None = None,
     ratio_means: bool = True,
+    near: Sequence[LogisticModel] = (),
     domain: Domain = DEFAULT,
 ) -> list[LogisticModel]:
     """Fit one specification on all folds and penalties together.
@@ -158,7 +159,8 @@ def fit_grid(
     density ratio), ``pooled`` (raw slope, normalised ratio) or
     ``year_fixed_effect`` (source-year block in the fit, dropped in the ratio).
     Feature ``parameters`` of an earlier fit on the same folds can be reused;
-    ``ratio_means=False`` leaves out the normalisation diagnostics.
+    ``ratio_means=False`` leaves out the normalisation diagnostics. The steps of a fit begin at the
+    model of its fold and penalty in ``near``, if there is one, and end by the same rule.
     """
     if variant not in ("raw", "known_source_prior", "pooled", "year_fixed_effect"):
         raise ValueError(f"No logistic variant is called {variant!r}")
@@ -183,7 +185,12 @@ def fit_grid(
     design = Design(blocks, levels, scales)
     keyed = {number: parameters[name] for number, name in enumerate(names)}
     rows = design_rows(join_parameters(train, keyed, "fold_no"), spec, design, domain)
-    fits = fit_ridge_grid(rows, design, {n: penalties[name] for n, name in enumerate(names)})
+    starts = {
+        (names.index(m.fold_id), float(m.regularization_c)): np.array([m.raw_intercept, *m.coefficients])
+        for m in near
+        if m.fold_id in by_id and m.parameters == parameters[m.fold_id]
+    }
+    fits = fit_ridge_grid(rows, design, {n: penalties[name] for n, name in enumerate(names)}, starts=starts)
     features = [term.name for term in terms]
     models = [
         _model(

@@ -228,6 +228,7 @@ def fit_ridge_grid(
     design: Design,
     penalties: Mapping[int, Sequence[float]],
     *,
+    starts: Mapping[tuple[int, float], np.ndarray] | None = None,
     tolerance: float = TOLERANCE,
     max_iterations: int = MAX_ITERATIONS,
 ) -> list[RidgeFit]:
@@ -236,14 +237,17 @@ def fit_ridge_grid(
     ``rows`` has ``fold_no``, the label ``y``, the weight ``w``, the factors
     ``_f_1 ..`` and the level places ``_i_<category>``. Minimises
     ``sum(w * loss) + |beta|^2 / (2 C)`` with a free intercept. Fits that have
-    not converged get four times the iteration limit before they are reported.
+    not converged get four times the iteration limit before they are reported. ``starts`` holds
+    coefficients that the fit of a (fold, C) begins with; others begin with zeros.
     The rows are kept while the passes last, and released after them.
     """
-    fits = [
-        RidgeFit(fold, float(c), np.zeros(design.width), np.zeros(design.width))
-        for fold, values in penalties.items()
-        for c in sorted(set(values))
-    ]
+    fits = []
+    for fold, values in penalties.items():
+        for c in map(float, sorted(set(values))):
+            begun = np.zeros(design.width)
+            near = (starts or {}).get((fold, c), ())
+            begun[: len(near)] = near
+            fits.append(RidgeFit(fold, c, begun, begun))
     if any(fit.regularization_c <= 0 for fit in fits):
         raise ValueError("C must be positive")
     rows = rows.persist()

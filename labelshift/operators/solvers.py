@@ -25,7 +25,7 @@ SHARE_BOUND = 1e-9
 LEAST_SCALE = 2.0**-20
 ASCENT_SLACK = 1e-8
 # Intervals a unit of the log ratio, and the last unit that is divided.
-START_INTERVALS = 16
+START_INTERVALS = 128
 START_LIMIT = 32
 # Records a cell from which reading them once for a start saves more steps than it costs.
 START_RECORDS = 50_000

@@ -117,11 +117,11 @@ def run_mixture_validation(
         F.avg((p - y) * (p - y)).alias("raw_brier"),
     )
     fit = {"parameters": parameters_of(raw_models), "domain": domain}
-    fitted = {"pooled": pooled_models(raw_models, records, folds, domain)}
-    for variant in VARIANTS[1:]:
-        fitted[variant] = fit_grid(records, folds, spec, [regularization_c], variant=variant, **fit)
-    models = [model for variant in VARIANTS for model in fitted[variant]]
-    intercepts = year_intercepts(records, fitted["year_fixed_effect"], domain)
+    known = fit_grid(records, folds, spec, [regularization_c], variant="known_source_prior", **fit)
+    effects = fit_grid(records, folds, spec, [regularization_c], variant="year_fixed_effect", near=raw_models, **fit)
+    pooled = pooled_models(raw_models, records, folds, domain)
+    intercepts = year_intercepts(records, effects, domain)
+    models = [*pooled, *effects, *known]
     keys = ["model_id", *FOLD_COLUMNS]
     scored = score_grid(targets, models, domain=domain).select(*keys, domain.label, "log_ratio")
     named = small_table(

@@ -216,10 +216,23 @@ def test_pooled_variant_is_the_raw_fit_and_is_not_fitted_again(records, monkeypa
     assert np.exp(-ratio[~first]).mean() == pytest.approx(fitted.mean_inverse_ratio_second, rel=1e-10)
     fits = []
     fit_ridge_grid = logistic.fit_ridge_grid
-    monkeypatch.setattr(logistic, "fit_ridge_grid", lambda *given: fits.append(1) or fit_ridge_grid(*given))
+    monkeypatch.setattr(logistic, "fit_ridge_grid", lambda *given, **near: fits.append(1) or fit_ridge_grid(*given, **near))
     pooled = logistic.pooled_models(raw, records, FOLDS, DOMAIN)[0]
     assert not fits and pooled.model_id == fitted.model_id
     assert pooled.coefficients == pytest.approx(fitted.coefficients, rel=1e-9)
     assert pooled.intercept == pytest.approx(fitted.intercept, rel=1e-9)
     reports.run_mixture_validation(records, FOLDS, spec, 0.1, DOMAIN)
     assert len(fits) == 3  # raw, year effects and known prior
+
+
+@pytest.mark.parametrize("variant", ["year_fixed_effect", "known_source_prior"])
+def test_fits_that_begin_at_the_raw_model_end_where_others_do(records, variant):
+    spec, fit = FeatureSpec("linear", "none"), {"variant": variant, "ratio_means": False, "domain": DOMAIN}
+    raw = logistic.fit_grid(records, FOLDS, spec, [0.1], domain=DOMAIN)
+    cold = logistic.fit_grid(records, FOLDS, spec, [0.1], **fit)[0]
+    warm = logistic.fit_grid(records, FOLDS, spec, [0.1], near=raw, **fit)[0]
+    assert warm.converged and warm.n_training == cold.n_training
+    assert warm.n_iter < cold.n_iter or variant == "known_source_prior"
+    assert warm.raw_intercept == pytest.approx(cold.raw_intercept, abs=1e-9)
+    assert warm.coefficients == pytest.approx(cold.coefficients, abs=1e-9)
+    assert warm.year_effects == pytest.approx(cold.year_effects, abs=1e-9)
